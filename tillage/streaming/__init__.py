@@ -1,0 +1,5 @@
+"""No streaming operators: every operation of this library is a batch operation.
+
+The ``transform`` half of the imputers and encoders only joins fitted parameters, so it also accepts a
+streaming DataFrame.
+"""
