@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lineage import SMALL_ROWS, pinned
 
@@ -25,6 +26,10 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: boo
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    return [F.col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,
@@ -57,8 +62,12 @@ def lookup(
         *[F.col(v).alias(f"_h_v_{v}") for v in values],
         F.lit(True).alias("_hot"),
     )
+    # Rows with a null key match nothing (unless null-safe), so they are spread as well.
+    spread = F.coalesce(F.col("_hot"), F.lit(False))
+    if not null_safe:
+        spread = reduce(lambda a, k: a | F.col(k).isNull(), keys, spread)
     marked = df.join(F.broadcast(hot), _same(df, hot, keys, null_safe, "_h_"), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)) + 1).otherwise(0)
+        "_salt", F.when(spread, F.pmod(F.xxhash64(*_hashable(df)), F.lit(SALTS)) + 1).otherwise(0)
     )
     cold = right.withColumn("_cold", F.lit(0).cast("long"))
     joined = marked.join(
