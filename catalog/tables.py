@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.functions.values import blank_to_null
-from tillage.operators import chartdata, columns, dedup, encode, impute, profile, split
+from tillage.operators import chartdata, columns, dedup, encode, impute, model_impute, profile, split
 from tillage.plans import recipe
 from tillage.plans.rows import hash_rank, with_row_id
 
@@ -307,6 +307,43 @@ def m06(spark, folder):
     return impute.backward_fill(events_gaps(spark, folder), "value", ["event_id"])
 
 
+@query("m07_fill_model")
+def m07(spark, folder):
+    df = orders_gaps(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice")
+    return model_impute.fill_model(df, "o_totalprice")
+
+
+PATTERNS = """t AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS p, CASE WHEN o_orderkey % 5 <> 0 THEN c_mktsegment END AS m
+   FROM orders JOIN customer ON c_custkey = o_custkey),
+  cs AS (SELECT s AS v, row_number() OVER (ORDER BY s) - 1 AS code FROM (SELECT DISTINCT s FROM t WHERE s IS NOT NULL)),
+  cp AS (SELECT p AS v, row_number() OVER (ORDER BY p) - 1 AS code FROM (SELECT DISTINCT p FROM t WHERE p IS NOT NULL)),
+  cm AS (SELECT m AS v, row_number() OVER (ORDER BY m) - 1 AS code FROM (SELECT DISTINCT m FROM t WHERE m IS NOT NULL)),
+  k AS (SELECT o_orderkey, cs.code AS s, cp.code AS p, cm.code AS m FROM t LEFT JOIN cs ON cs.v = t.s LEFT JOIN cp ON cp.v = t.p LEFT JOIN cm ON cm.v = t.m),
+  n AS (SELECT s, p, m, count(*) AS n FROM k GROUP BY ALL),
+  d AS (SELECT r.s, r.p, r.m, r.n, b.p AS value, b.n AS w, round(sqrt((coalesce((r.s - b.s) * (r.s - b.s), 0) + coalesce((r.m - b.m) * (r.m - b.m), 0)) * 3::DOUBLE
+     / ((r.s IS NOT NULL AND b.s IS NOT NULL)::INT + (r.m IS NOT NULL AND b.m IS NOT NULL)::INT)), 12) AS dist, coalesce(b.s, -1) AS bs, b.p AS bp, coalesce(b.m, -1) AS bm
+     FROM n r JOIN n b ON r.p IS NULL AND b.p IS NOT NULL),
+  o AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY s, p, m ORDER BY dist, bs, bp, bm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+  f AS (SELECT s, m, any_value(n) AS n, round_even(sum(value * greatest(0, least(w, 5 - before)))::DOUBLE / sum(greatest(0, least(w, 5 - before)))::DOUBLE, 0)::BIGINT AS code FROM o GROUP BY s, m)"""
+
+
+def _categories(spark, folder):
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    gap = lambda name, m: F.when(F.col("o_orderkey") % m != 0, F.col(name)).alias(name)
+    return o.join(c, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "o_orderstatus", gap("o_orderpriority", 11), gap("c_mktsegment", 5))
+
+
+@query("m08_neighbour_patterns", f"WITH {PATTERNS} SELECT s AS _c0, m AS _c2, n, code FROM f")
+def m08_patterns(spark, folder):
+    return model_impute.neighbour_fills(_categories(spark, folder), "o_orderpriority").drop("_c1")
+
+
+@query("m08_fill_neighbours", f"""WITH {PATTERNS} SELECT t.o_orderkey, t.s AS o_orderstatus, coalesce(t.p, cp.v) AS o_orderpriority, t.m AS c_mktsegment FROM t JOIN k ON k.o_orderkey = t.o_orderkey
+  LEFT JOIN f ON t.p IS NULL AND f.s IS NOT DISTINCT FROM k.s AND f.m IS NOT DISTINCT FROM k.m LEFT JOIN cp ON cp.code = f.code""")
+def m08(spark, folder):
+    return model_impute.fill_neighbours(_categories(spark, folder), "o_orderpriority")
+
+
 @query("m09_unfillable_stays", WITH_ORDERS + "SELECT o_orderkey, o_orderstatus, NULL::DOUBLE AS nothing FROM g")
 def m09(spark, folder):
     df = orders_gaps(spark, folder).select("o_orderkey", "o_orderstatus", F.lit(None).cast("double").alias("nothing"))
