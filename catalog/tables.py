@@ -592,7 +592,7 @@ def v08(spark, folder):
 
 
 @query("v08_line_with_gaps", WITH_ORDERS + """, x AS (SELECT DISTINCT o_orderdate AS x FROM g WHERE o_orderdate IS NOT NULL), h AS (SELECT DISTINCT o_orderstatus AS hue FROM g)
-  SELECT x.x, h.hue, round(avg(o_totalprice), 2) AS mean_y FROM x CROSS JOIN h LEFT JOIN g ON o_orderdate = x AND o_orderstatus = hue GROUP BY 1, 2""")
+  SELECT x.x, h.hue, round(avg(o_totalprice)::DECIMAL(28, 8), 2)::DOUBLE AS mean_y FROM x CROSS JOIN h LEFT JOIN g ON o_orderdate = x AND o_orderstatus = hue GROUP BY 1, 2""")
 def v08_gaps(spark, folder):
     return chartdata.line_with_gaps(orders_gaps(spark, folder), "o_orderdate", "o_totalprice", "o_orderstatus")
 

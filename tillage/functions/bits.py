@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,21 +30,37 @@ def pair_key(h: Column, p: int) -> Column:
     return F.lit(p << 16).cast("long") + byte(h, i) * 256 + byte(h, j)
 
 
-def rest_bytes(p: int) -> list[int]:
-    """The six bytes outside pair ``p``: with both pair bytes equal, at least one of them is equal too."""
-    return [i for i in range(8) if i not in BYTE_PAIRS[p]]
+def _mask(byte_numbers: tuple[int, ...]) -> int:
+    """A long with the given bytes set."""
+    m = sum(255 << (56 - 8 * i) for i in byte_numbers)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _literal(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
 
 
 def first_pair(x: Column) -> Column:
     """The first byte pair without a difference, from the exclusive-or of two hashes."""
-    cases = [(byte(x, i) + byte(x, j) == 0, p) for p, (i, j) in enumerate(BYTE_PAIRS)]
-    return reduce(lambda acc, c: F.when(c[0], F.lit(c[1])).otherwise(acc), reversed(cases), F.lit(-1))
+    free = F.transform(_literal([_mask(p) for p in BYTE_PAIRS]), lambda m: x.bitwiseAND(m) == 0)
+    return F.array_position(free, True).cast("int") - 1
 
 
-def first_rest(x: Column, p: Column) -> Column:
-    """The first byte without a difference outside pair ``p``."""
+def third_byte_keys(h: Column, p: Column, v: Column) -> Column:
+    """Keys for an over-full pair: ``v`` extended by each of the six other bytes, as an array of (k, v).
+
+    With both bytes of the pair equal, at least one of the other six is equal too.
+    """
+    own = F.element_at(_literal([_mask(q) for q in BYTE_PAIRS]), p + 1)
+    bytes_ = F.array(*[
+        F.struct(F.lit(i).alias("k"), F.lit(_mask((i,))).cast("long").alias("m"), byte(h, i).alias("b")) for i in range(8)
+    ])
+    others = F.filter(bytes_, lambda s: s["m"].bitwiseAND(own) == 0)
+    return F.transform(others, lambda s: F.struct(s["k"].alias("k"), (v * 2048 + s["k"] * 256 + s["b"]).alias("v")))
 
-    def inside(q: int) -> Column:
-        return reduce(lambda acc, i: F.when(byte(x, i) == 0, F.lit(i)).otherwise(acc), reversed(rest_bytes(q)), F.lit(-1))
 
-    return reduce(lambda acc, q: F.when(p == q, inside(q)).otherwise(acc), range(len(BYTE_PAIRS)), F.lit(-1))
+def first_third(x: Column, p: Column) -> Column:
+    """The first byte without a difference outside pair ``p``."""
+    own = F.element_at(_literal([_mask(q) for q in BYTE_PAIRS]), p + 1)
+    free = F.transform(_literal([_mask((i,)) for i in range(8)]), lambda m: (m.bitwiseAND(own) == 0) & (x.bitwiseAND(m) == 0))
+    return F.array_position(free, True).cast("int") - 1

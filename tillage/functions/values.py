@@ -51,3 +51,8 @@ def blank_to_null(df: DataFrame, empty_is_null: bool = True, na_tokens: list[str
 def whole(value: Column, is_whole: Column) -> Column:
     """Rounding of a fitted statistic: to a whole number when the column holds whole numbers, else to 2 digits."""
     return F.when(is_whole, F.bround(value, 0)).otherwise(F.bround(value, 2))
+
+
+def two_digits(value: Column) -> Column:
+    """Two digits, half up, after removing the noise of floating sums, so that x.xx5 does not depend on row order."""
+    return F.round(F.round(value, 8), 2)

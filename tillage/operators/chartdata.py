@@ -9,7 +9,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import is_number, numeric_columns
+from ..functions.values import is_number, numeric_columns, two_digits
 from ..plans.lookup import lookup
 from ..plans.quantiles import quantiles
 
@@ -175,7 +175,7 @@ def line_with_gaps(df: DataFrame, x: str, y: str, hue: str | None = None) -> Dat
     v = F.col(y).cast("double")
     means = [F.avg(F.when(F.col("_hue") == g, v)).alias(f"m_{i}") for i, g in enumerate(groups)]
     wide = df.filter(F.col(x).isNotNull()).withColumn("_hue", hue_of(hue)).groupBy(F.col(x).alias("x")).agg(*means)
-    cells = F.array(*[F.struct(F.lit(g).alias("hue"), F.round(f"m_{i}", 2).alias("mean_y")) for i, g in enumerate(groups)])
+    cells = F.array(*[F.struct(F.lit(g).alias("hue"), two_digits(F.col(f"m_{i}")).alias("mean_y")) for i, g in enumerate(groups)])
     return wide.select("x", F.explode(cells).alias("_c")).select("x", "_c.*").orderBy("x", "hue")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import BYTE_PAIRS, NEAR_BITS, byte, distance, first_pair, first_rest, pair_key, rest_bytes
+from ..functions.bits import BYTE_PAIRS, NEAR_BITS, distance, first_pair, first_third, pair_key, third_byte_keys
 from ..plans.lineage import pinned, settle
 from ..plans.lookup import lookup
 
@@ -49,51 +49,59 @@ def distinct_hashes(df: DataFrame, dhash: str = "dhash", order: str = "path") ->
     return df.filter(F.col(dhash).isNotNull()).groupBy(F.col(dhash).alias("h")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def similar_hashes(hashes: DataFrame, keep: tuple[str, ...] = ("first", "n"), max_bits: int = NEAR_BITS, full: int = FULL_BUCKET) -> DataFrame:
+def similar_hashes(
+    hashes: DataFrame, keep: tuple[str, ...] = ("first", "n"), max_bits: int = NEAR_BITS, full: int = FULL_BUCKET, settled: bool = False
+) -> DataFrame:
     """Pairs of different hashes that differ in at most ``max_bits`` bits: ``h_a < h_b`` by value, ``bits``, kept columns.
 
     Input is one row per hash (equal hashes are collapsed first, so a popular picture cannot make a large block).
     Hashes meet on equal byte pairs; an over-full pair is split by a third equal byte, which loses no pair. A pair
-    that meets on several keys is kept on the first only, so no distinct step is needed.
+    that meets on several keys is kept on the first only, so no distinct step is needed. ``settled`` says that the
+    input is stored already and need not be written before it is read several times.
     """
     if max_bits > NEAR_BITS:
         raise ValueError(f"the blocking keys cover at most {NEAR_BITS} bits")
+    if not settled:
+        hashes, _ = pinned(hashes.select("h", *keep))
     h = F.col("h")
     keys = F.array(*[F.struct(F.lit(p).alias("p"), pair_key(h, p).alias("v")) for p in range(len(BYTE_PAIRS))])
     keyed = hashes.select("h", *keep, F.explode(keys).alias("_k")).select("h", *keep, "_k.p", "_k.v")
-    blocks = keyed.withColumn("k", F.lit(-1))
-    if hashes.limit(full + 1).count() > full:
-        crowded = keyed.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > full).withColumn("_full", F.lit(True))
-        marked = lookup(keyed, crowded, ["v"], ["_full"], weight="_n")
-        third = F.lit(None)
-        for p in range(len(BYTE_PAIRS)):
-            deeper = F.array(*[
-                F.struct(F.lit(i).alias("k"), (F.col("v") * 256 + byte(h, i) + (F.lit(i + 1).cast("long") * (1 << 40))).alias("v"))
-                for i in rest_bytes(p)
-            ])
-            third = deeper if p == 0 else F.when(F.col("p") == p, deeper).otherwise(third)
-        plain = F.array(F.struct(F.lit(-1).alias("k"), F.col("v").alias("v")))
-        blocks = marked.select("h", *keep, "p", F.explode(F.when(F.col("_full"), third).otherwise(plain)).alias("_b")).select(
-            "h", *keep, "p", "_b.v", "_b.k"
-        )
-    a = blocks.select(*[F.col(c).alias(f"{c}_a") for c in ("h", *keep)], "p", "k", "v")
-    b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in ("h", *keep)], F.col("v").alias("v_b"))
+    if not hashes.limit(full + 1).count() > full:
+        return _meet(keyed, keep, max_bits, False)
+    crowded, _ = pinned(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > full).withColumn("_full", F.lit(True)))
+    if not crowded.take(1):
+        return _meet(keyed, keep, max_bits, False)
+    marked = lookup(keyed, crowded, ["v"], ["_full"], weight="_n")
+    deeper = marked.filter("_full").select("h", *keep, "p", F.explode(third_byte_keys(h, F.col("p"), F.col("v"))).alias("_b"))
+    return _meet(marked.filter("_full IS NULL").drop("_full"), keep, max_bits, False).unionByName(
+        _meet(deeper.select("h", *keep, "p", "_b.k", "_b.v"), keep, max_bits, True)
+    )
+
+
+def _meet(blocks: DataFrame, keep: tuple[str, ...], max_bits: int, third: bool) -> DataFrame:
+    """Join hashes on equal keys; both sides are the same rows, so their exchange is shared."""
+    columns = ("h", *keep, "p", *(["k"] if third else []), "v")
+    a = blocks.select(*[F.col(c).alias(f"{c}_a") for c in columns])
+    b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in columns])
     x = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    met = a.join(b, (F.col("v") == F.col("v_b")) & (F.col("h_a") < F.col("h_b")) & (distance(F.col("h_a"), F.col("h_b")) <= max_bits))
-    once = (first_pair(x) == F.col("p")) & ((F.col("k") == -1) | (first_rest(x, F.col("p")) == F.col("k")))
-    return met.filter(once).select(
+    once = first_pair(x) == F.col("p_a")
+    if third:
+        once = once & (first_third(x, F.col("p_a")) == F.col("k_a"))
+    # The cheap bit count decides first; only the few pairs that are near look at their other keys.
+    near = F.when((F.col("h_a") < F.col("h_b")) & (F.bit_count(x) <= max_bits), once).otherwise(False)
+    return a.join(b, (F.col("v_a") == F.col("v_b")) & near).select(
         "h_a", "h_b", *[f"{c}_{s}" for c in keep for s in "ab"], distance(F.col("h_a"), F.col("h_b")).alias("bits")
     )
 
 
-def similar_groups(hashes: DataFrame, max_bits: int = NEAR_BITS) -> DataFrame:
+def similar_groups(hashes: DataFrame, max_bits: int = NEAR_BITS, settled: bool = False) -> DataFrame:
     """For every hash that follows an earlier anchor: ``h`` and ``near_of`` (``first`` of that anchor).
 
     In order of ``first``, a hash is an anchor unless an anchor before it is within ``max_bits``; it then belongs to
     the smallest such anchor. Rounds: hashes without an undecided earlier neighbour are anchors, their neighbours
     are decided, and both leave. The pairs are written to the shared folder between rounds.
     """
-    pairs = similar_hashes(hashes, ("first",), max_bits)
+    pairs = similar_hashes(hashes, ("first",), max_bits, settled=settled)
     a_first = F.col("first_a") < F.col("first_b")
     edges = settle(pairs.select(
         F.when(a_first, F.col("h_a")).otherwise(F.col("h_b")).alias("src"),
@@ -123,7 +131,7 @@ def mark_similar(df: DataFrame, path: str = "path") -> DataFrame:
     counts = F.when(F.col("dup_of").isNull() & (F.col("state") != "Blank") & ~F.col("corrupted"), F.col("dhash"))
     ready = df.withColumn("_h", counts)
     hashes, _ = pinned(distinct_hashes(ready, "_h", path))
-    groups = similar_groups(hashes)
+    groups = similar_groups(hashes, settled=True)
     # Equal hashes follow the first image with that hash, or what that image follows.
     table = hashes.join(groups.drop("_n"), "h", "left").select(
         F.col("h").alias("_h"), F.coalesce("near_of", "first").alias("_near"), F.col("n").alias("_n")

@@ -12,10 +12,15 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Result tables up to this many rows may pass through the driver (parameters, categories, totals).
 SMALL_ROWS = 10_000
+# A stored table up to this many bytes, counted, may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 _own_folder: str | None = None
 
@@ -41,6 +46,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def may_broadcast(stored: DataFrame, rows: int) -> bool:
+    """Is a stored table small enough to broadcast? Counts the bytes of its values; fixed-width values count 8."""
+    if rows * 8 * len(stored.columns) > BROADCAST_BYTES:
+        return False
+    long_ = [f.name for f in stored.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in stored.schema):
+        return False
+    extra = stored.agg(sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in long_), F.lit(0))).first()[0] if long_ else 0
+    return rows * 24 * len(stored.columns) + extra <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a local relation when it has at most ``limit`` rows, else None."""
     rows = df.limit(limit + 1).collect()
@@ -50,6 +66,13 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
 
 
 def pinned(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Compute ``df`` once. Returns (rows, is_small); a large result is written to the shared folder."""
-    local = small(df, limit)
-    return (local, True) if local is not None else (settle(df), False)
+    """Compute ``df`` once. Returns (rows, is_small); a large result is written to the shared folder.
+
+    The size check and the write share one computation through a disk cache, which is dropped again at once.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        local = small(held, limit)
+        return (local, True) if local is not None else (settle(held), False)
+    finally:
+        held.unpersist()

@@ -1,6 +1,6 @@
 """Joining a wide data table with a table of per-key values, safe for hot keys.
 
-A lookup table with a checked, small number of rows is broadcast. A larger one is joined by shuffling, and
+A lookup table of a counted, small size is broadcast. A larger one is joined by shuffling, and
 the keys that hold a large share of the data rows are answered by a broadcast of only those keys (there can be
 at most ``HOT_PARTS`` of them) while their data rows are spread over salts, so that no task receives a hot key.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import SMALL_ROWS, pinned
+from .lineage import SMALL_ROWS, may_broadcast, pinned
 
 # A key is hot when it holds more than 1/HOT_PARTS of the rows: there are fewer than HOT_PARTS such keys.
 HOT_PARTS = 1000
@@ -37,15 +37,18 @@ def lookup(
     values: Sequence[str],
     weight: str | None = None,
     null_safe: bool = False,
-    max_broadcast: int = SMALL_ROWS,
+    max_broadcast: int | None = None,
 ) -> DataFrame:
     """Add the ``values`` columns of ``table`` (unique per ``keys``) to ``df``; no match gives nulls.
 
     ``weight`` names the column of ``table`` with the number of data rows per key. It is required for the
-    hot-key handling when the table turns out to be too large to broadcast.
+    hot-key handling when the table turns out to be too large to broadcast. ``max_broadcast`` sets the largest number
+    of rows to broadcast; by default the rows and bytes are counted.
     """
     keys, values = list(keys), list(values)
-    table, is_small = pinned(table, max_broadcast)
+    table, is_small = pinned(table, SMALL_ROWS if max_broadcast is None else max_broadcast)
+    if not is_small and max_broadcast is None:
+        is_small = may_broadcast(table, table.count())
     right = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values, *([weight] if weight and weight not in values else []))
     extra = [] if weight is None or weight in values else [weight]
     if is_small:

@@ -59,15 +59,8 @@ def _pick(placed: DataFrame, keys: list[str]) -> DataFrame:
 
 def _banded(cells: DataFrame, keys: list[str], probs: Sequence[float], band_rows: int) -> DataFrame:
     """Values inside a bracket per (key, prob), with positions counted from the start of the whole group."""
-    totals = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
-    state, _ = pinned(
-        totals.select(*keys, "n", "min", "max", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-        .select(*keys, "prob", "n", F.col("min").alias("lo"), F.col("max").alias("hi"),
-                F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
-    )
     margin = 3.0 / _ACCURACY
+    state, _ = pinned(_first_bracket(cells, keys, probs, margin))
     for _ in range(12):
         open_ = state.filter((F.col("inside") > band_rows) & (F.col("lo") < F.col("hi")))
         if not open_.take(1):
@@ -115,6 +108,35 @@ def _banded(cells: DataFrame, keys: list[str], probs: Sequence[float], band_rows
     return counts.withColumn("end", F.sum("w").over(upto))
 
 
+def _first_bracket(cells: DataFrame, keys: list[str], probs: Sequence[float], margin: float) -> DataFrame:
+    """One sketch pass and one counting pass over all cells: a bracket per (key, prob) with the rows below and inside."""
+    k = len(probs)
+    wanted = [min(1.0, max(0.0, p + m)) for p in probs for m in (-margin, margin)]
+    sketch, _ = pinned(
+        cells.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+            F.percentile_approx("value", wanted, _ACCURACY).alias("_g"),
+        ).select(*keys, "n", "min", "max", *[F.col("_g")[i].alias(f"g{i}") for i in range(2 * k)])
+    )
+    met = lookup(cells, sketch, keys, [c for c in sketch.columns if c not in keys], weight="n", null_safe=True)
+    counted = met.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in sketch.columns if c not in keys],
+        *[F.count_if(F.col("value") < F.col(f"g{2 * i}")).alias(f"u{i}") for i in range(k)],
+        *[F.count_if(F.col("value").between(F.col(f"g{2 * i}"), F.col(f"g{2 * i + 1}"))).alias(f"w{i}") for i in range(k)],
+    )
+    brackets = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        sure = (F.col(f"u{i}") <= F.floor(at)) & (F.ceil(at) < F.col(f"u{i}") + F.col(f"w{i}"))
+        pick = lambda a, b, s=sure: F.when(s, a).otherwise(b)
+        brackets.append(F.struct(
+            F.lit(float(p)).alias("prob"), F.col("n"), pick(F.col(f"g{2 * i}"), F.col("min")).alias("lo"),
+            pick(F.col(f"g{2 * i + 1}"), F.col("max")).alias("hi"), pick(F.col(f"u{i}"), F.lit(0)).cast("long").alias("below"),
+            pick(F.col(f"w{i}"), F.col("n")).cast("long").alias("inside"),
+        ))
+    return counted.select(*keys, F.explode(F.array(*brackets)).alias("_b")).select(*keys, "_b.*")
+
+
 def _in_band(cells: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """The cells inside the bracket of each (key, prob)."""
     packed = state.groupBy(*keys).agg(
