@@ -175,7 +175,14 @@ def i10_hashes(spark, folder):
     return imagecopies.similar_hashes(imagecopies.distinct_hashes(order_hashes(spark, folder)), ("first",))
 
 
-@query("i11_similar_to")
+@query("i11_similar_to", WITH_PICTURES.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT path, dhash FROM m WHERE NOT corrupted AND state <> 'Blank' AND dup_of IS NULL),
+  u AS (SELECT dhash AS h, min(path) AS first FROM c GROUP BY 1), o AS (SELECT h, first, row_number() OVER (ORDER BY first) AS i FROM u),
+  hs AS (SELECT list(h ORDER BY i) AS hs, list(first ORDER BY i) AS firsts FROM o),
+  step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS anchors, NULL::BIGINT AS near
+    UNION ALL SELECT n.i, CASE WHEN len(f) > 0 THEN anchors ELSE list_append(anchors, n.i) END, f[1] FROM (
+      SELECT s.i + 1 AS i, anchors, list_filter(anchors, lambda a: bit_count(xor(hs[a], hs[s.i + 1])) <= 5) AS f FROM step s, hs WHERE s.i < len(hs)) n)
+  SELECT c.path, CASE WHEN near IS NULL THEN o.first ELSE firsts[near] END AS near_of FROM c JOIN o ON o.h = c.dhash JOIN step ON step.i = o.i, hs
+  WHERE near IS NOT NULL OR c.path <> o.first""")
 def i11(spark, folder):
     df = imagecopies.exact_copies(measured(spark, folder), "data")
     return imagecopies.mark_similar(df).filter(F.col("near_of").isNotNull()).select("path", "near_of")
@@ -331,9 +338,24 @@ def g05_nearest(spark, folder):
     return _pixel_rows(rasters.brighten(pictures(spark, folder), 1.3, "nearest"))
 
 
-@query("g06_sharpen")
+@query("g06_sharpen", WITH_PICTURES + """, ch AS (SELECT px.id, px.nc, x, y, c, CASE c WHEN 0 THEN r WHEN 1 THEN gg ELSE b END AS v FROM px, range(3) t(c), m
+    WHERE m.id = px.id AND m.state IN ('Blurry', 'Very Blurry') AND (px.nc > 1 OR c = 0)),
+  kw AS (SELECT d, exp(-d * d / 8::DOUBLE) / sum(exp(-d * d / 8::DOUBLE)) OVER () AS w FROM range(-6, 7) t(d)),
+  w AS (SELECT o, least(7, greatest(0, o + d)) AS i, sum(w) AS w FROM range(8) t(o), kw GROUP BY ALL),
+  s1 AS (SELECT id, c, x, w.o AS y, sum(v * w.w) AS v FROM ch JOIN w ON w.i = y GROUP BY ALL),
+  s2 AS (SELECT id, c, w.o AS x, y, sum(v * w.w) AS v FROM s1 JOIN w ON w.i = x GROUP BY ALL),
+  d AS (SELECT ch.*, ch.v - s2.v AS diff FROM ch JOIN s2 ON s2.id = ch.id AND s2.c = ch.c AND s2.x = ch.x AND s2.y = ch.y),
+  n AS (SELECT id, nc, x, y, c, CASE WHEN abs(diff) > 3 THEN least(255, greatest(0, round_even(v + diff * 1.5::DOUBLE, 0)))::INT ELSE v END AS v FROM d
+    UNION ALL SELECT px.id, px.nc, x, y, 3, al FROM px, m WHERE m.id = px.id AND px.nc = 4 AND m.state IN ('Blurry', 'Very Blurry'))
+  SELECT id, any_value(nc)::INT AS n_channels, string_agg(printf('%02x', v), '' ORDER BY y, x, c) AS pixels FROM n GROUP BY id""")
 def g06(spark, folder):
-    """Blur score before and after sharpening."""
+    """The pixels of the blurry pictures after sharpening."""
+    return _pixel_rows(rasters.sharpen(measured(spark, folder)).filter("state = 'Sharpened'"))
+
+
+@query("g06_blur_before_after")
+def g06_scores(spark, folder):
+    """Mean blur score before and after sharpening."""
     before = measured(spark, folder).select("id", "state", F.col("blur_score").alias("before"), "corrupted", "height", "width", "n_channels", "data")
     after = rasters.measure(rasters.sharpen(before))
     return after.filter("state = 'Sharpened'").agg(F.count(F.lit(1)).alias("sharpened"), F.avg("before").alias("before"), F.avg("blur_score").alias("after"))
@@ -392,11 +414,22 @@ def g08_megapixels(spark, folder):
     return _planned(spark, folder, "megapixels", 0.25)
 
 
-@query("g09_resample")
+def _lanczos_sql(new: int) -> str:
+    """Normalised Lanczos-3 weights from 8 to ``new`` samples: columns o, i, w."""
+    scale = f"(8 / {new}::DOUBLE)"
+    wide = f"greatest(1::DOUBLE, {scale})"
+    return f"""(SELECT o, i, f / sum(f) OVER (PARTITION BY o) AS w FROM (SELECT o, i, CASE WHEN x = 0 THEN 1::DOUBLE WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0::DOUBLE END AS f
+      FROM (SELECT o, i, (i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {scale}) / {wide} AS x FROM range({new}) a(o), range(8) b(i))))"""
+
+
+@query("g09_resample", WITH_PICTURES + f""", ch AS (SELECT id, nc, x, y, c, CASE c WHEN 0 THEN r WHEN 1 THEN gg WHEN 2 THEN b ELSE al END AS v FROM px, range(4) t(c) WHERE c < nc),
+  wx AS {_lanczos_sql(12)}, wy AS {_lanczos_sql(6)},
+  s1 AS (SELECT id, nc, c, x, wy.o AS y, sum(v * w) AS v FROM ch JOIN wy ON wy.i = y GROUP BY ALL),
+  s2 AS (SELECT id, nc, c, wx.o AS x, y, sum(v * w) AS v FROM s1 JOIN wx ON wx.i = x GROUP BY ALL)
+  SELECT id, any_value(nc)::INT AS n_channels, string_agg(printf('%02x', least(255, greatest(0, round_even(round(v, 9), 0)))::INT), '' ORDER BY y, x, c) AS pixels FROM s2 GROUP BY id""")
 def g09(spark, folder):
-    """Pictures at 12x6 pixels, measured again."""
-    m = rasters.measure(rasters.resize(pictures(spark, folder), "exact", 12, 6))
-    return m.filter(~F.col("corrupted")).select("id", "width", "height", F.round("brightness", 3).alias("brightness"), F.length("data").alias("bytes"))
+    """Pictures resampled to 12x6 pixels."""
+    return _pixel_rows(rasters.resize(pictures(spark, folder), "exact", 12, 6))
 
 
 @query("g10_format_plan", SIZED + """SELECT doc_id, CASE WHEN NOT corrupted AND ext NOT IN ('.tif', '.tiff') THEN '.tiff' WHEN changed AND ext = '.gif' THEN '.png' ELSE ext END AS new_ext,

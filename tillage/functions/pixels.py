@@ -110,7 +110,7 @@ def lanczos_weights(size: int, new: int) -> np.ndarray:
 
 def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
     out = _along(_along(a.astype(np.float64), 1, lanczos_weights(a.shape[1], height)), 2, lanczos_weights(a.shape[2], width))
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(np.round(out, 9)), 0, 255).astype(np.uint8)
 
 
 def bmp_bytes(a: np.ndarray) -> bytes:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import ISO_DATE, is_date, is_number
-from ..plans.lineage import settle, small
+from ..plans.lineage import pinned
 from ..plans.lookup import lookup
 from ..plans.rows import hash_key, with_row_id
 
@@ -31,11 +31,10 @@ def category_table(df: DataFrame, column: str, order_by: Sequence[str] | None =
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
     )
-    few = small(cats)
-    if few is None:
-        cats = settle(cats)
+    cats, few = pinned(cats)
+    if not few:
         return with_row_id(cats, ["first", "value"] if order_by else ["value"], "code").select("value", "n", "code")
-    rows = sorted(few.collect(), key=lambda r: (tuple(r["first"]), r["value"]) if order_by else r["value"])
+    rows = sorted(cats.collect(), key=lambda r: (tuple(r["first"]), r["value"]) if order_by else r["value"])
     kind = df.schema[column].dataType if not as_text else T.StringType()
     schema = T.StructType(
         [T.StructField("value", kind), T.StructField("n", T.LongType()), T.StructField("code", T.LongType())]

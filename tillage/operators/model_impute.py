@@ -97,13 +97,16 @@ def neighbour_fills(df: DataFrame, column: str, columns: Sequence[str] | None =
     nearest ``k`` rows per receiver, and those are merged: memory per task is bounded and nothing is broadcast.
     """
     columns = list(columns or text_columns(df))
-    coded, _ = _coded(df, columns)
+    return _nearest_codes(_coded(df, columns)[0], column, columns, k)
+
+
+def _nearest_codes(coded: DataFrame, column: str, columns: Sequence[str], k: int) -> DataFrame:
     codes = [f"_c{i}" for i in range(len(columns))]
     target = f"_c{columns.index(column)}"
     patterns = settle(coded.groupBy(*codes).agg(F.count(F.lit(1)).alias("n")))
     receivers, donors = patterns.filter(F.col(target).isNull()), patterns.filter(F.col(target).isNotNull())
-    r_blocks = -(-receivers.count() // RECEIVER_BLOCK) or 1
-    d_blocks = -(-donors.count() // DONOR_BLOCK) or 1
+    counts = patterns.agg(F.count_if(F.col(target).isNull()), F.count_if(F.col(target).isNotNull())).first()
+    r_blocks, d_blocks = -(-counts[0] // RECEIVER_BLOCK) or 1, -(-counts[1] // DONOR_BLOCK) or 1
     spread = lambda blocks: F.pmod(F.xxhash64(*codes), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = receivers.withColumn("rb", spread(r_blocks)).withColumn("db", every(d_blocks))
@@ -153,7 +156,7 @@ def fill_neighbours(df: DataFrame, column: str, columns: Sequence[str] | None =
     columns = list(columns or text_columns(df))
     coded, tables = _coded(df, columns)
     codes = [f"_c{i}" for i in range(len(columns))]
-    fills = neighbour_fills(df, column, columns, k).withColumnRenamed("code", "_fill")
+    fills = _nearest_codes(coded, column, columns, k).withColumnRenamed("code", "_fill")
     found = lookup(coded, fills, codes, ["_fill"], weight="n", null_safe=True)
     mean = tables[column].agg(F.bround(F.sum(F.col("code") * F.col("n")).cast("double") / F.sum("n"), 0).cast("long")).first()[0]
     if mean is None:  # no present value: nothing to fill from

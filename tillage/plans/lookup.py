@@ -27,7 +27,7 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: boo
 
 
 def _hashable(df: DataFrame) -> list[Column]:
-    return [F.col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.BinaryType))]
 
 
 def lookup(
@@ -38,15 +38,20 @@ def lookup(
     weight: str | None = None,
     null_safe: bool = False,
     max_broadcast: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the ``values`` columns of ``table`` (unique per ``keys``) to ``df``; no match gives nulls.
 
     ``weight`` names the column of ``table`` with the number of data rows per key. It is required for the
     hot-key handling when the table turns out to be too large to broadcast. ``max_broadcast`` sets the largest number
-    of rows to broadcast; by default the rows and bytes are counted.
+    of rows to broadcast; by default the rows and bytes are counted. ``bounded`` says that the
+    caller has already checked the size (the table is derived from a pinned small one).
     """
     keys, values = list(keys), list(values)
-    table, is_small = pinned(table, SMALL_ROWS if max_broadcast is None else max_broadcast)
+    if bounded:
+        is_small = True
+    else:
+        table, is_small = pinned(table, SMALL_ROWS if max_broadcast is None else max_broadcast)
     if not is_small and max_broadcast is None:
         is_small = may_broadcast(table, table.count())
     right = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values, *([weight] if weight and weight not in values else []))

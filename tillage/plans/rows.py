@@ -110,19 +110,17 @@ def fill_along(
         if forward
         else F.min(F.when(F.col(column).isNotNull(), F.struct(F.col(row), F.col(column)))).alias("_edge")
     )
-    # One row per block (at most about 50,000 of them).
+    # One row per block (at most about 50,000 of them): which block does a carried value come from? Only block numbers
+    # pass through this window; the values stay distributed.
     over = Window.partitionBy(F.lit(0)).orderBy(F.col("_block") if forward else F.col("_block").desc())
-    carry = edges.select(
-        "_block",
-        F.last(F.col(f"_edge.{column}"), ignorenulls=True)
-        .over(over.rowsBetween(Window.unboundedPreceding, -1))
-        .cast(kind)
-        .alias("_carry"),
-    )
+    source = F.last(F.when(F.col("_edge").isNotNull(), F.col("_block")), ignorenulls=True)
+    carry = edges.select("_block", source.over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
+    values = edges.select(F.col("_block").alias("_from"), F.col(f"_edge.{column}").cast(kind).alias("_carry"))
+    carry = carry.join(values, "_from").select("_block", "_carry")
     inside = Window.partitionBy("_block").orderBy(F.col(row) if forward else F.col(row).desc())
     near = F.last(F.col(column), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    filled = blocked.withColumn("_near", near)
-    joined = filled.join(F.broadcast(carry), "_block", "left")
+    # The rows are partitioned by block already, so this join moves only the carried values.
+    joined = blocked.withColumn("_near", near).join(carry, "_block", "left")
     return joined.select(
         *[F.coalesce("_near", "_carry").alias(c) if c == column else F.col(c) for c in df.columns]
     )

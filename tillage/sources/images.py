@@ -34,25 +34,28 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images with their file data. A file that cannot be decoded stays as a row with ``corrupted`` and an error."""
-    files = list_images(spark, folder)
-    decoded = (
-        spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
-        .filter(ext_of(name_of(F.col("image.origin"))).isin(list(IMAGE_EXTENSIONS)))
-    )
-    origin = decoded.select(F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B"))).alias("_o"), "image")
-    shapes = origin.select(
-        _plain_path("_o").alias("path"), F.nullif("image.height", F.lit(-1)).alias("height"), F.nullif("image.width", F.lit(-1)).alias("width"),
-        F.nullif("image.nChannels", F.lit(-1)).alias("n_channels"), F.when(F.col("image.width") > 0, F.col("image.data")).alias("data"),
-    )
-    met = files.join(shapes, "path", "left").withColumn("corrupted", F.col("data").isNull())
+    """Decoded images: path, name, ext, size, corrupted, error and the raster columns.
+
+    A file that cannot be decoded stays as a row with ``corrupted`` and an error. Path and size come from the file
+    metadata of the same scan, so nothing is joined or shuffled; the file bytes are read by ``list_images`` only.
+    """
+    scan = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    files = scan.select(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_p"),
+        F.col("_metadata.file_size").alias("size"), "image",
+    ).withColumn("path", _plain_path("_p")).withColumn("name", name_of(F.col("path"))).withColumn("ext", ext_of(F.col("name")))
+    good = F.col("image.width") > 0
     error = F.substring(F.concat(F.lit("undecodable: "), F.col("ext")), 1, ERROR_LENGTH)
-    met = met.withColumn("error", F.when(F.col("corrupted"), error))
+    rows = files.filter(F.col("ext").isin(list(IMAGE_EXTENSIONS))).select(
+        "path", "name", "ext", "size", (~good).alias("corrupted"), F.when(~good, error).alias("error"),
+        F.when(good, F.col("image.height")).alias("height"), F.when(good, F.col("image.width")).alias("width"),
+        F.when(good, F.col("image.nChannels")).alias("n_channels"), F.when(good, F.col("image.data")).alias("data"),
+    )
 
     def to_rgb_order(a):  # the image reader gives blue first, with alpha last
-        return a if a.shape[-1] == 1 else a[..., [2, 1, 0, *range(3, a.shape[-1])]]
+        return a[..., [2, 1, 0, *range(3, a.shape[-1])]]
 
-    return apply_raster(met, to_rgb_order, stacked=True).withColumn("changed", F.lit(False))
+    return apply_raster(rows, to_rgb_order, skip=F.col("n_channels") == 1, stacked=True).withColumn("changed", F.lit(False))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

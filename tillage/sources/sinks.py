@@ -8,6 +8,7 @@ import posixpath
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
@@ -22,6 +23,13 @@ def _clean(path: str) -> str:
     return posixpath.normpath(re.sub(r"^file:/*(?=/)", "", path.rstrip("/")))
 
 
+def _filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a plain path or a URI, and the path inside it."""
+    if not re.match(r"^[a-z0-9]+:/", path):
+        return arrow_fs.LocalFileSystem(), os.path.abspath(path)
+    return arrow_fs.FileSystem.from_uri(quote(path, safe=":/%@"))
+
+
 def check_target(target: str, sources: Sequence[str]) -> None:
     """Refuse a target that is a source folder or lies below one."""
     there = _clean(target)
@@ -71,7 +79,7 @@ class _FileWriter(DataSourceWriter):
         self.target, self.lines = target, lines
 
     def _open(self) -> tuple[arrow_fs.FileSystem, str]:
-        return arrow_fs.FileSystem.from_uri(self.target)
+        return _filesystem(self.target)
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -90,11 +98,15 @@ class _FileWriter(DataSourceWriter):
         for row in rows:
             final = f"{root}/{row['target']}"
             try:
-                if row["content"] is None:
+                if row["content"] is None and row["source"] is None:
                     raise ValueError("no content")
                 fs.create_dir(posixpath.dirname(final), recursive=True)
-                with fs.open_output_stream(final + mark) as out:
-                    out.write(bytes(row["content"]))
+                if row["content"] is None:  # an unchanged file is copied byte for byte
+                    source_fs, source = _filesystem(row["source"])
+                    arrow_fs.copy_files(source, final + mark, source_filesystem=source_fs, destination_filesystem=fs)
+                else:
+                    with fs.open_output_stream(final + mark) as out:
+                        out.write(bytes(row["content"]))
                 self._finish(fs, final + mark, final)
                 saved += 1
             except (OSError, ValueError):
@@ -132,7 +144,7 @@ class _FileWriter(DataSourceWriter):
 
 
 class FileSink(DataSource):
-    """Sink ``tillage_files``: rows (target, content) become files, or with ``lines`` rows (file, line_no, line) text files."""
+    """Sink ``tillage_files``: rows (target, content, source) become files, or with ``lines`` rows (file, line_no, line) text files."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,27 +154,28 @@ class FileSink(DataSource):
         return _FileWriter(self.options["path"], self.options.get("lines", "false") == "true")
 
 
-def _uri(target: str) -> str:
-    return target if re.match(r"^[a-z0-9]+:", target) else "file://" + os.path.abspath(target)
-
-
 def _save(df: DataFrame, target: str, sources: Sequence[str], lines: bool) -> tuple[int, int]:
     check_target(target, sources)
     spark = df.sparkSession
-    uri = _uri(target)
-    fs, root = arrow_fs.FileSystem.from_uri(uri)
+    fs, root = _filesystem(target)
+    target = target if ":/" in target else root  # executors have other working folders
     if fs.get_file_info(root).type != arrow_fs.FileType.NotFound:
         raise ValueError(f"{target} exists: choose a new folder")
     spark.dataSource.register(FileSink)
-    df.write.format("tillage_files").option("lines", str(lines).lower()).mode("append").save(uri)
+    df.write.format("tillage_files").option("lines", str(lines).lower()).mode("append").save(target)
     with fs.open_input_stream(f"{root}/_report.json") as done:
         report = json.loads(done.read())
     return report["saved"], report["failed"]
 
 
 def save_files(df: DataFrame, target: str, sources: Sequence[str] = ()) -> tuple[int, int]:
-    """Write rows (target, content) as files below a new folder; returns (saved, failed)."""
-    return _save(df.select("target", "content"), target, sources, False)
+    """Write rows (target, content, source) as files below a new folder; returns (saved, failed).
+
+    A row without content copies the file ``source``: unchanged images never travel through a shuffle.
+    """
+    content = F.col("content") if "content" in df.columns else F.lit(None).cast("binary")
+    source = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
+    return _save(df.select("target", content.alias("content"), source.alias("source")), target, sources, False)
 
 
 def save_lines(df: DataFrame, target: str, sources: Sequence[str] = ()) -> tuple[int, int]:
@@ -184,7 +197,7 @@ def save_lines_in_parts(df: DataFrame, target: str, sources: Sequence[str] = ())
     return _save(placed.withColumn("file", part), target, sources, True)
 
 
-def image_export(df: DataFrame, original: str = "content", encoded: str = "encoded", force: bool = False) -> DataFrame:
-    """Rows (target, content): unchanged images keep their bytes, changed ones (or all, with ``force``) use the encoded pixels."""
-    content = F.col(encoded) if force else F.when(F.col("changed"), F.col(encoded)).otherwise(F.col(original))
-    return df.select("target", content.alias("content"))
+def image_export(df: DataFrame, encoded: str = "encoded", path: str = "path", force: bool = False) -> DataFrame:
+    """Rows for ``save_files``: changed images (or all, with ``force``) are written from their encoded pixels, others copied."""
+    edited = F.lit(True) if force else F.col("changed")
+    return df.select("target", F.when(edited, F.col(encoded)).alias("content"), F.when(~edited, F.col(path)).alias("source"))
