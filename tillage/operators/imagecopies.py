@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import BYTE_PAIRS, NEAR_BITS, distance, first_pair, first_third, pair_key, third_byte_keys
+from ..functions.bits import LEVELS, NEAR_BITS, deeper_keys, distance, first_keys, is_first_key
 from ..plans.lineage import pinned, settle
 from ..plans.lookup import lookup
 
-# A blocking key with more hashes than this gets one more byte.
+# A blocking key with more hashes than this is split by more bits.
 FULL_BUCKET = 4_000
 
 
@@ -55,41 +55,46 @@ def similar_hashes(
     """Pairs of different hashes that differ in at most ``max_bits`` bits: ``h_a < h_b`` by value, ``bits``, kept columns.
 
     Input is one row per hash (equal hashes are collapsed first, so a popular picture cannot make a large block).
-    Hashes meet on equal byte pairs; an over-full pair is split by a third equal byte, which loses no pair. A pair
-    that meets on several keys is kept on the first only, so no distinct step is needed. ``settled`` says that the
-    input is stored already and need not be written before it is read several times.
+    Hashes meet on blocking keys that cover every such pair (``functions.bits``). A key with more than ``full`` hashes
+    is split by more bits, level by level, which loses no pair. A pair that meets on several keys is kept on the first
+    only, so no distinct step is needed. ``settled`` says that the input is stored already and need not be written
+    before it is read several times.
     """
     if max_bits > NEAR_BITS:
         raise ValueError(f"the blocking keys cover at most {NEAR_BITS} bits")
     if not settled:
         hashes, _ = pinned(hashes.select("h", *keep))
     h = F.col("h")
-    keys = F.array(*[F.struct(F.lit(p).alias("p"), pair_key(h, p).alias("v")) for p in range(len(BYTE_PAIRS))])
-    keyed = hashes.select("h", *keep, F.explode(keys).alias("_k")).select("h", *keep, "_k.p", "_k.v")
-    if not hashes.limit(full + 1).count() > full:
-        return _meet(keyed, keep, max_bits, False)
-    crowded, _ = pinned(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > full).withColumn("_full", F.lit(True)))
-    if not crowded.take(1):
-        return _meet(keyed, keep, max_bits, False)
-    marked = lookup(keyed, crowded, ["v"], ["_full"], weight="_n")
-    deeper = marked.filter("_full").select("h", *keep, "p", F.explode(third_byte_keys(h, F.col("p"), F.col("v"))).alias("_b"))
-    return _meet(marked.filter("_full IS NULL").drop("_full"), keep, max_bits, False).unionByName(
-        _meet(deeper.select("h", *keep, "p", "_b.k", "_b.v"), keep, max_bits, True)
-    )
-
-
-def _meet(blocks: DataFrame, keep: tuple[str, ...], max_bits: int, third: bool) -> DataFrame:
+    blocks = hashes.select("h", *keep, F.explode(first_keys(h)).alias("_k")).select("h", *keep, "_k.path", "_k.v")
+    many = hashes.limit(full + 1).count() > full
+    found = None
+    for level in range(1, LEVELS + 1):
+        crowded = None
+        if many and level < LEVELS:
+            sizes = blocks.groupBy("path", "v").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > full)
+            crowded, _ = pinned(sizes.withColumn("_full", F.lit(True)))
+            crowded = crowded if crowded.take(1) else None
+        if crowded is not None:
+            marked = lookup(blocks, crowded, ["path", "v"], ["_full"], weight="_n")
+            blocks = marked.filter("_full IS NULL").drop("_full")
+        pairs = _meet(blocks, keep, max_bits, level)
+        found = pairs if found is None else found.unionByName(pairs)
+        if crowded is None:
+            break
+        full_ones = marked.filter("_full").select("h", *keep, F.explode(deeper_keys(h, F.col("path"), level + 1)).alias("_k"))
+        blocks, _ = pinned(full_ones.select("h", *keep, "_k.path", "_k.v"))
+    return found
+
+
+def _meet(blocks: DataFrame, keep: tuple[str, ...], max_bits: int, level: int) -> DataFrame:
     """Join hashes on equal keys; both sides are the same rows, so their exchange is shared."""
-    columns = ("h", *keep, "p", *(["k"] if third else []), "v")
+    columns = ("h", *keep, "path", "v")
     a = blocks.select(*[F.col(c).alias(f"{c}_a") for c in columns])
     b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in columns])
     x = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    once = first_pair(x) == F.col("p_a")
-    if third:
-        once = once & (first_third(x, F.col("p_a")) == F.col("k_a"))
     # The cheap bit count decides first; only the few pairs that are near look at their other keys.
-    near = F.when((F.col("h_a") < F.col("h_b")) & (F.bit_count(x) <= max_bits), once).otherwise(False)
-    return a.join(b, (F.col("v_a") == F.col("v_b")) & near).select(
+    near = F.when((F.col("h_a") < F.col("h_b")) & (F.bit_count(x) <= max_bits), is_first_key(x, F.col("path_a"), level)).otherwise(False)
+    return a.join(b, (F.col("path_a") == F.col("path_b")) & (F.col("v_a") == F.col("v_b")) & near).select(
         "h_a", "h_b", *[f"{c}_{s}" for c in keep for s in "ab"], distance(F.col("h_a"), F.col("h_b")).alias("bits")
     )
 

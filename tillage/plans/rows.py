@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import settle
+from .lineage import pinned, settle
 from .lookup import lookup
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, position inside the partition below
@@ -103,19 +103,16 @@ def fill_along(
     """
     if block_rows is None:
         block_rows = max(4096, df.count() // 50_000 + 1)
-    kind = df.schema[column].dataType
     blocked = df.withColumn("_block", F.floor(F.col(row) / block_rows).cast("long"))
-    edges = blocked.groupBy("_block").agg(
-        F.max(F.when(F.col(column).isNotNull(), F.struct(F.col(row), F.col(column)))).alias("_edge")
-        if forward
-        else F.min(F.when(F.col(column).isNotNull(), F.struct(F.col(row), F.col(column)))).alias("_edge")
-    )
+    at = F.when(F.col(column).isNotNull(), F.col(row))
+    edge = (F.max_by if forward else F.min_by)(column, at)
+    edges, _ = pinned(blocked.groupBy("_block").agg(F.count(column).alias("_present"), edge.alias("_value")))
     # One row per block (at most about 50,000 of them): which block does a carried value come from? Only block numbers
     # pass through this window; the values stay distributed.
     over = Window.partitionBy(F.lit(0)).orderBy(F.col("_block") if forward else F.col("_block").desc())
-    source = F.last(F.when(F.col("_edge").isNotNull(), F.col("_block")), ignorenulls=True)
+    source = F.last(F.when(F.col("_present") > 0, F.col("_block")), ignorenulls=True)
     carry = edges.select("_block", source.over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
-    values = edges.select(F.col("_block").alias("_from"), F.col(f"_edge.{column}").cast(kind).alias("_carry"))
+    values = edges.select(F.col("_block").alias("_from"), F.col("_value").alias("_carry"))
     carry = carry.join(values, "_from").select("_block", "_carry")
     inside = Window.partitionBy("_block").orderBy(F.col(row) if forward else F.col(row).desc())
     near = F.last(F.col(column), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
