@@ -42,6 +42,8 @@ def drop_duplicates(df: DataFrame, row: str | None = None, columns: Sequence[str
         return df.dropDuplicates(list(columns) if columns else None)
     columns = list(columns or [c for c in df.columns if c != row])
     rest = [c for c in df.columns if c != row and c not in columns]
+    if not rest:
+        return df.groupBy(*columns).agg(F.min(row).alias(row)).select(*df.columns)
     first = df.groupBy(*columns).agg(F.min(F.struct(row, *rest)).alias("_f"))
     return first.select(*[F.col(c) if c in columns else F.col(f"_f.{c}").alias(c) for c in df.columns])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import ISO_DATE, is_date, is_number
-from ..plans.lineage import pinned
+from ..plans.lineage import local_rows, pinned
 from ..plans.lookup import lookup
 from ..plans.rows import hash_key, with_row_id
 
@@ -39,7 +39,7 @@ def category_table(df: DataFrame, column: str, order_by: Sequence[str] | None =
     schema = T.StructType(
         [T.StructField("value", kind), T.StructField("n", T.LongType()), T.StructField("code", T.LongType())]
     )
-    return df.sparkSession.createDataFrame([(r["value"], r["n"], i) for i, r in enumerate(rows)], schema)
+    return local_rows(df.sparkSession, [(r["value"], r["n"], i) for i, r in enumerate(rows)], schema)
 
 
 def check_encodable(df: DataFrame, column: str, method: str) -> None:
@@ -172,7 +172,7 @@ def target_folds(df: DataFrame, column: str, target_column: str, key: Sequence[s
         m = n - r["n"]
         mean = (s - r["s"]) / m
         rest.append((f, mean, max(0.0, (q - r["q"]) / m - mean * mean)))
-    folds_table = F.broadcast(df.sparkSession.createDataFrame(rest, "_fold int, all_mean double, all_var double"))
+    folds_table = F.broadcast(local_rows(df.sparkSession, rest, "_fold int, all_mean double, all_var double"))
     whole = part.groupBy("value").agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"), F.sum("q").alias("cq"))
     # Only (category, fold) pairs that hold rows are needed.
     same = F.col("p.value").eqNullSafe(F.col("w.value"))

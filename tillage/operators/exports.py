@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import local_rows
 from ..plans.lookup import lookup
 from .split import SPLITS
 
@@ -26,7 +27,7 @@ def folder_targets(df: DataFrame, label: str = "label", file: str = "file", spli
 
 
 def _lines(spark: SparkSession, file: str, start: int, texts: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(file, start + i, t) for i, t in enumerate(texts)], "file string, line_no long, line string")
+    return local_rows(spark, [(file, start + i, t) for i, t in enumerate(texts)], "file string, line_no bigint, line string")
 
 
 def class_lines(classes: DataFrame, with_ids: bool, file: str = "classes.txt") -> DataFrame:

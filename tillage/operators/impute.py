@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import is_number
+from ..plans.lineage import local_rows
 from ..plans.quantiles import quantiles
 from ..plans.rows import fill_along, with_row_id
 from .profile import column_modes
@@ -71,8 +72,8 @@ def fit(
         rows.append((c, methods[c], wide["n"] - wide[f"p_{i}"], bool(wide[f"w_{i}"]) if c in numbers else None,
                      float(value) if methods[c] == "mean" and value is not None else None,
                      value if methods[c] == "constant" else None))
-    params = df.sparkSession.createDataFrame(
-        rows, "column string, method string, missing long, whole boolean, number double, text string"
+    params = local_rows(
+        df.sparkSession, rows, "column string, method string, missing bigint, whole boolean, number double, text string"
     )
     medians = [c for c, m in methods.items() if m == "median"]
     if medians:
@@ -114,8 +115,8 @@ def fill(df: DataFrame, methods: dict[str, str], **options) -> DataFrame:
 
 def preview(df: DataFrame, methods: dict[str, str], **options) -> DataFrame:
     """What a fill would do, before doing it: type, missing count, method and replacement value per column."""
-    kinds = df.sparkSession.createDataFrame(
-        [(c, df.schema[c].dataType.simpleString(), methods_for(df.schema[c].dataType)) for c in methods if c in df.columns],
+    kinds = local_rows(
+        df.sparkSession, [(c, df.schema[c].dataType.simpleString(), methods_for(df.schema[c].dataType)) for c in methods if c in df.columns],
         "column string, type string, offered array<string>",
     )
     return kinds.join(fit(df, methods, **options), "column")

@@ -11,7 +11,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +59,19 @@ def may_broadcast(stored: DataFrame, rows: int) -> bool:
     return rows * 24 * len(stored.columns) + extra <= BROADCAST_BYTES
 
 
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few driver rows as a local relation, whose size the optimizer knows."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not rows:
+        return spark.createDataFrame([], schema)
+    columns = [pa.array(list(c)) for c in zip(*rows)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a local relation when it has at most ``limit`` rows, else None."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(limit + 1).toArrow()
+    return None if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def pinned(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:

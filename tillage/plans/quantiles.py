@@ -32,7 +32,9 @@ def quantiles(
     """Linear-interpolated quantiles: columns ``by``, ``column``, ``prob``, ``n``, ``quantile``."""
     by = list(by)
     keys = [*by, "column"]
+    # The column is a number in the shuffles and becomes its name at the end.
     cells = unpivot_numbers(df, columns, by)
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column") + 1)
     rows = df.count() if rows is None else rows
     if rows <= band_rows:
         counts = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("w"))
@@ -40,8 +42,10 @@ def quantiles(
         every = Window.partitionBy(*keys)
         placed = counts.select(*keys, "value", "w", F.sum("w").over(upto).alias("end"), F.sum("w").over(every).alias("n"))
         wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-        return _pick(placed.select("*", wanted).withColumn("below", F.lit(0)), keys)
-    return _pick(_banded(cells, keys, probs, band_rows), keys)
+        placed = placed.select("*", wanted).withColumn("below", F.lit(0))
+    else:
+        placed = _banded(cells, keys, probs, band_rows)
+    return _pick(placed, keys).withColumn("column", names)
 
 
 def _pick(placed: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lineage import local_rows
+
 Step = tuple[str, dict, str]
 
 _actions: dict[str, Callable[..., DataFrame]] = {}
@@ -56,8 +58,8 @@ class Recipe:
             after = df.count()
             rows.append((i, name, json.dumps(params, sort_keys=True), at, before, after, df.columns))
             before = after
-        return spark.createDataFrame(
-            rows, "step int, action string, parameters string, at string, rows_before long, rows_after long, columns array<string>"
+        return local_rows(
+            spark, rows, "step int, action string, parameters string, at string, rows_before bigint, rows_after bigint, columns array<string>"
         )
 
     def save(self, folder: str) -> None:

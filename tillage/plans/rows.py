@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import pinned, settle
+from .lineage import local_rows, pinned, settle
 from .lookup import lookup
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, position inside the partition below
@@ -32,9 +32,7 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "_r
     part = F.shiftright("_at", _LOCAL_BITS)
     counts = sorted(placed.groupBy(part.alias("part")).count().collect())  # one row per partition
     starts = [0, *accumulate(n for _, n in counts)]
-    table = df.sparkSession.createDataFrame(
-        [(p, s) for (p, _), s in zip(counts, starts)], "_part long, _start long"
-    )
+    table = local_rows(df.sparkSession, [(p, s) for (p, _), s in zip(counts, starts)], "_part bigint, _start bigint")
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(table), "_part")
@@ -124,7 +122,7 @@ def fill_along(
 
 
 def unpivot_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), drop_nulls: bool = True) -> DataFrame:
-    """One row per (kept columns, column, value as double)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(T.DoubleType()).alias("value")) for c in columns])
+    """One row per (kept columns, column position, value as double)."""
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast(T.DoubleType()).alias("value")) for i, c in enumerate(columns)])
     out = df.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.column", "_c.value")
     return out.filter(F.col("value").isNotNull()) if drop_nulls else out
