@@ -152,9 +152,9 @@ def i10(spark, folder):
     return imagecopies.similar_hashes(imagecopies.distinct_hashes(m), ("n",))
 
 
-def order_hashes(spark, folder):
-    """A 63-bit hash per order, and for every fourth order a second one with 1 to 8 bits flipped."""
-    o = table(spark, folder, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("m"))
+def key_hashes(df, key):
+    """A 63-bit hash per key, and for every fourth key a second one with 1 to 8 bits flipped."""
+    o = df.select(F.col(key).alias("o_orderkey"), F.md5(F.col(key).cast("string")).alias("m"))
     half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
     h = (half(1) % F.lit(1 << 31)) * F.lit(1 << 32) + half(9)
     flips = F.expr("aggregate(sequence(0L, o_orderkey % 8), 0L, (a, j) -> a ^ shiftleft(1L, int((o_orderkey * 5 + 11 * j) % 63)))")
@@ -164,6 +164,10 @@ def order_hashes(spark, folder):
     )
 
 
+def order_hashes(spark, folder):
+    return key_hashes(table(spark, folder, "orders"), "o_orderkey")
+
+
 ORDER_HASHES = """o AS (SELECT o_orderkey AS k, (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 2147483648) * 4294967296 + ('0x' || substr(md5(o_orderkey::VARCHAR), 9, 8))::BIGINT AS h FROM orders),
   h0 AS (SELECT k * 2 AS path, h FROM o UNION ALL SELECT k * 2 + 1, xor(h, list_sum(list_transform(range(k % 8 + 1), lambda j: 1::BIGINT << ((k * 5 + 11 * j) % 63)::INT))::BIGINT) FROM o WHERE k % 4 = 0),
   h AS (SELECT h, min(path) AS first, count(*) AS n FROM h0 GROUP BY 1)"""

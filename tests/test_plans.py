@@ -113,3 +113,17 @@ def test_recipe_steps(spark, tmp_path):
     for _ in range(30):
         many = many.then("twice")
     assert len(many.steps) == 30 and len(many.undo().steps) == 29
+
+
+def test_wide_values_do_not_pass_the_driver(spark, monkeypatch):
+    df = spark.range(30).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array("id").alias("a"))
+    rows = lineage.small(df)
+    assert sorted(r.id for r in rows.collect()) == list(range(30)) and rows.schema == df.schema
+    assert lineage.small(df, 29) is None
+    monkeypatch.setattr(lineage, "SMALL_BYTES", 20_000)
+    assert lineage.small(df) is None
+    stored, is_small = lineage.pinned(df)
+    assert not is_small and sorted(r.id for r in stored.collect()) == list(range(30))
+    assert lineage.may_broadcast(stored, 30)
+    monkeypatch.setattr(lineage, "BROADCAST_BYTES", 20_000)
+    assert not lineage.may_broadcast(stored, 30)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import LEVELS, NEAR_BITS, deeper_keys, distance, first_keys, is_first_key
-from ..plans.lineage import pinned, settle
+from ..plans.lineage import pinned
 from ..plans.lookup import lookup
 
 # A blocking key with more hashes than this is split by more bits.
@@ -104,11 +104,11 @@ def similar_groups(hashes: DataFrame, max_bits: int = NEAR_BITS, settled: bool =
 
     In order of ``first``, a hash is an anchor unless an anchor before it is within ``max_bits``; it then belongs to
     the smallest such anchor. Rounds: hashes without an undecided earlier neighbour are anchors, their neighbours
-    are decided, and both leave. The pairs are written to the shared folder between rounds.
+    are decided, and both leave. Many pairs are written to the shared folder between rounds.
     """
     pairs = similar_hashes(hashes, ("first",), max_bits, settled=settled)
     a_first = F.col("first_a") < F.col("first_b")
-    edges = settle(pairs.select(
+    edges, _ = pinned(pairs.select(
         F.when(a_first, F.col("h_a")).otherwise(F.col("h_b")).alias("src"),
         F.when(a_first, F.col("h_b")).otherwise(F.col("h_a")).alias("dst"),
         F.when(a_first, F.col("first_a")).otherwise(F.col("first_b")).alias("src_first"),

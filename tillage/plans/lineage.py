@@ -15,12 +15,13 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Result tables up to this many rows may pass through the driver (parameters, categories, totals).
 SMALL_ROWS = 10_000
+SMALL_BYTES = 16 << 20
 # A stored table up to this many bytes, counted, may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -48,15 +49,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_VARIABLE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of the values of a row, fixed-width values counted as 24."""
+    parts = [F.lit(24 * len(df.columns)).cast("long")]
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long"))
+        elif isinstance(f.dataType, _VARIABLE):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)).cast("long"))
+    return sum(parts[1:], parts[0])
+
+
 def may_broadcast(stored: DataFrame, rows: int) -> bool:
-    """Is a stored table small enough to broadcast? Counts the bytes of its values; fixed-width values count 8."""
-    if rows * 8 * len(stored.columns) > BROADCAST_BYTES:
+    """Is a stored table small enough to broadcast? Its rows are known, its bytes are counted."""
+    if rows * 24 * len(stored.columns) > BROADCAST_BYTES:
         return False
-    long_ = [f.name for f in stored.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in stored.schema):
-        return False
-    extra = stored.agg(sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in long_), F.lit(0))).first()[0] if long_ else 0
-    return rows * 24 * len(stored.columns) + extra <= BROADCAST_BYTES
+    return (stored.agg(F.sum(_row_bytes(stored))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
@@ -69,8 +80,20 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Struc
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
-    """``df`` as a local relation when it has at most ``limit`` rows, else None."""
-    rows = df.limit(limit + 1).toArrow()
+    """``df`` as a local relation when it has at most ``limit`` rows and few bytes, else None.
+
+    One job decides: when the first rows hold too many bytes, their values are left out of the answer.
+    """
+    first = df.limit(limit + 1)
+    if any(isinstance(f.dataType, _VARIABLE) for f in df.schema):
+        total = F.sum(_row_bytes(first)).over(Window.partitionBy(F.lit(0)))  # at most limit + 1 rows
+        fits = F.col("_total") <= SMALL_BYTES
+        rows = first.withColumn("_total", total).select(*[F.when(fits, F.col(c)).alias(c) for c in df.columns], "_total").toArrow()
+        if rows.num_rows and rows["_total"][0].as_py() > SMALL_BYTES:
+            return None
+        rows = rows.drop_columns("_total")
+    else:
+        rows = first.toArrow()
     return None if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
 
 
