@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tillage.operators import exports, imagecopies, labels, rasters, split
-from tillage.plans.lineage import shared_folder
+from tillage.plans.lineage import work_folder
 from tillage.plans.recipe import Recipe
 from tillage.sources import images as image_files
 from tillage.sources import sinks
@@ -21,7 +21,7 @@ from .tables import WITH_LINE, WITH_ORDERS, line_small, orders_gaps, split_sql
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
+    return f"{work_folder(spark)}/{uuid.uuid4().hex}-{name}"
 
 
 @query("s01_csv_round_trip", WITH_ORDERS + """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM g""")

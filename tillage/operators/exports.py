@@ -26,7 +26,8 @@ def folder_targets(df: DataFrame, label: str = "label", file: str = "file", spli
     return df.withColumn("target", F.concat_ws("/", *parts))
 
 
-def _lines(spark: SparkSession, file: str, start: int, texts: Sequence[str]) -> DataFrame:
+def fixed_lines(spark: SparkSession, file: str, texts: Sequence[str], start: int = 0) -> DataFrame:
+    """A few given lines (``data.yaml``, headings) as rows of a document."""
     return local_rows(spark, [(file, start + i, t) for i, t in enumerate(texts)], "file string, line_no bigint, line string")
 
 
@@ -52,14 +53,14 @@ def mapping_lines(classes: DataFrame, rows: DataFrame, file: str = "label_mappin
     # One block of line numbers per label: opening line, files, closing line.
     base = F.lit(4 * SECTION) + F.col("id") * F.lit(10**12)
     parts = [
-        _lines(spark, file, 0, ["# Label mapping", "", "label_names = {"]),
+        fixed_lines(spark, file, ["# Label mapping", "", "label_names = {"]),
         put(classes, F.lit(SECTION) + F.col("id"), F.concat(F.lit("    "), ident, F.lit(": "), _quoted("name"), F.lit(","))),
-        _lines(spark, file, 2 * SECTION, ["}", "", "label_to_images = {"]),
+        fixed_lines(spark, file, ["}", "", "label_to_images = {"], 2 * SECTION),
         put(classes, base, F.concat(F.lit("    "), ident, F.lit(": ["))),
         put(rows.withColumnRenamed("label_id", "id").withColumn("_f", F.col("file")), base + F.col("position"),
             F.concat(F.lit("        "), _quoted("_f"), F.lit(","))),
         put(classes, base + F.lit(10**12 - 1), F.lit("    ],")),
-        _lines(spark, file, 5000 * SECTION, ["}"]),
+        fixed_lines(spark, file, ["}"], 5000 * SECTION),
     ]
     out = parts[0]
     for p in parts[1:]:

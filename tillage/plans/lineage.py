@@ -42,9 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one. It can be deleted when the application has ended."""
+    return f"{shared_folder(spark)}/tillage-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written rows."""
-    path = f"{shared_folder(df.sparkSession)}/tillage-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
