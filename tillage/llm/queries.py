@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, pii, qualityrules, secrets, toxicity
 from .tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +22,39 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return qualityrules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("source", "copies")
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = secrets.fit(docs, secrets.label_findings(docs))
+    return secrets.scan(docs, model).drop("masked")
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_token_counts": op3_token_counts,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_mix_sources": op6_mix_sources,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_pii": op9_pii,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op9_pii": pii.ORACLE}
