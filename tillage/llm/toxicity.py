@@ -1,10 +1,11 @@
 """Toxicity scores from weak supervision (operator 2).
 
-1. Lexicon: words and word beginnings that labelled toxic documents hold clearly more often than others, by the lower bound of the log odds
-   ratio. Inflected forms share their beginnings, so unseen forms are met as well.
+1. Lexicon: words and word beginnings that labelled toxic documents hold more often than chance explains, by the Chernoff bound of the binomial
+   tail, corrected for the number of entries looked at. Inflected forms share their beginnings, so unseen forms are met as well.
 2. Voters: every lexicon entry votes "toxic" where it occurs and abstains elsewhere; a few patterns vote too; one voter says "clean"
    where no entry occurs.
-3. Label model: a two-class mixture over the votes, fitted by EM, gives each voter its accuracy. Voters that agree more often than
+3. Label model: a two-class mixture over the votes, fitted by EM, gives each voter its accuracy. The given label is one more voter, whose
+   error rates are fitted as well, so that noisy labels do not decide alone. Voters that agree more often than
    the classes explain are correlated; each counts only by the inverse of its correlated company, so that a word and its
    own beginning are not heard as independent witnesses.
 4. A logistic regression is trained on the posterior labels and scores every text.
@@ -35,7 +36,7 @@ PATTERNS = (
     ("!marks", re.compile(r"[!?]{4,}")),
     ("!address", re.compile(r"\b(?:you|your)\s+(?:are\s+)?(?:a|an|such)\b", re.IGNORECASE)),
 )
-CLEAN = "!clean"
+CLEAN, GIVEN = "!clean", "!given"
 
 
 @dataclass(frozen=True)
@@ -72,18 +73,6 @@ def _entries(text: str, lexicon, cache: dict[str, tuple[str, ...]]) -> Counter:
     return hits
 
 
-def choose_lexicon(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int, size: int, min_docs: int) -> list[str]:
-    """The entries whose log odds ratio has the highest lower bound, at least log 3 below two standard errors."""
-    scored = []
-    for entry, a, b in counts:
-        if a >= min_docs:
-            odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
-            error = math.sqrt(1 / (a + 0.5) + 1 / (n_pos - a + 0.5) + 1 / (b + 0.5) + 1 / (n_neg - b + 0.5))
-            if odds - 2 * error > math.log(3):
-                scored.append((odds - 2 * error, entry))
-    return [e for _, e in sorted(scored, key=lambda s: (-s[0], s[1]))[:size]]
-
-
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over binary votes (documents x voters). Returns posteriors, P(vote | toxic), P(vote | clean).
 
@@ -165,11 +154,14 @@ def fit(
         }
 
     summed = map_batches(texts, tally, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n = F.lit(float(n_pos)), F.lit(float(n_neg))
-    odds = F.log((F.col("pos") + 0.5) / (n[0] - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (n[1] - F.col("neg") + 0.5))
-    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (n[0] - F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5) + 1 / (n[1] - F.col("neg") + 0.5))
-    best = summed.filter(F.col("pos") >= min_docs).withColumn("bound", odds - 2 * error).orderBy(F.desc("bound"), "entry").limit(2 * lexicon_size)
-    lexicon = choose_lexicon([(r["entry"], r["pos"], r["neg"]) for r in best.collect()], n_pos, n_neg, lexicon_size, min_docs)
+    summed = settle(summed.filter(F.col("pos") >= min_docs))
+    share = F.lit(n_pos / (n_pos + n_neg))
+    n, hit = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
+    rest = F.when(hit < 1, (1 - hit) * F.log((1 - hit) / (1 - share))).otherwise(0.0)
+    surprise = n * (hit * F.log(hit / share) + rest)  # minus the log of a bound on the probability of so many
+    least = math.log(max(1, summed.count()) / 0.05)
+    best = summed.filter((hit > 3 * share) | (hit > (1 + share) / 2)).withColumn("_s", surprise).filter(F.col("_s") > least)
+    lexicon = [r["entry"] for r in best.orderBy(F.desc("_s"), "entry").limit(lexicon_size).collect()]
     place = {e: i for i, e in enumerate(lexicon)}
 
     def vote(batch: pa.RecordBatch) -> dict:
@@ -178,18 +170,16 @@ def fit(
         return {"hits": [sorted(place[e] for e in f) for f in found], "y": batch.column(1)}
 
     rows = map_batches(texts, vote, "hits array<int>, y int").toArrow()  # at most fit_rows rows of at most lexicon_size votes
-    votes = np.zeros((rows.num_rows, len(lexicon) + 1), dtype=np.float32)
+    votes = np.zeros((rows.num_rows, len(lexicon) + 2))
+    votes[:, -1] = y = np.array(rows["y"]) == 1
     for i, hits in enumerate(rows["hits"].to_pylist()):
         votes[i, hits] = 1
-        votes[i, -1] = not hits
-    votes = votes.astype(float)
-    y = (np.array(rows["y"]) == 1).astype(float)
+        votes[i, -2] = not hits
     belief, hit1, hit0 = label_model(votes, 0.9 * y + 0.05)
-    x = votes[:, :-1]
-    # Rows with equal votes have equal posteriors: they are fitted as one weighted row would be; the sample is small enough as it is.
+    x = votes[:, :-2]
     weights = logistic(np.hstack([x, np.log1p(x.sum(axis=1, keepdims=True))]), belief)
     named = dict(zip([*lexicon, "!many"], weights[:-1].tolist()))
-    return ToxicityModel(named, float(weights[-1]), dict(zip([*lexicon, CLEAN], zip(hit1.tolist(), hit0.tolist()))))
+    return ToxicityModel(named, float(weights[-1]), dict(zip([*lexicon, CLEAN, GIVEN], zip(hit1.tolist(), hit0.tolist()))))
 
 
 def score_text(model: ToxicityModel, text: str, cache: dict) -> float:
