@@ -143,7 +143,7 @@ _LUHN = (
 _LENGTH = "length(regexp_replace(w, '[^0-9]', '', 'g'))"
 _MOD97 = (
     "CASE WHEN regexp_full_match(w, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') THEN list_reduce(list_prepend(CAST(0 AS BIGINT), [CASE WHEN c BETWEEN '0' AND '9' THEN CAST(ascii(c) - 48 AS BIGINT)"
-    " ELSE CAST(ascii(c) - 55 AS BIGINT) END FOR c IN string_split(substr(w, 5) || substr(w, 1, 4), '')]), (a, c) -> CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c) % 97 END) = 1 ELSE FALSE END"
+    " ELSE CAST(ascii(c) - 55 AS BIGINT) END FOR c IN string_split(substr(w, 5) || substr(w, 1, 4), '')]), lambda a, c: CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c) % 97 END) = 1 ELSE FALSE END"
 )
 ORACLE = "WITH docs AS (SELECT doc_id, coalesce(text, '') t FROM documents),\n" + ",\n".join([
     _duck_spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, qualityrules, secrets, toxicity
+from . import decontaminate, mixing, pii, qualityrules, secrets, toxicity, warc
 from .tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return qualityrules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -45,16 +49,22 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, folder, "documents")))
 
 
+def op10_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_token_counts": op3_token_counts,
+        "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
         "op6_mix_sources": op6_mix_sources,
         "op8_secret_scan": op8_secret_scan,
         "op9_pii": op9_pii,
+        "op10_benchmark_hits": op10_benchmark_hits,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op9_pii": pii.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op9_pii": pii.ORACLE}
