@@ -47,11 +47,21 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tillage-{spark.sparkContext.applicationId}"
 
 
+# Shuffle files of a finished write are deleted at once: the written table takes their place.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written rows."""
-    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _VARIABLE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
