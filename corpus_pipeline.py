@@ -6,10 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillage.llm import chosenpath, decontaminate, mixing, secrets, toxicity
 from tillage.plans.lineage import work_folder
 
-STAGES: list = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. The model is fitted on labelled documents of the stage's input."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return chosenpath.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mask; all documents stay."""
+    return secrets.mask_secrets(docs, secrets.fit(docs, secrets.label_findings(docs)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of every document so that the sources meet their target weights."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", drop_benchmark_leaks),
+    ("secrets", hide_secrets),
+    ("mixing", mix_sources),
+]
+
+# Similarity joins, fitted models and Newton steps are beyond SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 

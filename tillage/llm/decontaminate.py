@@ -87,5 +87,6 @@ def hits(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that hold no benchmark passage, all columns as they were. Null ids are kept or dropped together, as one document."""
-    bad = hits(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("_bad")).distinct()
+    bad = settle(hits(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("_bad")).distinct())
+    bad = F.broadcast(bad) if may_broadcast(bad, bad.count()) else bad
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, qualityrules, secrets, substrings, toxicity, warc
+from . import chosenpath, decontaminate, mixing, pii, qualityrules, secrets, substrings, toxicity, warc
 from .tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source", "copies")
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = secrets.fit(docs, secrets.label_findings(docs))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
         "op6_mix_sources": op6_mix_sources,
+        "op7_ngram_join": op7_ngram_join,
         "op8_secret_scan": op8_secret_scan,
         "op9_pii": op9_pii,
         "op10_benchmark_hits": op10_benchmark_hits,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tillage.plans.lineage import settle
 
-from .batches import id_and_text, map_batches
+from .batches import id_and_text, map_batches, map_rows
 
 # Names that hold credentials, beginnings of issued keys, placeholder words.
 NAMES = "password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key|auth_key|private_key|client_secret|credential"
@@ -231,6 +231,36 @@ def judge(model: SecretModel, text: str, cutoff: float) -> tuple[int, list[tuple
     return len(found), kept
 
 
+def _masked(text: str, kept: list[tuple[str, int, int, float]], mask: str) -> str:
+    parts, at = [], 0
+    for _, start, end, _ in kept:
+        parts += [text[at:start], mask]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def mask_secrets(docs: DataFrame, model: SecretModel, cutoff: float = 0.5, mask: str = "[secret]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, every secret in the text replaced; a column ``length_col``, if there is one, follows the new length where a text changed."""
+    place = docs.columns.index(text_col)
+    counted = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(place).to_pylist()
+        columns = list(batch.columns)
+        lengths = columns[counted].to_pylist() if counted is not None else None
+        for i, text in enumerate(texts):
+            if text and (kept := judge(model, text, cutoff)[1]):
+                texts[i] = _masked(text, kept, mask)
+                if lengths is not None:
+                    lengths[i] = len(texts[i])
+        columns[place] = pa.array(texts, columns[place].type)
+        if counted is not None:
+            columns[counted] = pa.array(lengths, columns[counted].type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_rows(docs, run)
+
+
 def scan(docs: DataFrame, model: SecretModel, cutoff: float = 0.5, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of every whole text: (id, n_candidates, n_secrets, spans, max_score, masked). One pass, no shuffle.
 
@@ -243,15 +273,11 @@ def scan(docs: DataFrame, model: SecretModel, cutoff: float = 0.5, mask: str = "
         out: dict[str, list] = {k: [] for k in ("n_candidates", "n_secrets", "spans", "max_score", "masked")}
         for text in batch.column(1).to_pylist():
             n, kept = judge(model, text, cutoff)
-            masked, at = [], 0
-            for _, start, end, _ in kept:
-                masked += [text[at:start], mask]
-                at = end
             out["n_candidates"].append(n)
             out["n_secrets"].append(len(kept))
             out["spans"].append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in kept))
             out["max_score"].append(max((p for *_, p in kept), default=None))
-            out["masked"].append("".join([*masked, text[at:]]) if kept else None)
+            out["masked"].append(_masked(text, kept, mask) if kept else None)
         return {"_id": batch.column(0)} | out
 
     found = map_batches(id_and_text(docs, id_col, text_col), run, f"_id {kind_}, n_candidates bigint, n_secrets bigint, spans string, max_score double, masked string")
