@@ -536,7 +536,7 @@ def v02(spark, folder):
 
 @query("v03_bars_sturges", """WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, least(20, greatest(5, ceil(log2(count(*)) + 1)))::INT AS k FROM lineitem),
   b AS (SELECT l_linestatus AS hue, lo, (hi - lo) / k AS w, least(k - 1, floor((l_quantity - lo) / ((hi - lo) / k)))::INT AS i FROM lineitem, r)
-  SELECT hue, rtrim(rtrim(printf('%.2f', lo + i * w), '0'), '.') || ' to ' || rtrim(rtrim(printf('%.2f', lo + (i + 1) * w), '0'), '.') AS label, count(*) AS n FROM b GROUP BY hue, lo, w, i""")
+  SELECT hue, rtrim(rtrim(printf('%.2f', lo + i * w), '0'), '.') || ' to ' || rtrim(rtrim(printf('%.2f', lo + (i + 1) * w), '0'), '.') AS label, i AS bin, count(*) AS n FROM b GROUP BY hue, lo, w, i""")
 def v03(spark, folder):
     return chartdata.bar_bins(table(spark, folder, "lineitem"), "l_quantity", "l_linestatus")
 

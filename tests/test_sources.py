@@ -62,17 +62,17 @@ def test_loading_errors(spark, tmp_path):
         load_table(spark, str(tmp_path / "empty.csv"))
 
 
-def test_writers(spark, tmp_path, spending):
-    sinks.write_csv(spending, str(tmp_path / "out"), bom=True)
+def test_writers(spark, tmp_path, visits):
+    sinks.write_csv(visits, str(tmp_path / "out"), bom=True)
     part = next((tmp_path / "out").glob("part-*.csv"))
-    assert part.read_bytes().startswith(b"\xef\xbb\xbfAge,")
-    assert read_csv(spark, str(tmp_path / "out")).columns == spending.columns
+    assert part.read_bytes().startswith(b"\xef\xbb\xbffloor,")
+    assert read_csv(spark, str(tmp_path / "out")).columns == visits.columns
     with pytest.raises(Exception):
-        sinks.write_csv(spending, str(tmp_path / "out"))
+        sinks.write_csv(visits, str(tmp_path / "out"))
     with pytest.raises(ValueError):
-        sinks.write_csv(spending, str(tmp_path / "in/below"), [str(tmp_path / "in")])
-    parts = split.split(spending.withColumn("i", F.monotonically_increasing_id()), ["i"], (70, 15, 15))
+        sinks.write_csv(visits, str(tmp_path / "in/below"), [str(tmp_path / "in")])
+    parts = split.split(visits.withColumn("i", F.monotonically_increasing_id()), ["i"], (70, 15, 15))
     sinks.write_splits(parts, str(tmp_path / "splits"))
     assert sorted(p.name for p in (tmp_path / "splits").glob("split=*")) == ["split=test", "split=train", "split=valid"]
-    sinks.write_null_report(spending.withColumn("i", F.monotonically_increasing_id()), ["i"], str(tmp_path / "report"))
+    sinks.write_null_report(visits.withColumn("i", F.monotonically_increasing_id()), ["i"], str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report/cells"), header=True).count() == 3

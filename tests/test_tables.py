@@ -1,11 +1,14 @@
-"""Table operators on the sample tables and on hand-made rows."""
+"""Table operators on small tables made by rules and on hand-made rows."""
 
+import itertools
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import visit_rows
 from tillage.operators import chartdata, columns, dedup, encode, impute, model_impute, profile, split
 
 
@@ -13,29 +16,32 @@ def by(df, key):
     return {r[key]: r for r in df.collect()}
 
 
-def test_profile_of_the_sample(spending):
-    p = by(profile.column_profile(spending), "column")
-    assert (p["Age"]["median"], p["Age"]["min"], p["Age"]["max"], p["Age"]["nulls"]) == (30.5, 19, 64, 0)
-    assert (p["Annual_Income"]["median"], p["Annual_Income"]["nulls"]) == (18000, 1)
-    assert p["Customer_Type"]["distinct_values"] == 3 and p["Signup_Date"]["distinct_values"] == 16
-    health = profile.table_health(spending).first()
-    assert (health["health"], health["missing_cells"], health["duplicate_rows"], health["band"]) == (94, 3, 2, "good")
-    assert profile.issue_summary(spending).first()[:] == (3, 2)
+def test_profile_of_the_visits(visits):
+    rows = visit_rows()
+    p = by(profile.column_profile(visits), "column")
+    floors, fees = [r[0] for r in rows], [r[2] for r in rows if r[2] is not None]
+    assert (p["floor"]["median"], p["floor"]["min"], p["floor"]["max"], p["floor"]["nulls"]) == (statistics.median(floors), min(floors), max(floors), 0)
+    assert (p["fee"]["median"], p["fee"]["nulls"]) == (statistics.median(fees), 1)
+    assert p["tier"]["distinct_values"] == 3 and p["opened"]["distinct_values"] == len({r[5] for r in rows})
+    health = profile.table_health(visits).first()
+    assert (health["missing_cells"], health["duplicate_rows"]) == (3, 2)
+    assert profile.issue_summary(visits).first()[:] == (3, 2)
 
 
 def test_semantic_types(spark):
-    df = spark.createDataFrame([("1", "2024-01-05", "a", None, "2024-13-01"), ("2.5", "2024-02-01T10:00", "", "", "2024-01-01")], "n string, d string, t string, e string, b string")
+    df = spark.createDataFrame([("7", "1999-11-30", "oak", None, "1999-00-09", "1d"), ("-0.25", "2003-04-17T08:30", "", "", "1999-01-09", "2f")], "n string, d string, t string, e string, b string, g string")
     got = {r["column"]: r["semantic_type"] for r in profile.semantic_types(df).collect()}
-    assert got == {"n": "numeric", "d": "date", "t": "text", "e": "text", "b": "text"}
+    assert got == {"n": "numeric", "d": "date", "t": "text", "e": "text", "b": "text", "g": "text"}
 
 
-def test_quartiles_and_correlation(spending):
-    b = chartdata.box_stats(spending, "Age").first()
-    assert (b["q1"], b["median"], b["q3"]) == (21.25, 30.5, 36.5)
-    c = {(r.a, r.b): r.r for r in chartdata.correlation(spending.select("Age", "Annual_Income", "Spending_Score")).collect()}
-    assert c[("Age", "Annual_Income")] == pytest.approx(0.679221, abs=1e-6)
-    assert c[("Spending_Score", "Age")] == pytest.approx(-0.165353, abs=1e-6)
-    assert c[("Annual_Income", "Spending_Score")] == pytest.approx(0.150948, abs=1e-6)  # pandas and DuckDB agree
+def test_quartiles_and_correlation(visits):
+    rows = visit_rows()
+    b = chartdata.box_stats(visits, "floor").first()
+    assert (b["q1"], b["median"], b["q3"]) == tuple(statistics.quantiles([r[0] for r in rows], n=4, method="inclusive"))
+    c = {(r.a, r.b): r.r for r in chartdata.correlation(visits.select("floor", "fee", "rating")).collect()}
+    for (i, a), (j, b) in itertools.permutations([(0, "floor"), (2, "fee"), (3, "rating")], 2):
+        both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+        assert c[(a, b)] == pytest.approx(statistics.correlation(*zip(*both)), abs=1e-9)
 
 
 def test_undefined_correlation(spark):
@@ -44,28 +50,31 @@ def test_undefined_correlation(spark):
     assert {(r.a, r.b): r.r for r in chartdata.correlation(df, undefined=0).collect()}[("a", "b")] == 0
 
 
-def test_fills_round_whole_columns(spending):
-    p = by(impute.fit(spending, {"Annual_Income": "mean", "Spending_Score": "mean"}), "column")
-    assert float(p["Annual_Income"]["value"]) == 19294 and float(p["Spending_Score"]["value"]) == 45
-    filled = impute.fill(spending, {"Annual_Income": "mode", "Customer_Type": "mode", "Spending_Score": "median"})
-    assert filled.filter("Annual_Income IS NULL OR Customer_Type IS NULL OR Spending_Score IS NULL").count() == 0
-    assert filled.filter("Age = 45").first()["Annual_Income"] == 16000
-    assert filled.schema["Annual_Income"].dataType == spending.schema["Annual_Income"].dataType
+def test_fills_round_whole_columns(visits):
+    rows = visit_rows()
+    fees, ratings = ([r[i] for r in rows if r[i] is not None] for i in (2, 3))
+    p = by(impute.fit(visits, {"fee": "mean", "rating": "mean"}), "column")
+    assert float(p["fee"]["value"]) == round(statistics.mean(fees)) and float(p["rating"]["value"]) == round(statistics.mean(ratings))
+    filled = impute.fill(visits, {"fee": "mode", "tier": "mode", "rating": "median"})
+    assert filled.filter("fee IS NULL OR tier IS NULL OR rating IS NULL").count() == 0
+    gap = rows[11]
+    assert filled.filter((F.col("floor") == gap[0]) & (F.col("opened").cast("string") == gap[5])).first()["fee"] in statistics.multimode(fees)
+    assert filled.schema["fee"].dataType == visits.schema["fee"].dataType
 
 
-def test_mode_ties(churn):
-    assert churn.schema["Tenure_Months"].dataType.simpleString() == "bigint"  # NA is a missing cell
-    assert by(impute.fit(churn, {"Age": "mode"}), "column")["Age"]["value"] == "28"
-    seen_last = churn.withColumn("at", -F.col("Age"))
-    assert by(impute.fit(seen_last, {"Age": "mode"}, order_by=["at"]), "column")["Age"]["value"] == "54"
+def test_mode_ties(members):
+    assert members.schema["term"].dataType.simpleString() == "bigint"  # NA is a missing cell
+    assert by(impute.fit(members, {"age": "mode"}), "column")["age"]["value"] == "31"
+    seen_last = members.withColumn("at", -F.col("age"))
+    assert by(impute.fit(seen_last, {"age": "mode"}, order_by=["at"]), "column")["age"]["value"] == "47"
 
 
-def test_fill_errors_and_no_ops(spending):
+def test_fill_errors_and_no_ops(visits):
     with pytest.raises(ValueError):
-        impute.fit(spending, {"Customer_Type": "mean"})
+        impute.fit(visits, {"tier": "mean"})
     with pytest.raises(ValueError):
-        impute.fit(spending, {"Annual_Income": "constant"})
-    assert impute.fit(spending, {"nothing": "mean"}).count() == 0
+        impute.fit(visits, {"fee": "constant"})
+    assert impute.fit(visits, {"nothing": "mean"}).count() == 0
 
 
 def test_parameters_of_the_training_part_fill_the_rest(spark):
@@ -123,33 +132,34 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, blocks):
     assert model_impute.fill_neighbours(df, "b").filter("b IS NULL").count() == 0
 
 
-def test_encoding_errors(spending):
-    for column, method in (("Age", "label"), ("Gender", "dates")):
+def test_encoding_errors(visits):
+    for column, method in (("floor", "label"), ("wing", "dates")):
         with pytest.raises(ValueError):
-            encode.check_encodable(spending, column, method)
-    encode.check_encodable(spending, "Signup_Date", "dates")
+            encode.check_encodable(visits, column, method)
+    encode.check_encodable(visits, "opened", "dates")
     with pytest.raises(ValueError):
-        encode.one_hot(spending, "Signup_Date", max_columns=5)
-    with pytest.raises(ValueError, match="VIP"):
-        encode.ordinal_by(spending, "Customer_Type", ["Regular", "Premium"])
+        encode.one_hot(visits, "opened", max_columns=5)
+    with pytest.raises(ValueError, match="gold"):
+        encode.ordinal_by(visits, "tier", ["silver", "bronze"])
 
 
-def test_one_hot_names_and_places(spending):
-    out = encode.one_hot(spending, "Customer_Type")
-    assert out.columns[4:7] == ["Customer_Type_Premium", "Customer_Type_Regular", "Customer_Type_VIP"]
-    first = encode.one_hot(spending, "Customer_Type", order_by=["Signup_Date"], at_end=True, null_column=True)
-    assert first.columns[-4:] == ["Customer_Type_Regular", "Customer_Type_Premium", "Customer_Type_VIP", "Customer_Type_null"]
-    parts = encode.date_parts(spending, "Signup_Date")
-    assert parts.columns[-3:] == ["Signup_Date_year", "Signup_Date_month", "Signup_Date_day"]
+def test_one_hot_names_and_places(visits):
+    out = encode.one_hot(visits, "tier")
+    assert out.columns[4:7] == ["tier_bronze", "tier_gold", "tier_silver"]
+    first = encode.one_hot(visits, "tier", order_by=["opened"], at_end=True, null_column=True)
+    seen = [t for t in dict.fromkeys(r[4] for r in sorted(visit_rows(), key=lambda r: r[5])) if t]
+    assert first.columns[-4:] == [*(f"tier_{t}" for t in seen), "tier_null"]
+    parts = encode.date_parts(visits, "opened")
+    assert parts.columns[-3:] == ["opened_year", "opened_month", "opened_day"]
 
 
-def test_rename_and_swap_rules(spending):
+def test_rename_and_swap_rules(visits):
     with pytest.raises(ValueError):
-        columns.rename(spending, "Age", "Gender")
+        columns.rename(visits, "floor", "wing")
     with pytest.raises(ValueError):
-        columns.rename(spending, "Age", " ")
-    assert columns.rename(spending, "nothing", "x", strict=False).columns == spending.columns
-    assert columns.swap(spending, "Age", "nothing").columns == spending.columns
+        columns.rename(visits, "floor", " ")
+    assert columns.rename(visits, "nothing", "x", strict=False).columns == visits.columns
+    assert columns.swap(visits, "floor", "nothing").columns == visits.columns
 
 
 def test_duplicates_point_to_the_first_copy(spark):
@@ -164,17 +174,17 @@ def sizes_of(df):
 
 
 def test_split_sizes_and_repeatability(spark):
-    df = spark.range(100).select(F.format_string("f%03d", "id").alias("name"))
-    one = split.split(df, ["name"], (70, 20, 10), 1)
-    assert sizes_of(one) == {"train": 70, "valid": 20, "test": 10}
+    df = spark.range(240).select(F.format_string("item-%d", "id").alias("name"))
+    one = split.split(df, ["name"], (60, 25, 15), 1)
+    assert sizes_of(one) == {"train": 144, "valid": 60, "test": 36}
     rows = sorted(one.collect())
-    assert len({r.name for r in rows}) == 100
+    assert len({r.name for r in rows}) == 240
     for n in (1, 8, 64):
-        assert sorted(split.split(df.orderBy(F.rand()).repartition(n), ["name"], (70, 20, 10), 1).collect()) == rows
-    assert sorted(split.split(df, ["name"], (70, 20, 10), 2).collect()) != rows
-    assert sizes_of(split.split(df.limit(3), ["name"], (80, 10, 10))) == {"train": 1, "valid": 1, "test": 1}
+        assert sorted(split.split(df.orderBy(F.rand()).repartition(n), ["name"], (60, 25, 15), 1).collect()) == rows
+    assert sorted(split.split(df, ["name"], (60, 25, 15), 2).collect()) != rows
+    assert sizes_of(split.split(df.limit(4), ["name"], (90, 5, 5))) == {"train": 2, "valid": 1, "test": 1}
     assert sizes_of(split.split(df.limit(1), ["name"], (40, 30, 30))) == {"train": 1}
-    assert sizes_of(split.split(df, ["name"], (100, 0, 0))) == {"train": 100}
+    assert sizes_of(split.split(df, ["name"], (100, 0, 0))) == {"train": 240}
     with pytest.raises(ValueError):
         split.fractions((50, 20, 10))
     with pytest.raises(ValueError):
@@ -182,10 +192,10 @@ def test_split_sizes_and_repeatability(spark):
 
 
 def test_stratified_shares(spark):
-    df = spark.range(100).select("id", F.when(F.col("id") < 80, "a").when(F.col("id") < 100, "b").alias("g"))
-    out = split.split(df, ["id"], (70, 20, 10), 7, by="g")
-    assert sizes_of(out.filter("g = 'b'")) == {"train": 14, "valid": 4, "test": 2}
-    assert sizes_of(out.filter("g = 'a'")) == {"train": 56, "valid": 16, "test": 8}
+    df = spark.range(300).select("id", F.when(F.col("id") % 6 == 0, "rare").otherwise("common").alias("g"))
+    out = split.split(df, ["id"], (60, 20, 20), 7, by="g")
+    assert sizes_of(out.filter("g = 'rare'")) == {"train": 30, "valid": 10, "test": 10}
+    assert sizes_of(out.filter("g = 'common'")) == {"train": 150, "valid": 50, "test": 50}
 
 
 def test_train_test_valid_without_test(spark):

@@ -16,6 +16,15 @@ NA_TOKENS = [
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 
 
+# A text is a number when it looks like one; the cast alone would also take "1d", "2f" and "Infinity".
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number_of(text: Column) -> Column:
+    """The number that a text shows, else null."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 

@@ -37,8 +37,8 @@ def hue_groups(df: DataFrame, column: str | None, limit: int = MAX_GROUPS) -> li
     return sorted(groups)
 
 
-def group_counts(df: DataFrame, hue: str) -> DataFrame:
-    hue_groups(df, hue)
+def group_counts(df: DataFrame, hue: str, limit: int = MAX_GROUPS) -> DataFrame:
+    hue_groups(df, hue, limit)
     return df.groupBy(hue_of(hue).alias("hue")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -72,6 +72,8 @@ def density(df: DataFrame, x: str, hue: str | None = None, points: int = KDE_POI
     partial sums leave a task as one row per grid point and group.
     """
     n, low, high = _span(df, x)
+    if n == 0:
+        return df.sparkSession.createDataFrame([], "hue string, point int, x double, density double")
     v = F.col(x).cast("double")
     base = df.filter(v.isNotNull()).select(hue_of(hue).alias("hue"), v.alias("v"))
     width = base.groupBy("hue").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("v").alias("_s"))
@@ -90,40 +92,56 @@ def density(df: DataFrame, x: str, hue: str | None = None, points: int = KDE_POI
     )
 
 
+def _number_label(v: Column) -> Column:
+    """A number in full: without exponent, trailing zeros or a point at the end."""
+    plain = F.regexp_replace(v.cast("decimal(38,15)").cast("string"), r"\.?0+$", "")
+    return F.when(F.abs(v) < 1e20, F.when(plain.isin("", "-0", "-"), "0").otherwise(plain)).otherwise(v.cast("string"))
+
+
 def _short(v: Column) -> Column:
     """A number with at most two digits after the point, without trailing zeros."""
     return F.rtrim(F.rtrim(F.format_string("%.2f", v), F.lit("0")), F.lit("."))
 
 
-def bar_bins(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
-    """Bars for few numbers or for text, else Sturges bins: columns ``hue``, ``bin``, ``label``, ``n``."""
-    hue_groups(df, hue)
+def bar_bins(df: DataFrame, x: str, hue: str | None = None, limit: int = MAX_GROUPS) -> DataFrame:
+    """Bars for few numbers or for text, else Sturges bins: columns ``hue``, ``label``, ``n``.
+
+    Few numbers are grouped by the number itself and labelled in full. Sturges bins have the column ``bin`` as well, since two
+    of them can have the same rounded label.
+    """
+    hue_groups(df, hue, limit)
     if not is_number(df.schema[x].dataType):
         present = df.filter(F.nullif(F.col(x).cast("string"), F.lit("")).isNotNull())
         return present.groupBy(hue_of(hue).alias("hue"), F.col(x).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     v = F.col(x).cast("double")
     present = df.filter(v.isNotNull())
     if len(present.select(v).distinct().limit(BARS + 1).collect()) <= BARS:
-        return present.groupBy(hue_of(hue).alias("hue"), _short(v).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        return present.groupBy(hue_of(hue).alias("hue"), v.alias("_v")).agg(F.count(F.lit(1)).alias("n")).select("hue", _number_label(F.col("_v")).alias("label"), "n")
     n, low, high = _span(df, x)
     k = min(20, max(5, ceil(log2(n) + 1)))
     width = (high - low) / k or 1.0
     place = F.least(F.lit(k - 1), F.floor((v - F.lit(low)) / F.lit(width)).cast("int"))
     counts = present.groupBy(hue_of(hue).alias("hue"), place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     left, right = F.lit(low) + F.col("bin") * F.lit(width), F.lit(low) + (F.col("bin") + 1) * F.lit(width)
-    return counts.select("hue", F.concat(_short(left), F.lit(" to "), _short(right)).alias("label"), "n")
+    return counts.select("hue", "bin", F.concat(_short(left), F.lit(" to "), _short(right)).alias("label"), "n")
 
 
-def box_group(df: DataFrame, by: str | None, y: str) -> Column:
-    """The box of a row: a text column with 2 to 12 values groups, everything else gives one box."""
-    if by is None or is_number(df.schema[by].dataType):
+def box_group(df: DataFrame, by: str | None, y: str, groups: str = "all") -> Column:
+    """The box of a row. ``all``: every value of ``by`` is a box. ``web``: only a text column with 2 to 12 values groups, else one box."""
+    if groups not in ("all", "web"):
+        raise ValueError("groups is all or web")
+    if by is None:
+        return F.lit(y)
+    if groups == "all":
+        return F.col(by).cast("string")
+    if is_number(df.schema[by].dataType):
         return F.lit(y)
     values = df.filter(F.col(by).isNotNull()).select(by).distinct().limit(MAX_BOXES + 1).count()
     return F.col(by).cast("string") if 2 <= values <= MAX_BOXES else F.lit(y)
 
 
-def _fences(df: DataFrame, y: str, by: str | None) -> tuple[DataFrame, DataFrame]:
-    data = df.withColumn("box", box_group(df, by, y)).filter(F.col("box").isNotNull() & F.col(y).isNotNull())
+def _fences(df: DataFrame, y: str, by: str | None, groups: str) -> tuple[DataFrame, DataFrame]:
+    data = df.withColumn("box", box_group(df, by, y, groups)).filter(F.col("box").isNotNull() & F.col(y).isNotNull())
     q = quantiles(data, [y], (0.25, 0.5, 0.75), by=["box"])
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     stats = q.groupBy("box").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("n").alias("_n"))
@@ -132,9 +150,9 @@ def _fences(df: DataFrame, y: str, by: str | None) -> tuple[DataFrame, DataFrame
     return data, lookup(data, stats, ["box"], ["q1", "median", "q3", "low_fence", "high_fence"], weight="_n")
 
 
-def box_stats(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
+def box_stats(df: DataFrame, y: str, by: str | None = None, groups: str = "all") -> DataFrame:
     """Quartiles, whiskers (extreme values inside the fences) and number of outliers per box."""
-    _, data = _fences(df, y, by)
+    _, data = _fences(df, y, by, groups)
     v = F.col(y).cast("double")
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     return data.groupBy("box").agg(
@@ -144,9 +162,9 @@ def box_stats(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
     )
 
 
-def outlier_rows(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
+def outlier_rows(df: DataFrame, y: str, by: str | None = None, groups: str = "all") -> DataFrame:
     """The rows outside the fences of their box."""
-    _, data = _fences(df, y, by)
+    _, data = _fences(df, y, by, groups)
     v = F.col(y).cast("double")
     return data.filter(~v.between(F.col("low_fence"), F.col("high_fence"))).select(*df.columns, "box", "low_fence", "high_fence")
 
@@ -169,9 +187,9 @@ def line(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     )
 
 
-def line_with_gaps(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
+def line_with_gaps(df: DataFrame, x: str, y: str, hue: str | None = None, limit: int = MAX_GROUPS) -> DataFrame:
     """As ``line`` with 2 digits, and a null for every (x, group) without values."""
-    groups = hue_groups(df, hue)
+    groups = hue_groups(df, hue, limit)
     v = F.col(y).cast("double")
     means = [F.avg(F.when(F.col("_hue") == g, v)).alias(f"m_{i}") for i, g in enumerate(groups)]
     wide = df.filter(F.col(x).isNotNull()).withColumn("_hue", hue_of(hue)).groupBy(F.col(x).alias("x")).agg(*means)

@@ -4,36 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.lookup import lookup
 
 
+def repeated_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose 64-bit row hash occurs more than once, with the hash as ``_hash``; other rows have no copy.
+
+    Only hashes are shuffled to find them, so a table with few duplicates does not move its cells. The caller compares full rows.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*[_comparable(df, c) for c in columns]))
+    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1)
+    found = lookup(hashed, twice, ["_hash"], ["_times"], weight="_times")
+    return found.filter(F.col("_times").isNotNull()).drop("_times")
+
+
+def _comparable(df: DataFrame, column: str) -> Column:
+    """0.0 and -0.0 are equal as values and must have equal hashes."""
+    kind = df.schema[column].dataType
+    return F.col(column) + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(column)
+
+
+def extra_copies(df: DataFrame) -> int:
+    """Number of copies after the first, over the whole table."""
+    columns = df.columns
+    groups = repeated_rows(df, columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows, distinct rows, duplicates (every copy after the first)."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.coalesce(F.sum("_n"), F.lit(0))
-    return groups.agg(
-        total.alias("rows"), F.count(F.lit(1)).alias("distinct_rows"), (total - F.count(F.lit(1))).alias("duplicate_rows")
-    )
+    extra = F.lit(extra_copies(df)).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", (F.col("rows") - extra).alias("distinct_rows"), extra.alias("duplicate_rows"))
 
 
 def mark_duplicates(df: DataFrame, row: str = "_row", columns: Sequence[str] | None = None) -> DataFrame:
     """Add ``first_row`` (row id of the first copy) and ``is_duplicate``.
 
-    Only values with more than one copy are looked up, so a table with few duplicates meets a small lookup.
+    Rows whose hash occurs once are their own first copy. The others are compared in full; what comes back to the table is one
+    entry per later copy, by row id.
     """
     columns = list(columns or [c for c in df.columns if c != row])
-    copies = (
-        df.groupBy(*columns)
-        .agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-        .filter(F.col("_copies") > 1)
-    )
-    found = lookup(df, copies, columns, ["_first"], weight="_copies", null_safe=True)
-    return found.withColumn("first_row", F.coalesce("_first", row)).drop("_first").withColumn(
-        "is_duplicate", F.col("first_row") < F.col(row)
-    )
+    again = repeated_rows(df, columns)
+    copies = again.groupBy(*columns).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+    found = lookup(again.select(row, *columns), copies, columns, ["_first"], weight="_copies", null_safe=True)
+    later = found.filter(F.col("_first") < F.col(row)).select(row, "_first")
+    marked = lookup(df, later, [row], ["_first"])
+    return marked.withColumn("first_row", F.coalesce("_first", row)).drop("_first").withColumn("is_duplicate", F.col("first_row") < F.col(row))
 
 
 def drop_duplicates(df: DataFrame, row: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:

@@ -134,9 +134,19 @@ def _smoothed(n: Column, mean: Column, var: Column, all_mean: Column, all_var: C
     return F.coalesce(weight * mean + (1 - weight) * all_mean, all_mean)
 
 
+def target_value(df: DataFrame, target: str) -> Column:
+    """The target as a number. A text of two classes counts the second one in order as 1; more classes are an error."""
+    if not isinstance(df.schema[target].dataType, T.StringType):
+        return F.col(target).cast("double")
+    classes = sorted(r[0] for r in df.select(target).dropna().distinct().limit(3).collect())
+    if len(classes) != 2:
+        raise ValueError(f"the text target {target} needs two classes")
+    return F.when(F.col(target) == classes[0], 0.0).when(F.col(target) == classes[1], 1.0)
+
+
 def target_table(df: DataFrame, column: str, target: str) -> DataFrame:
     """Columns ``value``, ``n``, ``encoding``: the smoothed mean of the target per category (null is a category)."""
-    y = F.col(target).cast("double")
+    y = target_value(df, target)
     if df.filter(y.isNull()).take(1):
         raise ValueError(f"the target {target} has gaps")
     total = df.agg(F.avg(y).alias("m"), F.var_pop(y).alias("v")).first()
@@ -150,7 +160,7 @@ def target_table(df: DataFrame, column: str, target: str) -> DataFrame:
 
 def target(df: DataFrame, column: str, target_column: str, table: DataFrame | None = None) -> DataFrame:
     """Fit once, encode every row. A value unknown at fit time gets the overall mean of the target."""
-    mean = df.agg(F.avg(F.col(target_column).cast("double"))).first()[0] if table is None else None
+    mean = df.agg(F.avg(target_value(df, target_column))).first()[0] if table is None else None
     fitted = target_table(df, column, target_column) if table is None else table
     if mean is None:
         mean = fitted.agg(F.sum(F.col("encoding") * F.col("n")) / F.sum("n")).first()[0]
@@ -160,7 +170,7 @@ def target(df: DataFrame, column: str, target_column: str, table: DataFrame | No
 
 def target_folds(df: DataFrame, column: str, target_column: str, key: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
     """Cross-fitted target encoding: a row is encoded from the other folds only. The fold is a hash of its key."""
-    y = F.col(target_column).cast("double")
+    y = target_value(df, target_column)
     fold = (F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("long") % folds).cast("int")
     data = df.withColumn("_fold", fold)
     sums = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")]

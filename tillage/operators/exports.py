@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import local_rows
 from ..plans.lookup import lookup
-from .split import SPLITS
 
-# Section order of the line numbers (a section never reaches 10**15 lines).
-SECTION = 10**15
+# Line numbers are decimals of 38 digits: section, then id (any 64-bit number), then place.
+SECTION, IDENT = 10**36, 10**16
+
+
+def _place(section: int, ident: Column | None = None, place: Column | None = None) -> Column:
+    """A line number that no id or place can carry into the next section."""
+    wide = "decimal(38,0)"
+    out = F.lit(str(section * SECTION)).cast(wide)
+    if ident is not None:
+        out = (out + (ident.cast("decimal(19,0)") * F.lit(str(IDENT)).cast("decimal(17,0)")).cast(wide)).cast(wide)
+    return out if place is None else (out + place.cast(wide)).cast(wide)
 
 
 def folder_targets(df: DataFrame, label: str = "label", file: str = "file", split: str | None = "split") -> DataFrame:
@@ -48,19 +56,22 @@ def mapping_lines(classes: DataFrame, rows: DataFrame, file: str = "label_mappin
     Files are one per line, so a label with very many files needs no long line and no gathering.
     """
     spark = rows.sparkSession
-    put = lambda df, at, text: df.select(F.lit(file).alias("file"), at.cast("long").alias("line_no"), text.alias("line"))
+    put = lambda df, at, text: df.select(F.lit(file).alias("file"), at.alias("line_no"), text.alias("line"))
+
+    def fixed(section: int, texts: list[str]) -> DataFrame:
+        return put(fixed_lines(spark, file, texts).withColumnRenamed("line", "_l"), _place(section, place=F.col("line_no")), F.col("_l"))
+
     ident = F.col("id").cast("string")
     # One block of line numbers per label: opening line, files, closing line.
-    base = F.lit(4 * SECTION) + F.col("id") * F.lit(10**12)
     parts = [
-        fixed_lines(spark, file, ["# Label mapping", "", "label_names = {"]),
-        put(classes, F.lit(SECTION) + F.col("id"), F.concat(F.lit("    "), ident, F.lit(": "), _quoted("name"), F.lit(","))),
-        fixed_lines(spark, file, ["}", "", "label_to_images = {"], 2 * SECTION),
-        put(classes, base, F.concat(F.lit("    "), ident, F.lit(": ["))),
-        put(rows.withColumnRenamed("label_id", "id").withColumn("_f", F.col("file")), base + F.col("position"),
+        fixed(0, ["# Label mapping", "", "label_names = {"]),
+        put(classes, _place(1, F.col("id")), F.concat(F.lit("    "), ident, F.lit(": "), _quoted("name"), F.lit(","))),
+        fixed(2, ["}", "", "label_to_images = {"]),
+        put(classes, _place(4, F.col("id")), F.concat(F.lit("    "), ident, F.lit(": ["))),
+        put(rows.withColumnRenamed("label_id", "id").withColumn("_f", F.col("file")), _place(4, F.col("id"), F.col("position")),
             F.concat(F.lit("        "), _quoted("_f"), F.lit(","))),
-        put(classes, base + F.lit(10**12 - 1), F.lit("    ],")),
-        fixed_lines(spark, file, ["}"], 5000 * SECTION),
+        put(classes, _place(4, F.col("id"), F.lit(IDENT - 1)), F.lit("    ],")),
+        fixed(6, ["}"]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -92,27 +103,37 @@ def data_yaml(names: Sequence[str], ratios: Sequence[float] | None, style: str =
     return [*lines, "names:", *[f"  {i}: {json.dumps(n)}" for i, n in enumerate(names)]]
 
 
-def coco_lines(images: DataFrame, annotations: DataFrame, classes: DataFrame, info: str = "dataset") -> DataFrame:
-    """One COCO document per used split, ``annotations/instances_<split>.json``, as ordered lines."""
+def coco_lines(images: DataFrame, annotations: DataFrame, classes: DataFrame, info: str = "dataset", splits: Sequence[str] = ()) -> DataFrame:
+    """One COCO document per split, ``annotations/instances_<split>.json``, as ordered lines.
+
+    Every split that has images gets a document, whatever its name (an unsplit set may be called "all"), and so does every one of ``splits``,
+    the ones in use, even without images. Categories are lines of the document as well, one per class.
+    """
     file = F.concat(F.lit("annotations/instances_"), F.col("split"), F.lit(".json"))
     counts = images.groupBy("split").agg(F.count(F.lit(1)).alias("images"))  # one row per split
     counts = counts.join(annotations.groupBy("split").agg(F.count(F.lit(1)).alias("annotations")), "split", "left")
-    counts = counts.filter(F.col("split").isin(list(SPLITS))).withColumn("annotations", F.coalesce("annotations", F.lit(0)))
+    if splits:
+        counts = counts.join(local_rows(images.sparkSession, [(s,) for s in splits], "split string"), "split", "full")
+    counts = counts.select("split", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("annotations", F.lit(0)).alias("annotations"))
 
     def fixed(section: int, text: str) -> DataFrame:
-        return counts.select(file.alias("file"), F.lit(section * SECTION).alias("line_no"), F.lit(text).alias("line"))
+        return counts.select(file.alias("file"), _place(section).alias("line_no"), F.lit(text).alias("line"))
 
     def listed(df: DataFrame, section: int, of: str, body: Column) -> DataFrame:
         met = lookup(df, counts.withColumnRenamed(of, "_of").select("split", "_of"), ["split"], ["_of"])
         comma = F.when(F.col("id") < F.col("_of"), ",").otherwise("")
-        return met.select(file.alias("file"), (F.lit(section * SECTION) + F.col("id")).alias("line_no"), F.concat(F.to_json(body), comma).alias("line"))
+        return met.select(file.alias("file"), _place(section, F.col("id")).alias("line_no"), F.concat(F.to_json(body), comma).alias("line"))
 
-    names = [r["name"] for r in classes.orderBy("id").collect()]
-    categories = json.dumps([{"id": i + 1, "name": n, "supercategory": "none"} for i, n in enumerate(names)])
+    last = classes.agg(F.max("id")).first()[0]
+    kind = F.to_json(F.struct((F.col("id") + 1).alias("id"), "name", F.lit("none").alias("supercategory")))
+    per_split = counts.select("split").crossJoin(F.broadcast(classes.select("id", "name")))  # few splits x the class table
+    categories = per_split.select(file.alias("file"), _place(5, F.col("id")).alias("line_no"), F.concat(kind, F.when(F.col("id") < F.lit(last), ",").otherwise("")).alias("line"))
     return (
         fixed(0, json.dumps({"info": {"description": info}})[:-1] + ', "images": [')
         .unionByName(listed(images, 1, "images", F.struct("id", "file_name", "width", "height")))
         .unionByName(fixed(2, '], "annotations": ['))
         .unionByName(listed(annotations, 3, "annotations", F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd")))
-        .unionByName(fixed(4, f'], "categories": {categories}}}'))
+        .unionByName(fixed(4, '], "categories": ['))
+        .unionByName(categories)
+        .unionByName(fixed(6, "]}"))
     )

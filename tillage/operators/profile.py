@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import ISO_DATE, is_date, is_number, numeric_columns
+from ..functions.values import ISO_DATE, is_date, is_number, number_of, numeric_columns
 from ..plans.lineage import pinned
 from ..plans.quantiles import quantiles
 from ..plans.rows import with_row_id
+from .dedup import extra_copies
 
 # Weights and bands of the table health score, and the bounds of a stratification column.
 HEALTH_MISSING_WEIGHT = 0.6
@@ -164,7 +165,7 @@ def semantic_types(df: DataFrame) -> DataFrame:
     aggs, cells = [], {}
     for i, c in enumerate(df.columns):
         text = F.nullif(F.col(c).cast("string"), F.lit(""))
-        number = F.expr(f"try_cast(nullif(cast(`{c}` AS string), '') AS double)").isNotNull()
+        number = number_of(text).isNotNull()
         date = text.rlike(ISO_DATE) & F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
         aggs += [
             F.count(text).alias(f"n_{i}"),
@@ -177,18 +178,17 @@ def semantic_types(df: DataFrame) -> DataFrame:
 
 
 def _issue_totals(df: DataFrame) -> DataFrame:
-    """One row: rows, cells, null cells, columns with gaps, duplicate rows. Duplicates need one grouping of the rows."""
+    """One row: rows, cells, null cells, columns with gaps, duplicate rows. Only row hashes and possible copies are shuffled."""
     columns = df.columns
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    nulls = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        (F.coalesce(F.sum("_n"), F.lit(0)) * len(columns)).alias("cells"),
-        F.coalesce(F.sum(nulls * F.col("_n")), F.lit(0)).alias("missing_cells"),
-        sum((F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).cast("long") for c in columns), F.lit(0).cast("long")).alias(
-            "columns_with_gaps"
-        ),
-        (F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicate_rows"),
+    extra = extra_copies(df)
+    gaps = [F.count_if(F.col(c).isNull()).alias(f"g_{i}") for i, c in enumerate(columns)]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *gaps)
+    none = F.lit(0).cast("long")
+    return counts.select(
+        "rows", (F.col("rows") * len(columns)).alias("cells"),
+        sum((F.col(f"g_{i}") for i in range(len(columns))), none).alias("missing_cells"),
+        sum(((F.col(f"g_{i}") > 0).cast("long") for i in range(len(columns))), none).alias("columns_with_gaps"),
+        F.lit(extra).cast("long").alias("duplicate_rows"),
     )
 
 

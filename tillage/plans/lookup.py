@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .lineage import SMALL_ROWS, may_broadcast, pinned
 
@@ -26,8 +25,9 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: boo
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    return [F.col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.BinaryType))]
+def _position() -> Column:
+    """Partition and place of a row: equal rows get different salts. The salt decides nothing but where a row is joined."""
+    return F.monotonically_increasing_id()
 
 
 def lookup(
@@ -75,7 +75,7 @@ def lookup(
     if not null_safe:
         spread = reduce(lambda a, k: a | F.col(k).isNull(), keys, spread)
     marked = df.join(F.broadcast(hot), _same(df, hot, keys, null_safe, "_h_"), "left").withColumn(
-        "_salt", F.when(spread, F.pmod(F.xxhash64(*_hashable(df)), F.lit(SALTS)) + 1).otherwise(0)
+        "_salt", F.when(spread, F.pmod(F.xxhash64(_position()), F.lit(SALTS)) + 1).otherwise(0)
     )
     cold = right.withColumn("_cold", F.lit(0).cast("long"))
     joined = marked.join(

@@ -57,8 +57,15 @@ def number_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | C
 
 
 def hash_key(key: Sequence[str], seed: int) -> Column:
-    """The order used by every seeded shuffle: MD5 of seed and key, equal on every engine and partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    """The order used by every seeded shuffle: MD5 of seed and key, equal on every engine and partitioning.
+
+    The parts of a composite key carry their lengths, and nulls a mark of their own, so that different keys give different texts.
+    """
+    texts = [F.col(k).cast("string") for k in key]
+    if len(texts) == 1:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(texts[0], F.lit("\x00null"))))
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit("="), t), F.lit("null")) for t in texts]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def bucket_digits(rows: int, per_bucket: int = 200_000) -> int:

@@ -16,6 +16,7 @@ from ..operators.rasters import apply_raster
 
 # The extensions that count as images, and the length of an error text.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tif", ".tiff", ".webp")
+NO_CODEC = (".webp",)  # valid pictures that the image reader cannot decode
 ERROR_LENGTH = 150
 
 
@@ -36,7 +37,8 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded images: path, name, ext, size, corrupted, error and the raster columns.
 
-    A file that cannot be decoded stays as a row with ``corrupted`` and an error. Path and size come from the file
+    A file that cannot be decoded stays as a row with ``corrupted`` and an error. A format without a codec is no damage: its rows
+    have the error "unsupported" and no pixels, and are not ``corrupted``. Path and size come from the file
     metadata of the same scan, so nothing is joined or shuffled; the file bytes are read by ``list_images`` only.
     """
     scan = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
@@ -45,9 +47,10 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_metadata.file_size").alias("size"), "image",
     ).withColumn("path", _plain_path("_p")).withColumn("name", name_of(F.col("path"))).withColumn("ext", ext_of(F.col("name")))
     good = F.col("image.width") > 0
-    error = F.substring(F.concat(F.lit("undecodable: "), F.col("ext")), 1, ERROR_LENGTH)
+    known = ~F.col("ext").isin(list(NO_CODEC))
+    error = F.substring(F.concat(F.when(known, "undecodable: ").otherwise("unsupported: "), F.col("ext")), 1, ERROR_LENGTH)
     rows = files.filter(F.col("ext").isin(list(IMAGE_EXTENSIONS))).select(
-        "path", "name", "ext", "size", (~good).alias("corrupted"), F.when(~good, error).alias("error"),
+        "path", "name", "ext", "size", (~good & known).alias("corrupted"), F.when(~good, error).alias("error"),
         F.when(good, F.col("image.height")).alias("height"), F.when(good, F.col("image.width")).alias("width"),
         F.when(good, F.col("image.nChannels")).alias("n_channels"), F.when(good, F.col("image.data")).alias("data"),
     )

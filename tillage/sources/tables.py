@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import ISO_DATE, NA_TOKENS, blank_to_null, text_columns
+from ..functions.values import ISO_DATE, NA_TOKENS, blank_to_null, number_of, text_columns
 
 
 def typed(df: DataFrame, dates: bool = False) -> DataFrame:
@@ -31,7 +31,7 @@ def typed(df: DataFrame, dates: bool = False) -> DataFrame:
         aggs += [
             F.count(F.col(c)).alias(f"n_{i}"),
             F.bool_and(F.expr(f"{q} IS NULL OR ({q} RLIKE '^\\\\s*[+-]?[0-9]+\\\\s*$' AND try_cast({q} AS bigint) IS NOT NULL)")).alias(f"long_{i}"),
-            F.bool_and(F.expr(f"{q} IS NULL OR try_cast({q} AS double) IS NOT NULL")).alias(f"double_{i}"),
+            F.bool_and(F.col(c).isNull() | number_of(F.col(c)).isNotNull()).alias(f"double_{i}"),
             F.bool_and(F.expr(f"{q} IS NULL OR lower({q}) IN ('true', 'false')")).alias(f"boolean_{i}"),
             F.bool_and(F.col(c).isNull() | (F.col(c).rlike(ISO_DATE + "$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull())).alias(f"date_{i}"),
         ]
@@ -44,8 +44,11 @@ def typed(df: DataFrame, dates: bool = False) -> DataFrame:
     return df.select(*[F.col(c).cast({"long": "bigint"}.get(kinds[c], kinds[c])).alias(c) if c in kinds else F.col(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, multi_line: bool = False, dates: bool = False) -> DataFrame:
-    """CSV with a header; NA texts and empty cells become null before types are decided."""
+def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, multi_line: bool = True, dates: bool = False) -> DataFrame:
+    """CSV with a header; NA texts and empty cells become null before types are decided.
+
+    A quoted cell may hold line breaks, so a file is read by one task. Where no cell does, ``multi_line=False`` lets Spark split large files.
+    """
     raw = (
         spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
         .option("escape", '"').option("encoding", "UTF-8").csv(path)
@@ -120,27 +123,47 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
             row.clear()
 
 
+def _headings(cells: list[str | None]) -> list[str]:
+    """Column names of a sheet: an empty heading becomes ``column_<n>``, a repeated one gets a number."""
+    out: list[str] = []
+    for i, c in enumerate(cells):
+        name, n = c or f"column_{i}", 1
+        while name in out:
+            name, n = f"{c}_{n}", n + 1
+        out.append(name)
+    return out
+
+
 def read_xlsx(spark: SparkSession, path: str, dates: bool = False) -> DataFrame:
-    """The first sheet of one or more workbooks (a file or a glob), header in the first row; one task per file."""
+    """The first sheet of one or more workbooks (a file or a glob), header in the first row; one task per file.
+
+    Columns are united by name over all workbooks. A cell without a heading belongs to ``column_<n>``, n being its 0-based place.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
                 rows: list[tuple[str, int, list]] = []
+                header: list[str] = []
                 for i, cells in enumerate(sheet_rows(content)):
-                    rows.append((name, i, cells))
+                    if i == 0:
+                        header = _headings(cells)
+                        cells = header
+                    header += [f"column_{n}" for n in range(len(header), len(cells))]
+                    rows.append((name, i, [{"name": n, "place": p, "text": c} for p, (n, c) in enumerate(zip(header, cells))]))
                     if len(rows) == 5000:
                         yield pd.DataFrame(rows, columns=["path", "row_no", "cells"])
                         rows = []
                 yield pd.DataFrame(rows, columns=["path", "row_no", "cells"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(parse, "path string, row_no long, cells array<string>")
-    header = rows.filter("row_no = 0").orderBy("path").first()
-    if header is None:
+    rows = files.mapInPandas(parse, "path string, row_no long, cells array<struct<name:string,place:int,text:string>>")
+    seen = rows.select("path", F.explode("cells").alias("c")).groupBy("c.name").agg(F.min(F.struct("path", "c.place")).alias("first"))
+    names = [r["name"] for r in seen.orderBy("first", "name").collect()]  # one row per column
+    if not names:
         raise ValueError(f"{path} has no rows")
-    names = [c if c else f"column_{i}" for i, c in enumerate(header["cells"])]
-    body = rows.filter(F.col("row_no") > 0).select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    texts = F.map_from_arrays(F.col("cells.name"), F.col("cells.text"))
+    body = rows.filter(F.col("row_no") > 0).select(texts.alias("_m")).select(*[F.try_element_at("_m", F.lit(n)).alias(n) for n in names])
     return typed(blank_to_null(body).dropna(how="all"), dates)
 
 
