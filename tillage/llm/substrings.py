@@ -50,10 +50,13 @@ def anchors_of(words: list[bytes], window: int) -> tuple[list[int], list[int]]:
 
 
 def around(places: list[int], n_words: int, window: int) -> list[int]:
-    """Starts of all windows that hold an anchor at one of the places."""
+    """Starts of all windows that hold an anchor at one of the places. Places may be those of a longer row with the same id."""
+    if n_words < window:
+        return []
     mark = np.zeros(n_words + 1, dtype=np.int32)
     reach = window - anchor_length(window)
     at = np.asarray(places, dtype=np.int64)
+    at = at[at <= n_words - anchor_length(window)]
     np.add.at(mark, np.maximum(at - reach, 0), 1)
     np.add.at(mark, np.minimum(at + 1, n_words), -1)
     return np.flatnonzero(np.cumsum(mark[: max(0, n_words - window + 1)]) > 0).tolist()
