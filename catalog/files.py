@@ -107,7 +107,7 @@ def x11(spark, folder):
     return image_files.read_box_files(spark, f"{there}/labels").select("stem", "class_id", "xc", "h")
 
 
-@query("x10_mapping_file", """SELECT quality::INT AS label_id, CASE quality WHEN 0 THEN 'poor' ELSE 'it''s good' END AS name, doc_id || '.txt' AS file FROM labels""")
+@query("x10_mapping_file", """SELECT quality::BIGINT AS label_id, CASE quality WHEN 0 THEN 'poor' ELSE 'it''s good' END AS name, doc_id || '.txt' AS file FROM labels""")
 def x10(spark, folder):
     """The mapping document of all labelled files, written and parsed as data."""
     there = new_folder(spark, "mapping")

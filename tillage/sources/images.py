@@ -99,7 +99,7 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
                     listed = files.get(k) or [None]
                     yield pd.DataFrame({"label_id": k, "name": names.get(k, str(k)), "file": listed})
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "label_id int, name string, file string")
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "label_id long, name string, file string")
 
 
 def read_box_files(spark: SparkSession, path: str) -> DataFrame:
