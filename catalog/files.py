@@ -12,7 +12,7 @@ from tillage.plans.lineage import work_folder
 from tillage.plans.recipe import Recipe
 from tillage.sources import images as image_files
 from tillage.sources import sinks
-from tillage.sources.tables import load_table, read_csv
+from tillage.sources.tables import load_table, read_csv, read_json
 
 from .images import WITH_PICTURES, pictures
 from .labels import BOXES, COCO, WITH_BOXES, box_images, good_boxes, split_images
@@ -34,13 +34,18 @@ def s01(spark, folder):
 
 @query("s02_json_read", """SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events""")
 def s02(spark, folder):
-    """Objects with missing keys, one document per part, read as tables with united keys."""
+    """Objects with missing keys, a thousand per document, the folder of documents read as one table with united keys."""
     there = new_folder(spark, "events")
     e = table(spark, folder, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
-    body = e.select(F.lit("events.json").alias("file"), (F.col("event_id") + 1).alias("line_no"), F.concat(F.when(F.col("event_id") > 0, ",").otherwise(""), F.to_json(F.struct(*e.columns))).alias("line"))
-    ends = spark.createDataFrame([("events.json", -1, "["), ("events.json", 2**62, "]")], "file string, line_no long, line string")
-    sinks.save_lines(body.unionByName(ends), there)
-    return load_table(spark, f"{there}/events.json").select("event_id", "event_type", "value")
+    file = F.concat(F.lit("part-"), F.floor(F.col("event_id") / 1000).cast("string"), F.lit(".json"))
+    body = e.select(file.alias("file"), "event_id", F.to_json(F.struct(*e.columns)).alias("line"))
+    ends = body.groupBy("file").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    comma = F.when(F.col("event_id") > F.floor(F.col("event_id") / 1000) * 1000, ",").otherwise("")  # the ids are dense
+    lines = body.select("file", F.col("event_id").alias("line_no"), F.concat(comma, "line").alias("line"))
+    lines = lines.unionByName(ends.select("file", (F.col("first") - 1).alias("line_no"), F.lit("[").alias("line")))
+    lines = lines.unionByName(ends.select("file", (F.col("last") + 1).alias("line_no"), F.lit("]").alias("line")))
+    sinks.save_lines(lines, there)
+    return read_json(spark, there).select("event_id", "event_type", "value")
 
 
 @query("s12_split_files", split_sql("(SELECT c_custkey, c_mktsegment FROM customer)", "c_custkey", "1", "c_custkey, c_mktsegment", (0.7, 0.15, 0.15)))

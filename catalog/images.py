@@ -179,14 +179,18 @@ def i10_hashes(spark, folder):
     return imagecopies.similar_hashes(imagecopies.distinct_hashes(order_hashes(spark, folder)), ("first",))
 
 
-@query("i11_similar_to", WITH_PICTURES.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT path, dhash FROM m WHERE NOT corrupted AND state <> 'Blank' AND dup_of IS NULL),
+# The look-alikes: in order of the path, a hash is an anchor unless an earlier anchor is near.
+WITH_NEAR = WITH_PICTURES.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT path, dhash FROM m WHERE NOT corrupted AND state <> 'Blank' AND dup_of IS NULL),
   u AS (SELECT dhash AS h, min(path) AS first FROM c GROUP BY 1), o AS (SELECT h, first, row_number() OVER (ORDER BY first) AS i FROM u),
   hs AS (SELECT list(h ORDER BY i) AS hs, list(first ORDER BY i) AS firsts FROM o),
   step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS anchors, NULL::BIGINT AS near
     UNION ALL SELECT n.i, CASE WHEN len(f) > 0 THEN anchors ELSE list_append(anchors, n.i) END, f[1] FROM (
-      SELECT s.i + 1 AS i, anchors, list_filter(anchors, lambda a: bit_count(xor(hs[a], hs[s.i + 1])) <= 5) AS f FROM step s, hs WHERE s.i < len(hs)) n)
-  SELECT c.path, CASE WHEN near IS NULL THEN o.first ELSE firsts[near] END AS near_of FROM c JOIN o ON o.h = c.dhash JOIN step ON step.i = o.i, hs
-  WHERE near IS NOT NULL OR c.path <> o.first""")
+      SELECT s.i + 1 AS i, anchors, list_filter(anchors, lambda a: bit_count(xor(hs[a], hs[s.i + 1])) <= 5) AS f FROM step s, hs WHERE s.i < len(hs)) n),
+  nr AS (SELECT c.path, CASE WHEN near IS NULL THEN o.first ELSE firsts[near] END AS near_of FROM c JOIN o ON o.h = c.dhash JOIN step ON step.i = o.i, hs
+  WHERE near IS NOT NULL OR c.path <> o.first) """
+
+
+@query("i11_similar_to", WITH_NEAR + "SELECT path, near_of FROM nr")
 def i11(spark, folder):
     df = imagecopies.exact_copies(measured(spark, folder), "data")
     return imagecopies.mark_similar(df).filter(F.col("near_of").isNotNull()).select("path", "near_of")
@@ -198,12 +202,12 @@ def i12(spark, folder):
     return imagecopies.live_links(df, "dup_of").select("path", "dup_of")
 
 
-@query("i13_image_rows", WITH_PICTURES + """SELECT path, name, ext, round(size / 1024::DOUBLE, 2) AS file_size_kb, corrupted, CASE WHEN corrupted THEN 'undecodable: ' || ext END AS error,
+@query("i13_image_rows", WITH_NEAR + """SELECT row_number() OVER (ORDER BY m.path) AS "index", m.path, name, ext, CASE ext WHEN '.jpg' THEN 'JPEG' ELSE upper(substr(ext, 2)) END AS format, round(size / 1024::DOUBLE, 2) AS file_size_kb, corrupted, CASE WHEN corrupted THEN 'undecodable: ' || ext END AS error,
    CASE WHEN NOT corrupted THEN 8 END AS width, CASE WHEN NOT corrupted THEN 8 END AS height, CASE WHEN NOT corrupted THEN '8x8' END AS resolution,
    CASE WHEN NOT corrupted THEN 0::DOUBLE END AS megapixels, CASE WHEN NOT corrupted THEN 1::DOUBLE END AS aspect_ratio, color_mode,
-   round(brightness, 6) AS brightness, round(blur_score, 6) AS blur_score, state, dup_of, NULL::VARCHAR AS near_of FROM m""")
+   round(brightness, 6) AS brightness, round(blur_score, 6) AS blur_score, state, dup_of, near_of FROM m LEFT JOIN nr ON nr.path = m.path""")
 def i13(spark, folder):
-    df = reported(spark, folder)
+    df = imagecopies.mark_similar(reported(spark, folder).drop("near_of"))
     exact = imagesets.image_rows(df).drop("brightness", "blur_score")
     return exact.join(df.select("path", F.round("brightness", 6).alias("brightness"), F.round("blur_score", 6).alias("blur_score")), "path")
 
@@ -270,9 +274,9 @@ def i20(spark, folder):
     return imagesets.search_path(imagesets.with_issue(measured(spark, folder), "blurry"), "/3/").select("path", "state")
 
 
-@query("i21_issue_counts", WITH_PICTURES + _TALLY + " SELECT corrupted, duplicates, 0::BIGINT AS similar, blurry + very_blurry AS blurry, blank FROM t")
+@query("i21_issue_counts", WITH_NEAR + _TALLY + " SELECT corrupted, duplicates, (SELECT count(*) FROM nr) AS similar, blurry + very_blurry AS blurry, blank FROM t")
 def i21(spark, folder):
-    return imagesets.issue_counts(reported(spark, folder))
+    return imagesets.issue_counts(imagecopies.mark_similar(reported(spark, folder).drop("near_of")))
 
 
 @query("i22_decoded_size", WITH_PICTURES + "SELECT sum(64 * nc)::BIGINT AS decoded_bytes, count(*) FILTER (nc <> 3) AS edited FROM m WHERE NOT corrupted")
@@ -342,7 +346,7 @@ def g05_nearest(spark, folder):
     return _pixel_rows(rasters.brighten(pictures(spark, folder), 1.3, "nearest"))
 
 
-@query("g06_sharpen", WITH_PICTURES + """, ch AS (SELECT px.id, px.nc, x, y, c, CASE c WHEN 0 THEN r WHEN 1 THEN gg ELSE b END AS v FROM px, range(3) t(c), m
+SHARPENED = WITH_PICTURES + """, ch AS (SELECT px.id, px.nc, x, y, c, CASE c WHEN 0 THEN r WHEN 1 THEN gg ELSE b END AS v FROM px, range(3) t(c), m
     WHERE m.id = px.id AND m.state IN ('Blurry', 'Very Blurry') AND (px.nc > 1 OR c = 0)),
   kw AS (SELECT d, exp(-d * d / 8::DOUBLE) / sum(exp(-d * d / 8::DOUBLE)) OVER () AS w FROM range(-6, 7) t(d)),
   w AS (SELECT o, least(7, greatest(0, o + d)) AS i, sum(w) AS w FROM range(8) t(o), kw GROUP BY ALL),
@@ -351,18 +355,24 @@ def g05_nearest(spark, folder):
   d AS (SELECT ch.*, ch.v - s2.v AS diff FROM ch JOIN s2 ON s2.id = ch.id AND s2.c = ch.c AND s2.x = ch.x AND s2.y = ch.y),
   n AS (SELECT id, nc, x, y, c, CASE WHEN abs(diff) > 3 THEN least(255, greatest(0, round_even(v + diff * 1.5::DOUBLE, 0)))::INT ELSE v END AS v FROM d
     UNION ALL SELECT px.id, px.nc, x, y, 3, al FROM px, m WHERE m.id = px.id AND px.nc = 4 AND m.state IN ('Blurry', 'Very Blurry'))
-  SELECT id, any_value(nc)::INT AS n_channels, string_agg(printf('%02x', v), '' ORDER BY y, x, c) AS pixels FROM n GROUP BY id""")
+  """
+
+
+@query("g06_sharpen", SHARPENED + "SELECT id, any_value(nc)::INT AS n_channels, string_agg(printf('%02x', v), '' ORDER BY y, x, c) AS pixels FROM n GROUP BY id")
 def g06(spark, folder):
     """The pixels of the blurry pictures after sharpening."""
     return _pixel_rows(rasters.sharpen(measured(spark, folder)).filter("state = 'Sharpened'"))
 
 
-@query("g06_blur_before_after")
+@query("g06_blur_before_after", SHARPENED.rstrip() + """, sv AS (SELECT id, x, y, y * 8 + x AS p, avg(v) AS v FROM n WHERE c < 3 GROUP BY ALL),
+  sl AS (SELECT id, x, y, lag(v, 8) OVER o + lead(v, 8) OVER o + lag(v) OVER o + lead(v) OVER o - 4 * v AS l FROM sv WINDOW o AS (PARTITION BY id ORDER BY p)),
+  sb AS (SELECT id, var_pop(l) AS blur FROM sl WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 GROUP BY id)
+  SELECT count(*) AS sharpened, round(avg(blur_score), 4) AS before, round(avg(blur), 4) AS after FROM sb JOIN m ON m.id = sb.id""")
 def g06_scores(spark, folder):
     """Mean blur score before and after sharpening."""
     before = measured(spark, folder).select("id", "state", F.col("blur_score").alias("before"), "corrupted", "height", "width", "n_channels", "data")
     after = rasters.measure(rasters.sharpen(before))
-    return after.filter("state = 'Sharpened'").agg(F.count(F.lit(1)).alias("sharpened"), F.avg("before").alias("before"), F.avg("blur_score").alias("after"))
+    return after.filter("state = 'Sharpened'").agg(F.count(F.lit(1)).alias("sharpened"), F.round(F.avg("before"), 4).alias("before"), F.round(F.avg("blur_score"), 4).alias("after"))
 
 
 @query("g07_remove_blurry", WITH_PICTURES + "SELECT path FROM m WHERE state IS NULL OR state NOT IN ('Blurry', 'Very Blurry', 'Blank')")

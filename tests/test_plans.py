@@ -127,3 +127,33 @@ def test_wide_values_do_not_pass_the_driver(spark, monkeypatch):
     assert lineage.may_broadcast(stored, 30)
     monkeypatch.setattr(lineage, "BROADCAST_BYTES", 20_000)
     assert not lineage.may_broadcast(stored, 30)
+
+
+def test_hot_keys_of_equal_rows_are_spread(spark):
+    """A table too large to broadcast (by order), half of the rows one value and a tenth null, in rows without an id."""
+    k = F.when(F.col("id") % 10 < 5, "hot").when(F.col("id") % 10 < 9, F.concat(F.lit("k"), (F.col("id") % 997).cast("string")))
+    df = spark.range(60_000).select(k.alias("k"))
+    table = df.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = lookup(df, table.select("k", F.col("n").alias("times"), "n"), ["k"], ["times"], weight="n", max_broadcast=10)
+        parts = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(parts) == 60_000 and max(parts) < 0.25 * 60_000
+        assert {r.k: r.times for r in found.distinct().collect()} == {r.k: r.n for r in table.collect()} | {None: None}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_equal_order_values_are_spread(spark):
+    rows = with_row_id(spark.range(50_000).select(F.lit("same").alias("v")), ["v"], "at")
+    assert sorted(r.at for r in rows.collect()) == list(range(50_000))
+
+
+def test_settle_drops_its_shuffle_files_and_the_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    assert lineage.settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert spark.conf.get(name, None) == was

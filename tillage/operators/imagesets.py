@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import pinned
 from ..plans.quantiles import quantiles
+from ..plans.rows import with_row_id
 
 # State limits, health penalties and labels.
 BLANK_CONTRAST = 1.0
@@ -51,9 +52,11 @@ def describe(df: DataFrame, by: str = "channels") -> DataFrame:
 
 
 def image_rows(df: DataFrame) -> DataFrame:
-    """One row per image with every metric (for the table export)."""
-    return df.select(
-        "path", "name", "ext", "file_size_kb", "corrupted", "error", "width", "height", "resolution", "megapixels", "aspect_ratio",
+    """One row per image with every metric (for the table export). ``index`` counts from 1 in the order of the path."""
+    kind = F.upper(F.substr("ext", F.lit(2)))
+    numbered = with_row_id(df.withColumn("format", F.when(kind == "JPG", "JPEG").when(kind == "TIF", "TIFF").otherwise(kind)), ["path"], "_number")
+    return numbered.select(
+        (F.col("_number") + 1).alias("index"), "path", "name", "ext", "format", "file_size_kb", "corrupted", "error", "width", "height", "resolution", "megapixels", "aspect_ratio",
         "color_mode", F.round("brightness", 1).alias("brightness"), F.round("blur_score", 1).alias("blur_score"), "state",
         "dup_of", "near_of",
     )

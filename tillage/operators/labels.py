@@ -62,8 +62,8 @@ def unique_names(
     are told apart by a row number. Every round moves each loser up by at least one, and the first row of a clash never moves again.
     """
     key = df.columns
-    df = settle(df.withColumn("_tie", F.monotonically_increasing_id()))
-    order_by = [*order_by, "_tie"]
+    df = settle(df.withColumn("_row_tie", F.monotonically_increasing_id()))
+    order_by = [*order_by, "_row_tie"]
     wanted = df.withColumn("_want", F.lower(F.concat(stem, ext)))
     groups = wanted.groupBy(folder, "_want").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     counted = lookup(wanted, groups.withColumn("_many", F.lit(True)), [folder, "_want"], ["_many"], weight="_n", null_safe=True)
@@ -79,7 +79,7 @@ def unique_names(
     if not several.take(1):
         return full(rows).select(*key, name)
     while True:
-        rows = settle(full(rows.select(*key, "_tie", "_want", "_rank", "_k")))
+        rows = settle(full(rows.select(*key, "_row_tie", "_want", "_rank", "_k")))
         order = F.struct(*order_by)
         clash = (
             rows.groupBy(folder, F.lower(name).alias("_low"))

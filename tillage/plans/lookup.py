@@ -77,7 +77,8 @@ def lookup(
     marked = df.join(F.broadcast(hot), _same(df, hot, keys, null_safe, "_h_"), "left").withColumn(
         "_salt", F.when(spread, F.pmod(F.xxhash64(_position()), F.lit(SALTS)) + 1).otherwise(0)
     )
-    cold = right.withColumn("_cold", F.lit(0).cast("long"))
+    # Always 0, but not a literal: a literal would leave the join keys, and with it the salt.
+    cold = right.withColumn("_cold", F.pmod(F.xxhash64(*[F.col(f"_k_{k}") for k in keys]), F.lit(1)).cast("long"))
     joined = marked.join(
         cold, _same(marked, cold, keys, null_safe, "_k_") & (marked["_salt"] == cold["_cold"]), "left"
     )

@@ -23,11 +23,13 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "_r
     """Add the 0-based position of every row in the given total order.
 
     One range shuffle sorts the data; every task then numbers its own rows, and the only thing that is
-    gathered is one row count per partition.
+    gathered is one row count per partition. Rows that tie in the order are told apart by where they come from, so
+    that a value of very many rows is spread over several tasks.
     """
-    order = _as_columns(order_by)
+    order = [*_as_columns(order_by), F.col("_tie")]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
     placed = settle(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
     )
     part = F.shiftright("_at", _LOCAL_BITS)
     counts = sorted(placed.groupBy(part.alias("part")).count().collect())  # one row per partition
