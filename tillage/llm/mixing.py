@@ -106,7 +106,9 @@ def mix(
     inside = Window.partitionBy("_source", "_size", "_bucket").orderBy("_mark", F.col("_id").cast("string"))
     ranked = rows.withColumn("_rank", F.row_number().over(inside))
 
-    table = cells.join(classes.select("_source", "_size", "_before"), ["_source", "_size"]).join(rates, "_source")
+    # Sources meet their rates while there is one row per size; what grows with the documents is dealt by source, size and bucket.
+    rated = classes.join(rates, "_source").select("_source", "_size", "_before", "_rate", "_offset", "_total", "_target")
+    table = cells.join(rated, ["_source", "_size"])
     table = table.select("_source", "_size", "_bucket", (F.col("_earlier") + F.col("_before")).alias("_start"), "_rate", "_offset", "_total", "_target")
     out = ranked.join(table, ["_source", "_size", "_bucket"])
     k = F.col("_rank") + F.col("_start")
