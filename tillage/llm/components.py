@@ -16,12 +16,13 @@ from tillage.plans.lineage import settle
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m")).select("_a", F.least("_a", "_m").alias("_m"))
+    least = settle(least)  # a table of its own, so that Spark may split the rows of a node with very many neighbours
     return both.join(least, F.col("a") == F.col("_a")).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
+    least = settle(down.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m")))
     moved = down.join(least, F.col("a") == F.col("_a")).filter(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return moved.union(least.select(F.col("_a").alias("a"), F.col("_m").alias("b"))).distinct()
 
