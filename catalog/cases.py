@@ -17,7 +17,7 @@ from tillage.sources.tables import load_table
 
 from .files import new_folder
 from .images import WITH_PICTURES, pictures
-from .labels import WITH_BOXES, box_images, good_boxes
+from .labels import MAPPING, SPLIT_IMAGES, WITH_BOXES, _mapping, box_images, good_boxes, split_images
 from .registry import query, table
 from .tables import split_sql
 
@@ -209,6 +209,51 @@ def x05_large(spark, folder):
     return image_files.read_mapping(spark, f"{there}/label_mapping.py").groupBy("label_id").agg(F.count("file").alias("files"))
 
 
+_TREE = f"""WITH {MAPPING}, sp AS ({split_sql("(SELECT label, map.file FROM map WHERE file IN (SELECT file FROM have))", "file", "label", "label, file")}) """
+
+
+@query("l05_classification_tree", _TREE + "SELECT label, split || '/images/' || file AS target FROM sp")
+def l05_tree(spark, folder):
+    """Where every image of a split classification set goes."""
+    return exports.tree_targets(labels.split_mapping(*_mapping(spark, folder)), "classification").select("label", "target")
+
+
+@query("x05_mapping_per_split", _TREE + "SELECT split, label::BIGINT AS label_id, 'class ' || label AS name, file FROM sp")
+def x05_splits(spark, folder):
+    """One mapping and one class list per split, written and read back."""
+    there = new_folder(spark, "mapping-splits")
+    parts = labels.split_mapping(*_mapping(spark, folder)).select(F.concat_ws("|", "split", "label").alias("key"), "split", "label", "file")
+    rows = labels.mapping_rows(parts, "key", "file").select(
+        F.substring_index("key", "|", 1).alias("split"), F.substring_index("key", "|", -1).cast("long").alias("label_id"), "position", "file"
+    )
+    classes = parts.select(F.col("label").cast("long").alias("id"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("name")).distinct()
+    lines = exports.mapping_lines(classes, rows, split="split").unionByName(exports.class_lines(classes, True, folders=split.SPLITS))
+    sinks.save_lines(lines, there)
+    found = [image_files.read_mapping(spark, f"{there}/{s}/label_mapping.py").withColumn("split", F.lit(s)) for s in split.SPLITS]
+    listed = spark.read.text([f"{there}/{s}/classes.txt" for s in split.SPLITS]).select(F.substring_index("value", " ", 1).cast("long").alias("label_id")).distinct()
+    return found[0].unionByName(found[1]).unionByName(found[2]).filter("file IS NOT NULL").join(listed, "label_id", "left_semi")
+
+
+@query("l06_detection_tree", WITH_BOXES + SPLIT_IMAGES + "SELECT path, 'images/' || split || '/' || stem || '.bmp' AS target FROM s")
+def l06_tree(spark, folder):
+    """Where every image of a split detection set goes."""
+    named = split_images(spark, folder).withColumn("file", labels.name_of(F.col("path")))
+    return exports.tree_targets(named, "detection").select("path", "target")
+
+
+@query("x06_yolo_tree", WITH_BOXES + SPLIT_IMAGES + """SELECT 'labels/' || split || '/' || stem || '.txt' AS file, box_no AS line_no, CASE WHEN box_no IS NOT NULL THEN class_id::VARCHAR END AS class
+  FROM s LEFT JOIN b ON b.path = s.path UNION ALL SELECT 'data.yaml', i, NULL FROM range(5) t(i) UNION ALL SELECT 'classes.txt', class_id, NULL FROM (SELECT DISTINCT class_id FROM b)""")
+def x06_tree(spark, folder):
+    """All text files of the tree of a split detection set: labels per split, the class list and data.yaml at its root."""
+    boxes = good_boxes(spark, folder)
+    lines = labels.yolo_lines(split_images(spark, folder), boxes, split="split")
+    classes = boxes.select(F.col("class_id").alias("id"), F.concat(F.lit("class "), F.col("class_id").cast("string")).alias("name")).distinct()
+    yaml = exports.fixed_lines(spark, "data.yaml", exports.data_yaml(["a class"], (70, 20, 10))[:5])
+    both = lines.select("file", F.col("line_no").cast("long").alias("line_no"), F.substring_index("line", " ", 1).alias("class"))
+    rest = exports.class_lines(classes, False).unionByName(yaml).select("file", "line_no", F.lit(None).cast("string").alias("class"))
+    return both.unionByName(rest)
+
+
 # ---------------------------------------------------------------- model-based filling: what is determined
 
 

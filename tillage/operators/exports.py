@@ -34,15 +34,28 @@ def folder_targets(df: DataFrame, label: str = "label", file: str = "file", spli
     return df.withColumn("target", F.concat_ws("/", *parts))
 
 
+def tree_targets(df: DataFrame, kind: str, file: str = "file", split: str | None = "split") -> DataFrame:
+    """Target path of an image in the tree of a split set: ``images/<split>/<file>`` for detection, ``<split>/images/<file>`` for classification.
+
+    Without the split column the image goes to ``images/<file>``.
+    """
+    if kind not in ("detection", "classification"):
+        raise ValueError("kind is detection or classification")
+    part = [F.col(split)] if split and split in df.columns else []
+    order = [F.lit("images"), *part] if kind == "detection" else [*part, F.lit("images")]
+    return df.withColumn("target", F.concat_ws("/", *order, F.col(file)))
+
+
 def fixed_lines(spark: SparkSession, file: str, texts: Sequence[str], start: int = 0) -> DataFrame:
     """A few given lines (``data.yaml``, headings) as rows of a document."""
     return local_rows(spark, [(file, start + i, t) for i, t in enumerate(texts)], "file string, line_no bigint, line string")
 
 
-def class_lines(classes: DataFrame, with_ids: bool, file: str = "classes.txt") -> DataFrame:
-    """``classes.txt``: one name per line, or ``id name``."""
+def class_lines(classes: DataFrame, with_ids: bool, file: str = "classes.txt", folders: Sequence[str] = ("",)) -> DataFrame:
+    """``classes.txt``: one name per line, or ``id name``; one file in each of ``folders`` (the splits in use of a classification set)."""
     text = F.concat_ws(" ", F.col("id").cast("string"), "name") if with_ids else F.col("name")
-    return classes.select(F.lit(file).alias("file"), F.col("id").cast("long").alias("line_no"), text.alias("line"))
+    files = F.explode(F.array(*[F.lit(f"{f}/{file}" if f else file) for f in folders]))
+    return classes.withColumn("_file", files).select(F.col("_file").alias("file"), F.col("id").cast("long").alias("line_no"), text.alias("line"))
 
 
 def _quoted(c: str) -> Column:
@@ -50,16 +63,22 @@ def _quoted(c: str) -> Column:
     return F.concat(F.lit("'"), escaped, F.lit("'"))
 
 
-def mapping_lines(classes: DataFrame, rows: DataFrame, file: str = "label_mapping.py") -> DataFrame:
+def mapping_lines(classes: DataFrame, rows: DataFrame, file: str = "label_mapping.py", split: str | None = None) -> DataFrame:
     """The label mapping document (two literal dicts) from the class table and ``labels.mapping_rows``.
 
-    Files are one per line, so a label with very many files needs no long line and no gathering.
+    With ``split``, a column of the rows, there is one document ``<split>/<file>`` per split. Files are one per line, so a label with very
+    many files needs no long line and no gathering.
     """
     spark = rows.sparkSession
-    put = lambda df, at, text: df.select(F.lit(file).alias("file"), at.alias("line_no"), text.alias("line"))
+    path = F.concat_ws("/", F.col(split), F.lit(file)) if split else F.lit(file)
+    docs = F.broadcast(rows.select(path.alias("_doc")).distinct() if split else local_rows(spark, [(file,)], "_doc string"))  # a row per split
+    rows = rows.withColumn("_doc", path)
+    classes = classes.crossJoin(docs)
+    put = lambda df, at, text: df.select(F.col("_doc").alias("file"), at.alias("line_no"), text.alias("line"))
 
     def fixed(section: int, texts: list[str]) -> DataFrame:
-        return put(fixed_lines(spark, file, texts).withColumnRenamed("line", "_l"), _place(section, place=F.col("line_no")), F.col("_l"))
+        lines = fixed_lines(spark, file, texts).select(F.col("line").alias("_l"), "line_no").crossJoin(docs)
+        return put(lines, _place(section, place=F.col("line_no")), F.col("_l"))
 
     ident = F.col("id").cast("string")
     # One block of line numbers per label: opening line, files, closing line.

@@ -220,12 +220,14 @@ def stale_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
     return labels.join(images.select("path", "width", "height"), ["path", "width", "height"], "left_anti")
 
 
-def yolo_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
+def yolo_lines(images: DataFrame, boxes: DataFrame, split: str | None = None) -> DataFrame:
     """Lines of the YOLO label files: ``file``, ``line_no`` (from 1), ``line``; an image without boxes has one null line.
 
-    ``boxes`` has path, box_no, class_id and the corners; ``images`` path, stem, width and height.
+    ``boxes`` has path, box_no, class_id and the corners; ``images`` path, stem, width and height. With ``split``, a column of the
+    images, the files are ``labels/<split>/<stem>.txt``, else ``labels/<stem>.txt``.
     """
-    met = images.select("path", "stem", "width", "height").join(boxes.select("path", "box_no", "class_id", "x1", "y1", "x2", "y2"), "path", "left")
+    place = F.concat_ws("/", F.lit("labels"), *([F.col(split)] if split else []), F.concat("stem", F.lit(".txt")))
+    met = images.select("path", "stem", "width", "height", place.alias("_file")).join(boxes.select("path", "box_no", "class_id", "x1", "y1", "x2", "y2"), "path", "left")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     numbers = [
         (F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h,
@@ -233,7 +235,7 @@ def yolo_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
     ]
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", *numbers)
     return met.select(
-        F.concat(F.lit("labels/"), "stem", F.lit(".txt")).alias("file"), F.col("box_no").alias("line_no"),
+        F.col("_file").alias("file"), F.col("box_no").alias("line_no"),
         F.when(F.col("box_no").isNotNull(), line).alias("line"),
     )
 
