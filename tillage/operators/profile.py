@@ -239,11 +239,21 @@ def search(df: DataFrame, text: str) -> DataFrame:
     return df.filter(hit)
 
 
+EARLY_ROWS = 10_000  # pages up to this row are taken from the top of the order
+
+
 def page(df: DataFrame, number: int, order_by: Sequence[str], size: int = 20) -> DataFrame:
-    """One page of the rows in the given order, with its 0-based position. The page number is clamped."""
+    """One page of the rows in the given order, with its 0-based position. The page number is clamped.
+
+    Early pages need only the first rows of every task, later ones need the order of all rows. The result is the same.
+    """
+    total = df.count()
+    number = min(max(1, number), max(1, -(-total // size)))
+    if number * size <= EARLY_ROWS:
+        first = df.orderBy(*order_by).limit(number * size)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_by)) - 1  # at most EARLY_ROWS rows
+        return first.withColumn("position", place.cast("long")).filter(F.col("position") >= (number - 1) * size)
     numbered = with_row_id(df, order_by, "position")
-    pages = max(1, -(-numbered.count() // size))
-    number = min(max(1, number), pages)
     return numbered.filter(F.col("position").between((number - 1) * size, number * size - 1))
 
 

@@ -47,6 +47,12 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tillage-{spark.sparkContext.applicationId}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the default file system, so that driver, executors and Spark's own writers mean the same place."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 # Shuffle files of a finished write are deleted at once: the written table takes their place.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .lineage import local_rows
 
@@ -51,17 +52,32 @@ class Recipe:
     def log(self) -> DataFrame:
         """One row per step: number, action, parameters, time, rows before and after, columns after."""
         spark = self.source.sparkSession
-        df, rows = self.source, []
-        before = df.count() if self.steps else 0
-        for i, (name, params, at) in enumerate(self.steps, 1):
-            df = _actions[name](df, **params)
-            after = df.count()
-            rows.append((i, name, json.dumps(params, sort_keys=True), at, before, after, df.columns))
-            before = after
+        if not self.steps:
+            counts: list[int] = []
+            columns: list[list[str]] = []
+        else:
+            counts, columns = self._counts()
+        rows = [
+            (i, name, json.dumps(params, sort_keys=True), at, counts[i - 1], counts[i], columns[i])
+            for i, (name, params, at) in enumerate(self.steps, 1)
+        ]
         return local_rows(
             spark, rows, "step int, action string, parameters string, at string, rows_before bigint, rows_after bigint, columns array<string>"
         )
 
+    def _counts(self) -> tuple[list[int], list[list[str]]]:
+        """Rows and columns of the source and after every step, from one run of the plan: each step is observed as its rows pass."""
+        seen = [Observation() for _ in range(len(self.steps) + 1)]
+        df, columns = self.source, []
+        for i, watch in enumerate(seen):
+            if i:
+                name, params, _ = self.steps[i - 1]
+                df = _actions[name](df, **params)
+            columns.append(df.columns)
+            df = df.observe(watch, F.count(F.lit(1)).alias("rows"))
+        df.write.format("noop").mode("overwrite").save()
+        return [w.get["rows"] for w in seen], columns
+
     def save(self, folder: str) -> None:
         """Write the steps as JSON text and the current rows as Parquet below ``folder``."""
         spark = self.source.sparkSession
@@ -78,9 +94,11 @@ class Recipe:
 
     def write_log(self, folder: str, tool: str = "tillage", file: str = "") -> None:
         """The change log as one JSON record: totals and the numbered steps."""
-        steps = [(r["step"], r["action"], r["parameters"], r["at"]) for r in self.log().orderBy("step").collect()]
+        log = self.log().orderBy("step").collect()
+        steps = [(r["step"], r["action"], r["parameters"], r["at"]) for r in log]
+        before, after, columns = (log[0]["rows_before"], log[-1]["rows_after"], log[-1]["columns"]) if log else (self.source.count(),) * 2 + (self.source.columns,)
         self.source.sparkSession.createDataFrame(
-            [(tool, file, self.source.count(), self.result().count(), self.result().columns, steps)],
+            [(tool, file, before, after, columns, steps)],
             "tool string, file string, rows_before long, rows_now long, columns_now array<string>, "
             "steps array<struct<step int, action string, parameters string, at string>>",
         ).coalesce(1).write.mode("errorifexists").json(folder)

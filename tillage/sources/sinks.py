@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import Row, StructType
 
 from ..operators.profile import null_cells, null_counts
+from ..plans.lineage import qualified
 
 
 def _clean(path: str) -> str:
@@ -140,7 +141,10 @@ class _FileWriter(DataSourceWriter):
             out.write(json.dumps(report).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        pass
+        """The folder is new with this write, so a failed write takes all of it away."""
+        fs, root = self._open()
+        if fs.get_file_info(root).type == arrow_fs.FileType.Directory:
+            fs.delete_dir(root)
 
 
 class FileSink(DataSource):
@@ -157,8 +161,8 @@ class FileSink(DataSource):
 def _save(df: DataFrame, target: str, sources: Sequence[str], lines: bool) -> tuple[int, int]:
     check_target(target, sources)
     spark = df.sparkSession
+    target = qualified(spark, target)
     fs, root = _filesystem(target)
-    target = target if ":/" in target else root  # executors have other working folders
     if fs.get_file_info(root).type != arrow_fs.FileType.NotFound:
         raise ValueError(f"{target} exists: choose a new folder")
     spark.dataSource.register(FileSink)
@@ -171,8 +175,11 @@ def _save(df: DataFrame, target: str, sources: Sequence[str], lines: bool) -> tu
 def save_files(df: DataFrame, target: str, sources: Sequence[str] = ()) -> tuple[int, int]:
     """Write rows (target, content, source) as files below a new folder; returns (saved, failed).
 
-    A row without content copies the file ``source``: unchanged images never travel through a shuffle.
+    A row without content copies the file ``source``: unchanged images never travel through a shuffle. Two rows with one target are an error.
     """
+    twice = df.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).take(5)
+    if twice:
+        raise ValueError(f"several rows for one file: {sorted(r['target'] for r in twice)}")
     content = F.col("content") if "content" in df.columns else F.lit(None).cast("binary")
     source = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
     return _save(df.select("target", content.alias("content"), source.alias("source")), target, sources, False)
