@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chosenpath, decontaminate, mixing, pii, qualityrules, secrets, substrings, toxicity, warc
+from . import oracles as sql
 from .tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,4 +78,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op9_pii": pii.ORACLE}
+    return {
+        "op1_substring_dedup": sql.SUBSTRINGS,
+        "op4_warc": warc.ORACLE,
+        "op7_ngram_join": sql.NEAR,
+        "op9_pii": pii.ORACLE,
+        "op10_benchmark_hits": sql.BENCHMARK,
+    }
