@@ -1,7 +1,8 @@
 """Toxicity scores from weak supervision (operator 2).
 
 1. Lexicon: words and word beginnings that labelled toxic documents hold more often than chance explains, by the Chernoff bound of the binomial
-   tail, corrected for the number of entries looked at. Inflected forms share their beginnings, so unseen forms are met as well.
+   tail, corrected for the number of entries looked at. Inflected forms share their beginnings, so unseen forms are met as well. An entry
+   must show toxic documents that better entries do not show, or be pure and occur in different texts: ordinary words of often copied documents fall out.
 2. Voters: every lexicon entry votes "toxic" where it occurs and abstains elsewhere; a few patterns vote too; one voter says "clean"
    where no entry occurs.
 3. Label model: a two-class mixture over the votes, fitted by EM, gives each voter its accuracy. The given label is one more voter, whose
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -73,6 +75,36 @@ def _entries(text: str, lexicon, cache: dict[str, tuple[str, ...]]) -> Counter:
     return hits
 
 
+def needed(votes: np.ndarray, y: np.ndarray, least: int = 2, purity: float = 0.9) -> list[int]:
+    """The voters, best first, that show at least ``least`` toxic documents which no voter before them shows; of what they add, ``purity`` is toxic."""
+    open_ = np.ones(len(votes), dtype=bool)
+    kept = []
+    for j in range(votes.shape[1]):
+        new = votes[:, j] & open_
+        if (new & y).sum() >= least and (new & y).sum() >= purity * new.sum():
+            kept.append(j)
+            open_ &= ~votes[:, j]
+    return kept
+
+
+def gist(text: str) -> int:
+    """The smallest hash of the text's three-word runs: near copies mostly share it, other texts hardly ever do."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+
+
+def spread(votes: np.ndarray, y: np.ndarray, gists: np.ndarray, least: int, purity: float = 0.98) -> list[int]:
+    """The voters that are right in nearly all of their documents, half of which at least are different texts."""
+    kept = []
+    for j in range(votes.shape[1]):
+        hit = votes[:, j]
+        right = hit & y
+        different = len(np.unique(gists[right]))
+        if right.sum() >= purity * hit.sum() and different >= max(least, right.sum() / 2):
+            kept.append(j)
+    return kept
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over binary votes (documents x voters). Returns posteriors, P(vote | toxic), P(vote | clean).
 
@@ -167,24 +199,26 @@ def fit(
     def vote(batch: pa.RecordBatch) -> dict:
         cache: dict = {}
         found = [_entries(t, place, cache) for t in batch.column(0).to_pylist()]
-        return {"hits": [sorted(place[e] for e in f) for f in found], "y": batch.column(1)}
+        return {"hits": [sorted(place[e] for e in f) for f in found], "gist": [gist(t) for t in batch.column(0).to_pylist()], "y": batch.column(1)}
 
-    rows = map_batches(texts, vote, "hits array<int>, y int").toArrow()  # at most fit_rows rows of at most lexicon_size votes
-    votes = np.zeros((rows.num_rows, len(lexicon) + 2))
-    votes[:, -1] = y = np.array(rows["y"]) == 1
+    rows = map_batches(texts, vote, "hits array<int>, gist bigint, y int").toArrow()  # at most fit_rows rows of at most lexicon_size votes
+    y = np.array(rows["y"]) == 1
+    shown = np.zeros((rows.num_rows, len(lexicon)), dtype=bool)
     for i, hits in enumerate(rows["hits"].to_pylist()):
-        votes[i, hits] = 1
-        votes[i, -2] = not hits
+        shown[i, hits] = True
+    keep = sorted({*needed(shown, y), *spread(shown, y, np.array(rows["gist"]), min_docs)})
+    lexicon, shown = [lexicon[j] for j in keep], shown[:, keep]
+    votes = np.column_stack([shown, ~shown.any(axis=1), y]).astype(float)
     belief, hit1, hit0 = label_model(votes, 0.9 * y + 0.05)
     x = votes[:, :-2]
-    weights = logistic(np.hstack([x, np.log1p(x.sum(axis=1, keepdims=True))]), belief)
-    named = dict(zip([*lexicon, "!many"], weights[:-1].tolist()))
+    weights = logistic(x, belief)
+    named = dict(zip(lexicon, weights[:-1].tolist()))
     return ToxicityModel(named, float(weights[-1]), dict(zip([*lexicon, CLEAN, GIVEN], zip(hit1.tolist(), hit0.tolist()))))
 
 
 def score_text(model: ToxicityModel, text: str, cache: dict) -> float:
     hits = _entries(text, model.weights, cache)
-    logit = model.bias + sum(model.weights[e] for e in hits) + model.weights.get("!many", 0.0) * math.log1p(len(hits))
+    logit = model.bias + sum(model.weights[e] for e in hits)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
 
 
