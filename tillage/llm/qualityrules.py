@@ -4,7 +4,8 @@ Fixed rules fail a document outright. Further rules compare a measure with a cut
 and rule. Labelled documents say how many good documents a cutoff would reject: for a cutoff to be used, the exact (Clopper-Pearson)
 upper bound of that rate must stay within the rule's share of the allowed rate. Half of the labels, by hash of the id, proposes
 the ladder of cutoffs (quantiles of the measure), the other half tests it from lenient to strict and stops at the first failure
-(fixed-sequence testing needs no correction inside a ladder); across strata and rules the error is divided by their number (Bonferroni).
+(fixed-sequence testing needs no correction inside a ladder). Of the cutoffs that pass, the one is taken that in the first half rejects most bad
+documents beyond good ones, so a rule that only costs good documents stays unused. Across strata and rules the error is divided by their number (Bonferroni).
 So with the given confidence no stratum loses more than ``max_false_rejection`` of its good documents to the fitted rules. A stratum with too few
 labels gets no cutoff and rejects nothing.
 """
@@ -98,32 +99,35 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: flo
     Labels of an id that occur with both values count as bad; null labels and ids are left out.
     """
     truth = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_good")).dropna().groupBy("_id").agg(F.min("_good").alias("_good"))
-    good = measured.filter(~F.col("base_failed")).join(truth.filter("_good = 1").select("_id"), "_id")
-    long = good.select(
-        "_stratum", (F.crc32(F.concat(F.lit("half "), F.col("_id").cast("string"))) % 2).alias("_half"),
+    known = measured.filter(~F.col("base_failed")).join(truth, "_id")
+    long = known.select(
+        "_stratum", (F.col("_good") == 1).alias("good"), (F.crc32(F.concat(F.lit("half "), F.col("_id").cast("string"))) % 2).alias("_half"),
         F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _rate(r).alias("value")) for r in RULES])).alias("m"),
-    ).select("_stratum", "_half", "m.*")
-    long = settle(long.groupBy("_stratum", "_half", "rule", "value").count())  # equal values are counted once
+    ).select("_stratum", "good", "_half", "m.*")
+    long = settle(long.groupBy("_stratum", "good", "_half", "rule", "value").count())  # equal values are counted once
     steps = [1 - 0.5 ** (1 + i / 2) for i in range(LADDER)]
-    ladder = long.filter("_half = 0").groupBy("_stratum", "rule").agg(F.percentile("value", F.array(*map(F.lit, steps)), F.col("count")).alias("cuts"))
+    ladder = long.filter("_half = 0 AND good").groupBy("_stratum", "rule").agg(F.percentile("value", F.array(*map(F.lit, steps)), F.col("count")).alias("cuts"))
     ladder = ladder.select("_stratum", "rule", F.array_distinct("cuts").alias("cuts"))  # strata x rules rows
     tests = (
-        long.filter("_half = 1").join(F.broadcast(ladder), ["_stratum", "rule"])
-        .select("_stratum", "rule", "value", "count", F.explode("cuts").alias("cutoff"))
-        .groupBy("_stratum", "rule", "cutoff")
-        .agg(F.sum(F.when(F.col("value") > F.col("cutoff"), F.col("count")).otherwise(0)).alias("k"), F.sum("count").alias("n"))
-        .collect()
+        long.join(F.broadcast(ladder), ["_stratum", "rule"])
+        .select("_stratum", "rule", "good", "_half", "count", F.explode("cuts").alias("cutoff"), (F.col("value") > F.col("cutoff")).alias("hit"))
+        .groupBy("_stratum", "rule", "cutoff").pivot("_half", [0, 1]).agg(
+            F.sum(F.when(F.col("good") & F.col("hit"), F.col("count")).otherwise(0)).alias("k"), F.sum(F.when(F.col("good"), F.col("count")).otherwise(0)).alias("n"),
+            F.sum(F.when(~F.col("good") & F.col("hit"), F.col("count")).otherwise(0)).alias("bad"),
+        )
+        .na.fill(0).collect()
     )
     families: dict[tuple, list] = {}
     for r in tests:
-        families.setdefault((r["_stratum"], r["rule"]), []).append((r["cutoff"], r["k"], r["n"]))
+        families.setdefault((r["_stratum"], r["rule"]), []).append((r["cutoff"], r["1_k"], r["1_n"], r["0_bad"] - r["0_k"]))
     chosen = []
     for (stratum, rule), rows in families.items():
-        best = None
-        for cutoff, k, n in sorted(rows, reverse=True):
+        best, most = None, 0
+        for cutoff, k, n, gain in sorted(rows, reverse=True):
             if upper_bound(k, n, (1 - confidence) / len(families)) > max_false_rejection / len(RULES):
                 break
-            best = cutoff
+            if gain > most:
+                best, most = cutoff, gain
         if best is not None:
             chosen.append((stratum, rule, float(best)))
     return local_rows(measured.sparkSession, chosen, "_stratum string, rule string, cutoff double")
