@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import may_broadcast, settle
 from ..plans.lookup import lookup
 
 
@@ -17,7 +18,9 @@ def repeated_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Only hashes are shuffled to find them, so a table with few duplicates does not move its cells. The caller compares full rows.
     """
     hashed = df.withColumn("_hash", F.xxhash64(*[_comparable(df, c) for c in columns]))
-    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1)
+    twice = settle(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1))
+    if may_broadcast(twice, twice.count()):
+        return hashed.join(F.broadcast(twice.select("_hash")), "_hash", "left_semi")
     found = lookup(hashed, twice, ["_hash"], ["_times"], weight="_times")
     return found.filter(F.col("_times").isNotNull()).drop("_times")
 
@@ -48,11 +51,16 @@ def mark_duplicates(df: DataFrame, row: str = "_row", columns: Sequence[str] | N
     entry per later copy, by row id.
     """
     columns = list(columns or [c for c in df.columns if c != row])
-    again = repeated_rows(df, columns)
-    copies = again.groupBy(*columns).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
-    found = lookup(again.select(row, *columns), copies, columns, ["_first"], weight="_copies", null_safe=True)
-    later = found.filter(F.col("_first") < F.col(row)).select(row, "_first")
-    marked = lookup(df, later, [row], ["_first"])
+    again = settle(repeated_rows(df, columns).select(row, "_hash", *columns))
+    copies = again.groupBy("_hash", *columns).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+    right = copies.select(F.col("_hash").alias("_h"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(columns)], "_first")
+    same = F.col("_hash") == F.col("_h")
+    for i, c in enumerate(columns):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{i}"))
+    later = again.join(right, same).filter(F.col("_first") < F.col(row)).select(F.col(row).alias("_later"), "_first")
+    later = settle(later)
+    later = F.broadcast(later) if may_broadcast(later, later.count()) else later
+    marked = df.join(later, F.col(row) == F.col("_later"), "left").drop("_later")
     return marked.withColumn("first_row", F.coalesce("_first", row)).drop("_first").withColumn("is_duplicate", F.col("first_row") < F.col(row))
 
 
