@@ -382,6 +382,29 @@ def test_benchmark_passages_are_found(spark, odd, nothing):
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == len(odd_rows())
 
 
+@pytest.mark.parametrize("rule", [(13, 2, 6), (13, 2, 3), (10, 3, 5), (8, 0, 8)])
+def test_masks_cover_all_changes_at_all_places(rule):
+    window, substitutions, least = rule
+    masks = decontaminate.covering(*rule)
+    for n in range(least, window + 1):
+        for bad in itertools.combinations(range(n), n * substitutions // window):
+            for start in range(7):
+                places = [(m, a) for m in masks for a in range(start, start + n - m[-1]) if a % decontaminate.STRIDE == 0]
+                assert any(all(a - start + o not in bad for o in m) for m, a in places), (n, bad, start)
+
+
+def test_short_and_changed_passages_are_found(spark):
+    rng = random.Random(14)
+    items, rows = [], []
+    for n, changed in [(6, []), (7, []), (7, [3]), (8, [2]), (10, [4]), (12, [5]), (13, [3, 8]), (13, [4, 9]), (60, range(5, 60, 6))]:
+        words_ = [f"w{len(items)}x{i}" for i in range(n)]
+        for start in range(4):
+            rows.append((len(rows), len(items), " ".join(f"{prose(rng, start)} {' '.join('new' if i in changed else w for i, w in enumerate(words_))} {prose(rng, 5)}".split())))
+        items.append((len(items), " ".join(words_)))
+    found = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, of long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {r[:2] for r in rows}
+
+
 # ------------------------------------------------------------------ registered queries
 
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination (operator 10), by DataFrame functions only.
 
 Spaced seeds: a mask says which words of a short stretch are hashed and which are ignored, so a substitution at an ignored place does not hide a
-match. All stretches of the benchmark items are hashed with every mask, those of the documents at every ``stride``-th word; an overlap longer than a
-mask by at least the stride cannot fall between. Equal hashes propose a diagonal (document, item, shift). On each
+match. All stretches of the benchmark items and of the documents are hashed with every mask. The masks cover the rule below: whichever words of a
+window are changed, as far as it allows, some mask lies on equal words only. Equal hashes propose a diagonal (document, item, shift). On each
 proposed diagonal the words are then compared as they are, and the pair counts if some window of ``window`` aligned words has at most
 ``substitutions`` different ones (items shorter than the window are compared whole, with the same share).
 
@@ -18,9 +18,18 @@ from tillage.plans.lineage import may_broadcast, settle
 
 from .batches import let
 
-# Offsets of the words that a seed hashes: six in a row, and two spread shapes with free places in between.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9))
-STRIDE = 3
+# Offsets of the words that a seed hashes. Three masks of five words are the fewest that cover 11 of 13 words and the same share of 6 to 12.
+WINDOW, SUBSTITUTIONS, MIN_WORDS = 13, 2, 6
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5))
+STRIDE = 1
+
+
+def covering(window: int, substitutions: int, min_words: int) -> tuple[tuple[int, ...], ...]:
+    """Masks that find every overlap of the rule at stride 1. For another rule than the fixed one: the run of words that any allowed changes leave."""
+    if (window, substitutions) == (WINDOW, SUBSTITUTIONS) and min_words >= MIN_WORDS:
+        return MASKS
+    spans = ((n, n * substitutions // window) for n in range(max(1, min(window, min_words)), window + 1))
+    return (tuple(range(max(1, min(-(-(n - changed) // (changed + 1)) for n, changed in spans)))),)
 
 
 def _words(text: Column) -> Column:
@@ -39,14 +48,15 @@ def seeds(words: Column, masks: tuple[tuple[int, ...], ...], stride: int) -> Col
 
 
 def hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, substitutions: int = 2, masks: tuple[tuple[int, ...], ...] = MASKS, stride: int = STRIDE,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 6,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: tuple[tuple[int, ...], ...] | None = None, stride: int = STRIDE,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Contaminated pairs (id, item, start, matched, compared): where the best window starts in the document (in words) and how many of its words match.
 
     One row per document and item. Null or empty texts, and items with fewer than ``min_words`` words, match nothing. Rows with equal ids count as
     one document that holds all their texts, rows with equal item ids as variants of one item; null ids are equal to each other.
     """
+    masks = covering(window, substitutions, min_words) if masks is None else masks
     # Every text is one variant of its id; ids are joined null-safe through a hash that is verified by comparing the words.
     corpus = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     items = benchmark.select(F.col(item_col).alias("_item"), _words(F.coalesce(F.col(item_text_col), F.lit(""))).alias("_passage"))
