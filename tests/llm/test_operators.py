@@ -322,6 +322,20 @@ def test_secrets(spark, odd, nothing):
     assert secrets.scan(nothing, secrets.fit(nothing, secrets.label_findings(nothing))).count() == 0
 
 
+def test_long_values_are_whole(spark):
+    rng = random.Random(15)
+    make = lambda n: "".join(rng.choice("ABCDEFGHJKabcdefghjkmnpq23456789+/") for _ in range(n))
+    for n in (512, 513, 1600, 50_000):
+        value = make(n)
+        assert secrets.candidates(f'private_key = "{value}" end') == [("assigned", 15, 15 + n)]
+        assert secrets.candidates(f"so {value} end") == [("long", 3, 3 + n)]
+    rows = [(i, f"{prose(rng, 30)} {f'private_key={make(1600)}' if i % 2 else f'/srv/{prose(rng, 1)}/part-0{i}.parquet'} {prose(rng, 5)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.fit(docs, secrets.label_findings(docs))
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs, model).collect()}
+    assert all(masked[i] == re.sub(r"(?<=private_key=)\S+", "[secret]", t) for i, t in rows if i % 2)
+
+
 # ------------------------------------------------------------------ 9 personal data
 
 

@@ -30,9 +30,9 @@ NAMES = "password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key|auth
 ISSUED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}"
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "sample", "redacted", "xxxx", "****", "1234567890", "none", "null", "true", "false")
 
-ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])?(?:{NAMES})(?![A-Za-z0-9])[\"']?\s{{0,4}}(?:=|:)>?\s{{0,4}}[\"']?(?P<value>[^\s\"'<>,;]{{6,512}})")
+ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])?(?:{NAMES})(?![A-Za-z0-9])[\"']?\s{{0,4}}(?:=|:)>?\s{{0,4}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}}+)")
 KEY = re.compile(rf"(?<![0-9A-Za-z])(?P<value>{ISSUED})(?![0-9A-Za-z])")
-LONG = re.compile(r"(?<![0-9A-Za-z_+/=-])(?P<value>(?=[A-Za-z_+/=-]*[0-9])[0-9A-Za-z_+/=-]{16,512})(?![0-9A-Za-z_+/=-])")
+LONG = re.compile(r"(?<![0-9A-Za-z_+/=-])(?P<value>(?=[A-Za-z_+/=-]*[0-9])[0-9A-Za-z_+/=-]{16,}+)")
 KINDS = (("assigned", ASSIGNED), ("key", KEY), ("long", LONG))
 NEAR = 40  # characters looked at on either side
 NAME_NEAR = re.compile(rf"(?i){NAMES}")
@@ -208,16 +208,21 @@ def label_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def fit(docs: DataFrame, findings: DataFrame, fit_rows: int = 8_000, prose_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
     """Train on labelled findings (context, kind, start, end, label): at most ``fit_rows`` of each label, chosen by hash after repeated ones are dropped."""
     prose = learn_prose(docs, prose_rows, id_col, text_col)
-    unique = settle(findings.dropna().groupBy("context", "kind", "start", "end").agg(F.max("label").alias("label")))
-    rows = [
-        r for label in (0, 1)
-        for r in unique.filter(F.col("label") == label).orderBy(F.xxhash64("context", "start"), "context", "start").limit(fit_rows).collect()
-    ]
+    unique = findings.dropna().groupBy("context", "kind", "start", "end").agg(F.max("label").alias("label"))
+    order = (F.xxhash64("context", "start").alias("h"), F.sha2(F.concat_ws(":", "start", "end", "kind", "context"), 256).alias("h2"))
+    chosen = unique.select("context", "kind", "start", "end", "label", *order)
+
+    # Values have any length, so the features travel and the texts do not.
+    def features(batch: pa.RecordBatch) -> dict:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("context", "kind", "start", "end")))
+        return {"label": batch.column("label"), "h": batch.column("h"), "h2": batch.column("h2"), "x": [describe(*r, prose) for r in rows]}
+
+    described = settle(map_batches(chosen, features, "label int, h bigint, h2 string, x array<double>"))
+    rows = [r for label in (0, 1) for r in described.filter(F.col("label") == label).orderBy("h", "h2").limit(fit_rows).collect()]
     y = np.array([r["label"] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return SecretModel(prose, None)
-    x = np.array([describe(r["context"], r["kind"], r["start"], r["end"], prose) for r in rows])
-    return SecretModel(prose, Forest().fit(x, y))
+    return SecretModel(prose, Forest().fit(np.array([r["x"] for r in rows]), y))
 
 
 def judge(model: SecretModel, text: str, cutoff: float) -> tuple[int, list[tuple[str, int, int, float]]]:
