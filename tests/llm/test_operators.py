@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,27 @@ def test_near_duplicates_equal_brute_force(spark, limits):
     assert sum((want - got).values()) <= (0 if not limits else 0.1 * len(rows))
 
 
+def test_recall_of_split_nodes(spark):
+    assert chosenpath.runs_for(chosenpath.FIRST_LEVEL, 0.8, chosenpath.RUNS) == chosenpath.RUNS
+    rng, n, pairs = np.random.default_rng(16), chosenpath.COORDINATES, 400
+    rows = []
+    for i in range(pairs):
+        one, two = rng.integers(0, 1 << 32, (2, n), dtype=np.uint32)
+        same = rng.random(n) < 0.8
+        rows += [(b"%d a" % i, one.tobytes()), (b"%d b" % i, np.where(same, one, two).tobytes())]
+    classes = spark.createDataFrame(rows, "_k binary, _tokens binary")
+    groups = chosenpath.leaves(classes, small=1).groupBy("_path").agg(F.collect_list("_k").alias("k")).collect()
+    met = {bytes(a).split()[0] for r in groups for a, b in itertools.combinations(r.k, 2) if bytes(a).split()[0] == bytes(b).split()[0]}
+    assert len(met) >= 0.975 * pairs
+
+
+def test_split_nodes_equal_brute_force(spark):
+    rows = near_rows(150, 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in chosenpath.near_duplicates(df, small=10, block=15).collect())
+    assert got == brute_near(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     got = chosenpath.near_duplicates(odd).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_near([r[:2] for r in odd_rows()])

@@ -5,7 +5,8 @@ minimum), of which two sets share a share equal to their Jaccard similarity. In
 token is taken next, sets that share it go on together, and deeper nodes sometimes take two (about 1 / threshold on average), so that a
 similar pair survives in expectation. Nodes of at most ``SMALL`` sets are compared by brute force on sketches; larger ones are split
 further, level by level; what stays together to the last level is compared whole, in pairs of blocks, each its own task. ``RUNS`` runs from different roots bring the
-recall of a pair at the threshold to 1 - (1 - 0.8**3)**10 > 0.99 for nodes at the first level.
+recall of a pair at the threshold above ``RECALL`` for nodes at the first level. A pair in a larger node has to survive more levels, so the sets of
+such nodes take as many more runs as ``RECALL`` needs at the deepest level reached (``runs_for``).
 
 Sets whose sketches look similar form clumps; the clumps of all runs are united to components, and in each component all pairs are verified
 on the real 5-grams, again in blocks. Links are counted where they are verified and pairs are never written out, so a group of many different near
@@ -15,6 +16,7 @@ copies costs comparisons but no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ from .components import components
 
 NGRAM = 5
 COORDINATES = 128
-RUNS = 10
+RUNS = 10  # at least
+RECALL = 0.99
 FIRST_LEVEL, LAST_LEVEL = 3, 12
 SMALL = 1500  # sets compared by brute force in one node
 BLOCK = 400  # sets of one block of a component
@@ -86,16 +89,35 @@ def _embed(batch: pa.RecordBatch) -> dict:
     return {"_id": batch.column("_id"), "_k": keys, "_tokens": tokens}
 
 
-def _roots(runs: int):
+def recall(level: int, runs: int, similarity: float) -> float:
+    """Chance that two sets share a node at ``level`` in some run; their common tokens are a draw of COORDINATES at ``similarity``."""
+    n = COORDINATES
+    share = np.arange(n + 1) / n
+    weight = np.array([math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(n + 1)])
+    alive = np.ones(n + 1)
+    for _ in range(level - FIRST_LEVEL):
+        alive = 0.75 * share * alive + 0.25 * (1 - (1 - share * alive) ** 2)
+    return float((weight * (1 - (1 - share**FIRST_LEVEL * alive) ** runs)).sum())
+
+
+def runs_for(level: int, similarity: float, least: int) -> int:
+    """Runs, at least ``least``, that bring the recall to ``RECALL`` of what any number of them could find."""
+    most = RECALL * (1 - (1 - similarity) ** COORDINATES)
+    while recall(level, least, similarity) < most:
+        least += 1
+    return least
+
+
+def _roots(numbers: range):
     def run(batch: pa.RecordBatch) -> dict:
         keys, tokens = batch.column(0).to_pylist(), _binary(batch.column(1), COORDINATES, np.uint32)
         paths = []
-        for number in range(runs):
+        for number in numbers:
             path = _mix(np.full(len(keys), number + 1, dtype=np.uint64))
             for _ in range(FIRST_LEVEL):
                 path = step(path, tokens, 0)
             paths.append(path)
-        return {"_path": np.concatenate(paths).view(np.int64), "_k": keys * runs}
+        return {"_path": np.concatenate(paths).view(np.int64), "_k": keys * len(numbers)}
 
     return run
 
@@ -249,10 +271,11 @@ def _of_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(table) if may_broadcast(table, table.count()) else table, key)
 
 
-def leaves(classes: DataFrame, runs: int = RUNS, small: int = SMALL) -> DataFrame:
-    """(_path, _k, _size): the sets of every leaf with at least two. ``classes`` has _k and _tokens."""
+def _descend(classes: DataFrame, numbers: range, small: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """The leaves of some runs, the sets that were in a node too large to be one at the first level, and the deepest level."""
     found: DataFrame | None = None
-    frontier = settle(map_batches(classes.select("_k", "_tokens"), _roots(runs), "_path bigint, _k binary"))
+    split: DataFrame | None = None
+    frontier = settle(map_batches(classes.select("_k", "_tokens"), _roots(numbers), "_path bigint, _k binary"))
     for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
         sizes = frontier.groupBy("_path").agg(F.count(F.lit(1)).alias("_size"))
         sizes = settle(sizes.filter(F.col("_size") > 1))
@@ -261,9 +284,26 @@ def leaves(classes: DataFrame, runs: int = RUNS, small: int = SMALL) -> DataFram
         found = leaf if found is None else found.union(leaf)
         crowded = sizes.filter(F.col("_size") > small).select("_path")
         if level == LAST_LEVEL or crowded.isEmpty():
-            return found
-        rows = _of_key(frontier, crowded, "_path").join(classes.select("_k", "_tokens"), "_k")
+            break
+        inside = _of_key(frontier, crowded, "_path")
+        split = settle(inside.select("_k").distinct()) if split is None else split
+        rows = inside.join(classes.select("_k", "_tokens"), "_k")
         frontier = settle(map_batches(rows, _deeper, "_path bigint, _k binary"))
+    return found, split, level
+
+
+def leaves(classes: DataFrame, runs: int = RUNS, small: int = SMALL, threshold: float = 0.8) -> DataFrame:
+    """(_path, _k, _size): the sets of every leaf with at least two. ``classes`` has _k and _tokens."""
+    want = runs_for(FIRST_LEVEL, threshold, runs)
+    found, split, deepest = _descend(classes, range(want), small)
+    if split is None:
+        return found
+    # Two sets that were never split together have met at the first level, or not, in all runs so far: the others run again.
+    again = settle(classes.select("_k", "_tokens").join(split, "_k", "left_semi"))
+    done = want
+    while done < (want := runs_for(deepest, threshold, done)):
+        more, _, level = _descend(again, range(done, want), small)
+        found, deepest, done = found.union(more), max(deepest, level), want
     return found
 
 
@@ -292,7 +332,7 @@ def near_duplicates(
 
     # The lowest byte of every token makes the sketch; different tokens agree in it once in 256.
     sketch = map_batches(classes.select("_k", "_tokens"), _sketches, "_k binary, _sketch binary")
-    members = _blocked(leaves(classes, runs, small).join(sketch, "_k"), "_path", "_size", small, "_k").select("_task", "_side", "_k", "_sketch")
+    members = _blocked(leaves(classes, runs, small, threshold).join(sketch, "_k"), "_path", "_size", small, "_k").select("_task", "_side", "_k", "_sketch")
     sorted_ = members.repartition("_task").sortWithinPartitions("_task")
     close = components(sorted_.mapInArrow(_compare_nodes(threshold - SLACK), "a binary, b binary"))
 
