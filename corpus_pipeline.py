@@ -27,7 +27,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mask; all documents stay."""
-    return secrets.mask_secrets(docs, secrets.fit(docs, secrets.label_findings(docs)))
+    prose = secrets.learn_prose(docs)
+    return secrets.mask_secrets(docs, secrets.fit(docs, secrets.label_findings(docs, prose=prose), prose=prose))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,6 +358,19 @@ def test_long_values_are_whole(spark):
     assert all(masked[i] == re.sub(r"(?<=private_key=)\S+", "[secret]", t) for i, t in rows if i % 2)
 
 
+def test_prose_counts_all_documents(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 12)) for i in range(2500)] + [(3000 + i, "wörtlich жук zugvogel password=zugvogel1x token=Wq7kdRzzPbvQ9x") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = secrets.learn_prose(docs)
+    every = Counter(w for _, t in rows[:2500] for w in t.split() if len(w) > 2)
+    assert all((w in known.words) == (n >= secrets.LEAST) for w, n in every.items())
+    assert "wörtlich" in known.words and "жук" in known.words and {"ör", "жу"} <= set(known.pairs)
+    assert "kdRzzPbvQ".lower() not in known.words  # part of a candidate only
+    labels = {r.context[r.start : r.end]: r.label for r in secrets.label_findings(docs, prose=known).collect()}
+    assert labels == {"zugvogel1x": 0, "Wq7kdRzzPbvQ9x": 1}
+
+
 # ------------------------------------------------------------------ 9 personal data
 
 

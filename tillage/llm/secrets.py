@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])?(?:{NAMES})(?![A-
 KEY = re.compile(rf"(?<![0-9A-Za-z])(?P<value>{ISSUED})(?![0-9A-Za-z])")
 LONG = re.compile(r"(?<![0-9A-Za-z_+/=-])(?P<value>(?=[A-Za-z_+/=-]*[0-9])[0-9A-Za-z_+/=-]{16,}+)")
 KINDS = (("assigned", ASSIGNED), ("key", KEY), ("long", LONG))
+LEAST = 5  # occurrences that make a word or letter pair part of the corpus' prose
 NEAR = 40  # characters looked at on either side
 NAME_NEAR = re.compile(rf"(?i){NAMES}")
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,12 +62,24 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return kept
 
 
+class Words:
+    """A set of words as sorted 64-bit hashes (``F.xxhash64``), eight bytes each."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __contains__(self, word: str) -> bool:
+        h = np.array(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42), dtype=np.uint64).view(np.int64)
+        i = int(np.searchsorted(self.hashes, h))
+        return i < len(self.hashes) and bool(self.hashes[i] == h)
+
+
 @dataclass(frozen=True)
 class Prose:
-    """What ordinary text looks like: log probabilities of letter pairs, and frequent words."""
+    """What ordinary text looks like: log probabilities of letter pairs, and the words that are used."""
 
     pairs: dict[str, float]
-    words: frozenset[str]
+    words: frozenset[str] | Words
 
 
 FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "entropy", "hex", "transition", "dictionary", "path", "address", "named", "assigned", "quoted", "issued", "placeholder", "repeats")
@@ -164,38 +178,41 @@ class SecretModel:
     forest: Forest | None  # None: labels of one class only; then the reviewer's rules decide
 
 
-def learn_prose(docs: DataFrame, rows: int, id_col: str, text_col: str) -> Prose:
-    """Letter pairs and frequent words of a sample of ``rows`` documents, chosen by hash (the bound of the sample)."""
-    sample = docs.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    ids = F.broadcast(sample.select(F.col(id_col).alias("_pick")).distinct())
-    texts = id_and_text(docs, id_col, text_col)
-    texts = texts.join(ids, texts["_id"].eqNullSafe(F.col("_pick"))).select("_text")
+def learn_prose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> Prose:
+    """Letter pairs and words (three to 40 letters) that occur at least ``least`` times in all documents, candidates left out: they cannot vouch for themselves."""
 
     def tally(batch: pa.RecordBatch) -> dict:
-        words = Counter()
+        words: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            words.update(w for w in WORD.findall(text.lower()) if len(w) <= 40)
-        return {"word": list(words), "n": list(words.values())}
-
-    words = map_batches(texts, tally, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    common = words.orderBy(F.desc("n"), "word").limit(20_000).collect()
-    pairs: Counter = Counter()
-    for r in common:
-        for i in range(len(r["word"]) - 1):
-            pairs[r["word"][i : i + 2]] += r["n"]
+            at, parts = 0, []
+            for _, start, end in candidates(text):
+                parts.append(text[at:start])
+                at = end
+            words.update(WORD.findall(" ".join([*parts, text[at:]]).lower()))
+        pairs: Counter = Counter()
+        for w, n in words.items():
+            for i in range(len(w) - 1):
+                pairs[w[i : i + 2]] += n
+        counts = [(True, p, n) for p, n in pairs.items()] + [(False, w, n) for w, n in words.items() if 2 < len(w) <= 40]
+        return dict(zip(("pair", "part", "n"), zip(*counts))) if counts else {"pair": [], "part": [], "n": []}
+
+    parts = map_batches(id_and_text(docs, id_col, text_col).select("_text"), tally, "pair boolean, part string, n bigint")
+    often = settle(parts.groupBy("pair", "part").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    pairs = {r["part"]: r["n"] for r in often.filter("pair").orderBy("part").collect()}
     total = sum(pairs.values()) or 1
-    return Prose({p: math.log(k / total) for p, k in pairs.items()}, frozenset(r["word"] for r in common if len(r["word"]) > 2))
+    hashes = often.filter("NOT pair").select(F.xxhash64("part").alias("h")).toArrow().column("h").to_numpy()
+    return Prose({p: math.log(k / total) for p, k in pairs.items()}, Words(np.sort(hashes)))
 
 
-def label_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def label_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prose: Prose | None = None) -> DataFrame:
     """Findings of all documents with a label by rule where one is sure: (context, kind, start, end, label). ``context`` is what the features see."""
-    empty = Prose({}, frozenset())
+    known = learn_prose(docs, id_col, text_col) if prose is None else prose
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
         for text in batch.column(1).to_pylist():
             for kind, start, end in candidates(text):
-                label = rule_label(kind, describe(text, kind, start, end, empty))
+                label = rule_label(kind, describe(text, kind, start, end, known))
                 if label is not None:
                     cut = max(0, start - NEAR)
                     rows.append((text[cut : end + NEAR], kind, start - cut, end - cut, label))
@@ -205,9 +222,9 @@ def label_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_batches(id_and_text(docs, id_col, text_col), run, "context string, kind string, start int, end int, label int")
 
 
-def fit(docs: DataFrame, findings: DataFrame, fit_rows: int = 8_000, prose_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
+def fit(docs: DataFrame, findings: DataFrame, fit_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", prose: Prose | None = None) -> SecretModel:
     """Train on labelled findings (context, kind, start, end, label): at most ``fit_rows`` of each label, chosen by hash after repeated ones are dropped."""
-    prose = learn_prose(docs, prose_rows, id_col, text_col)
+    prose = learn_prose(docs, id_col, text_col) if prose is None else prose
     unique = findings.dropna().groupBy("context", "kind", "start", "end").agg(F.max("label").alias("label"))
     order = (F.xxhash64("context", "start").alias("h"), F.sha2(F.concat_ws(":", "start", "end", "kind", "context"), 256).alias("h2"))
     chosen = unique.select("context", "kind", "start", "end", "label", *order)
