@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosenpath, decontaminate, mixing, pii, qualityrules, secrets, substrings, toxicity, warc
+from . import chosenpath, decontaminate, merkle, mixing, pii, qualityrules, secrets, substrings, tokenfiles, toxicity, warc, whitening
 from . import oracles as sql
 from .tokencount import count_tokens
 
@@ -63,6 +63,20 @@ def op10_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digest(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -75,6 +89,9 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_pii": op9_pii,
         "op10_benchmark_hits": op10_benchmark_hits,
+        "op11_token_files": op11_token_files,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -85,4 +102,5 @@ def oracles() -> dict[str, str]:
         "op7_ngram_join": sql.NEAR,
         "op9_pii": pii.ORACLE,
         "op10_benchmark_hits": sql.BENCHMARK,
+        "op12_merkle_manifest": merkle.ORACLE,
     }
