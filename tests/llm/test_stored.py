@@ -280,6 +280,8 @@ def test_qd_vectors(kind):
     assert np.abs(vectors.T @ vectors - np.eye(k)).max() < 1e-9
     residual = matrix.T @ (matrix @ vectors) - vectors * squares
     assert np.abs(residual).max() < 1e-12 * n * squares[0]
+    rounds = np.linalg.qr(np.round(256 * rng.standard_normal((500, 64))), mode="r")  # many values close to each other
+    assert np.allclose(np.sqrt(bidiagonal.right_vectors(rounds, 64)[0]), np.linalg.svd(rounds, compute_uv=False), rtol=1e-12)
     first, _ = bidiagonal.right_vectors(matrix, 4)
     assert np.allclose(first, squares[:4])
 

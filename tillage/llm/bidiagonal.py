@@ -62,6 +62,7 @@ def dqds(q: list[float], e: list[float]) -> list[float]:
             n = len(q)
             cut = next((i for i in range(n - 2, -1, -1) if e[i] <= EPS * EPS * (moved + min(q[i], q[i + 1])) or e[i] <= TINY), None)
             if cut is not None:
+                rounds = 0
                 if cut < n - 2:  # two problems without a link
                     work.append((q[: cut + 1], e[:cut], moved))
                     q, e = q[cut + 1 :], e[cut + 1 :]
@@ -157,21 +158,21 @@ def twisted_vector(diagonal: np.ndarray, above: np.ndarray, value: float, turns:
 
 
 def _apart(z: np.ndarray, near: list[np.ndarray], block: np.ndarray, value: float, seed: int) -> np.ndarray:
-    """A vector of a tight cluster, orthogonal to the ones before: inverse iteration where the twisted one fell together with them."""
-    rng = np.random.default_rng(seed)
-    for turn in range(6):
+    """A vector of a tight cluster, orthogonal to the ones before: by inverse iteration where the twisted one fell together with them."""
+    basis = np.stack(near, axis=1)
+
+    def rest(v: np.ndarray) -> np.ndarray:
         for _ in range(2):
-            for other in near:
-                z = z - (z @ other) * other
-        size = np.linalg.norm(z)
-        if size > 0.5:
-            return z / size
-        start = z / size if turn and size > 0 else rng.standard_normal(len(z))
-        for other in near:
-            start = start - (start @ other) * other
-        z = np.linalg.solve(block - value * (1 + 4 * EPS) * np.eye(len(block)) + TINY * np.eye(len(block)), start)
-        z /= np.linalg.norm(z)
-    return z / np.linalg.norm(z)
+            v = v - basis @ (basis.T @ v)
+        return v
+
+    own = rest(z)
+    if np.linalg.norm(own) < 0.5:
+        own = rest(np.random.default_rng(seed).standard_normal(len(z)))
+        shifted = block - value * (1 + 4 * EPS) * np.eye(len(block)) + TINY * np.eye(len(block))
+        for _ in range(4):
+            own = rest(np.linalg.solve(shifted, own / np.linalg.norm(own)))
+    return own / np.linalg.norm(own)
 
 
 def right_vectors(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

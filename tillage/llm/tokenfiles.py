@@ -12,10 +12,11 @@ offset indexes are written, so a reader that asks for a few documents or only fo
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from tillage.plans.lineage import may_broadcast, work_folder
 from .batches import id_and_text, map_batches
 
 # Words are remembered in every Python worker, up to this many; then the memory starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 LONGEST_WORD = 64  # longer ones are encoded each time
 SLICE = 4 << 20  # bytes of text that are held as words at once
 
@@ -59,11 +60,19 @@ class Layout:
         return {k: str(v) for k, v in found.items()}
 
 
+# Words of letters whose lower case is one letter and which no normal form changes, with marks behind. Such a word is two pre-tokens at most.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿĀ-ĬĮ-ľŁ-ňŊ-žА-яё]+$"
+MARKED = "^[A-Za-zÀ-ÖØ-öø-ÿĀ-ĬĮ-ľŁ-ňŊ-žА-яё]+[!-&(-/:-@[-`{-~]+$"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+JOINED = 2_000  # plain words that the library encodes in one call
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose tokens never reach over white space.
 
     Texts are cut at ASCII white space, every different word is encoded by the library, and the ids are put together again: the same ids as
-    for the whole text, since the pre-tokenizer drops white space and never joins what it parts.
+    for the whole text, since the pre-tokenizer drops white space and never joins what it parts. Plain words are freed of the marks
+    behind them, put in lower case and given to the library many at a time; the mark of word ends in the ids parts them again.
     """
 
     def __init__(self, path: str):
@@ -72,6 +81,11 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        spec = json.loads(self.library.to_str())
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        self.joins = bool(suffix) and lowers
+        self.ends = np.array([t.endswith(suffix) for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])])
         self.reset()
 
     def reset(self) -> None:
@@ -79,34 +93,67 @@ class WordEncoder:
         self.ids, self.starts = array("I"), array("q", [0])
 
     def _add(self, words: list[str]) -> range:
-        """Encode words; returns their numbers."""
+        """Encode words one by one; returns their numbers."""
         first = len(self.starts) - 1
         for found in self.library.encode_batch_fast(words, add_special_tokens=False):
             self.ids.extend(found.ids)
             self.starts.append(len(self.ids))
         return range(first, first + len(words))
 
-    def _numbers(self, words: pa.Array) -> np.ndarray:
-        if len(self.known) > KNOWN_WORDS or len(self.ids) > 16 * KNOWN_WORDS:
-            self.reset()
-        words = words.to_pylist()
+    def _add_plain(self, words: list[str]) -> range:
+        """Encode words that are one pre-token each, many in one call."""
+        first = len(self.starts) - 1
+        runs = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for run, found in zip(runs, self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(run):
+                raise ValueError("the tokenizer does not end each plain word with its word end")
+            self.starts.frombytes((stops + len(self.ids)).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
+        return range(first, first + len(words))
+
+    def _known(self, words: list[str], add: Callable[[list[str]], range]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
-        numbers = dict(zip(new, self._add(new)))
+        numbers = dict(zip(new, add(new)))
         self.known.update((w, n) for w, n in numbers.items() if len(w) <= LONGEST_WORD)
         return np.fromiter((numbers[w] if w in numbers else self.known[w] for w in words), np.int64, len(words))
 
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per word the number of its letters, or of the whole word, and of the marks behind (0: none)."""
+        if len(self.known) > KNOWN_WORDS or len(self.ids) > 16 * KNOWN_WORDS:
+            self.reset()
+        if not self.known:
+            self._known([""], self._add)
+        heads, tails = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if self.joins:
+            plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+            marked = pc.match_substring_regex(words, MARKED).to_numpy(zero_copy_only=False)
+            letters = pc.utf8_lower(pc.utf8_rtrim(words.filter(pa.array(plain | marked)), MARKS)).dictionary_encode()
+            heads[plain | marked] = self._known(letters.dictionary.to_pylist(), self._add_plain)[letters.indices.to_numpy()] if len(letters) else 0
+            behind = words.filter(pa.array(marked))
+            if len(behind):
+                marks = pc.replace_substring_regex(behind, "^[^!-&(-/:-@[-`{-~]+", "").dictionary_encode()
+                tails[marked] = self._known(marks.dictionary.to_pylist(), self._add)[marks.indices.to_numpy()]
+        else:
+            plain = marked = np.zeros(len(words), bool)
+        rest = ~(plain | marked)
+        heads[rest] = self._known(words.filter(pa.array(rest)).to_pylist(), self._add)
+        return heads, tails
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         words = pc.ascii_split_whitespace(texts)
         folded = words.flatten().dictionary_encode()
-        numbers = self._numbers(folded.dictionary)
+        heads, tails = self._numbers(folded.dictionary)
         starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
-        each = numbers[folded.indices.to_numpy()] if len(folded) else np.zeros(0, np.int64)
+        codes = folded.indices.to_numpy()
+        each = np.stack([heads[codes], tails[codes]], axis=1).ravel()  # the letters and the marks of each word
         lengths = starts[each + 1] - starts[each]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         picked = ids[np.repeat(starts[each] - (ends - lengths), lengths) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        edges = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        edges = np.concatenate([[0], ends])[2 * (words.offsets.to_numpy() - words.offsets[0].as_py())]
         return picked, np.diff(edges)
 
 
