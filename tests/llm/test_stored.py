@@ -300,3 +300,17 @@ def test_qd_values_of_tiny_ends():
         exact *= fractions.Fraction(float(x)) ** 2
     assert abs(float(det / exact) - 1) < 1e-12  # the product of all squares is the squared determinant
     assert bidiagonal.dqds([4.0], []) == [4.0]
+
+
+def test_plain_letters_are_stable():
+    """Every letter that the encoder takes as plain has a lower case of one letter and no other normal form."""
+    import re
+    import unicodedata
+
+    plain = [c for c in map(chr, range(0x20, 0x3000)) if re.match(tokenfiles.PLAIN, c)]
+    assert len(plain) > 200
+    for c in plain:
+        assert unicodedata.category(c).startswith("L") and len(c.lower()) == 1 and c.lower() in plain
+        assert unicodedata.normalize("NFC", c) == c
+    marks = [c for c in map(chr, range(0x21, 0x7F)) if re.match(tokenfiles.MARKED, "a" + c)]
+    assert set(marks) == set(tokenfiles.MARKS) and not any(c.isalnum() or c == "'" for c in marks)

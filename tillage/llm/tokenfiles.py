@@ -61,8 +61,8 @@ class Layout:
 
 
 # Words of letters whose lower case is one letter and which no normal form changes, with marks behind. Such a word is two pre-tokens at most.
-PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿĀ-ĬĮ-ľŁ-ňŊ-žА-яё]+$"
-MARKED = "^[A-Za-zÀ-ÖØ-öø-ÿĀ-ĬĮ-ľŁ-ňŊ-žА-яё]+[!-&(-/:-@[-`{-~]+$"
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ľŁ-ňŊ-žА-яё]+$"
+MARKED = "^[A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ľŁ-ňŊ-žА-яё]+[!-&(-/:-@[-`{-~]+$"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 JOINED = 2_000  # plain words that the library encodes in one call
 
