@@ -155,7 +155,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = """WITH RECURSIVE
-  crc AS (SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord(doc_id::VARCHAR[i])::BIGINT)),
+  crc AS (SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS c FROM documents),
   f AS (SELECT documents.doc_id, source, coalesce(strlen(documents.doc_id::VARCHAR) || ':' || documents.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
     || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS h, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, c FROM documents LEFT JOIN crc USING (doc_id)),
@@ -166,9 +166,9 @@ ORACLE = """WITH RECURSIVE
   sub AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r FROM up WHERE len(l) = 1),
   top AS (SELECT 0 AS k, list(subroot ORDER BY r) AS l FROM sub
     UNION ALL SELECT k + 1, list_transform(range((len(l) + 15) // 16), lambda i: sha256(array_to_string(l[i * 16 + 1:i * 16 + 16], ''))) FROM top WHERE len(l) > 1),
-  node AS (SELECT leaf.doc_id, leaf.source, up.k, leaf.r // (16 ** up.k)::BIGINT AS at, up.l FROM leaf JOIN up ON up.source IS NOT DISTINCT FROM leaf.source WHERE len(up.l) > 1
+  node AS (SELECT leaf.doc_id, leaf.source, up.k, leaf.r // (16 ** up.k)::BIGINT AS pos, up.l FROM leaf JOIN up ON up.source IS NOT DISTINCT FROM leaf.source WHERE len(up.l) > 1
     UNION ALL SELECT leaf.doc_id, leaf.source, 1000 + top.k, sub.r // (16 ** top.k)::BIGINT, top.l FROM leaf JOIN sub ON sub.source IS NOT DISTINCT FROM leaf.source, top WHERE len(top.l) > 1),
-  sib AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id, source ORDER BY k) AS s, array_to_string(l[at // 16 * 16 + 1:at], '') AS lft, array_to_string(l[at + 2:at // 16 * 16 + 16], '') AS rgt FROM node),
+  sib AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id, source ORDER BY k) AS s, array_to_string(l[pos // 16 * 16 + 1:pos], '') AS lft, array_to_string(l[pos + 2:pos // 16 * 16 + 16], '') AS rgt FROM node),
   proof AS (SELECT doc_id, source, sha256(string_agg(lft || rgt, '' ORDER BY s)) AS p FROM sib GROUP BY doc_id, source),
   fold AS (SELECT doc_id, source, 0 AS s, changed AS h FROM leaf
     UNION ALL SELECT fold.doc_id, fold.source, sib.s, sha256(lft || h || rgt) FROM fold JOIN sib ON sib.doc_id = fold.doc_id AND sib.source IS NOT DISTINCT FROM fold.source AND sib.s = fold.s + 1),
