@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillage.operators import chartdata, encode, exports, labels, profile, rasters, split
 from tillage.sources import images as image_files
 from tillage.sources import sinks
-from tillage.sources.tables import load_table
+from tillage.sources.tables import load_table, read_json
 
 from .files import new_folder
 from .images import WITH_PICTURES, pictures
@@ -26,10 +26,24 @@ from .tables import split_sql
 
 @query("s01_csv_line_breaks", "SELECT doc_id, text, lang FROM documents")
 def s01_breaks(spark, folder):
-    """Texts with quotes and line breaks written as CSV and read again."""
+    """Texts with quotes and line breaks written as CSV and read again, each file in blocks by several tasks."""
     there = new_folder(spark, "texts.csv")
     sinks.write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), there, [folder])
-    return load_table(spark, there)
+    return load_table(spark, there, split=True)
+
+
+@query("s02_json_blocks", "SELECT doc_id, text, lang FROM documents")
+def s02_blocks(spark, folder):
+    """One array per language whose texts hold quotes, braces and line breaks, each document read in blocks by several tasks."""
+    there = new_folder(spark, "texts")
+    d = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    body = d.select(F.concat("lang", F.lit(".json")).alias("file"), F.col("doc_id").alias("line_no"), F.concat(F.to_json(F.struct(*d.columns)), F.lit(",")).alias("line"))
+    ends = body.groupBy("file").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    heads = ends.select("file", (F.col("first") - 1).alias("line_no"), F.lit("[").alias("line"))
+    closed = body.join(F.broadcast(ends.select("file", "last")), "file")  # one row per language
+    closed = closed.select("file", "line_no", F.when(F.col("line_no") == F.col("last"), F.regexp_replace("line", ",$", "]")).otherwise(F.col("line")).alias("line"))
+    sinks.save_lines(closed.unionByName(heads), there)
+    return read_json(spark, there, split=True).select("doc_id", "text", "lang")
 
 
 SHEET_ROWS = 2000
@@ -171,18 +185,17 @@ def l02_keys(spark, folder):
 
 
 @query("x02_taken_names", """WITH RECURSIVE o AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'A_1' WHEN 2 THEN 'a_1_1' WHEN 3 THEN 'a_' || (doc_id % 7) ELSE 'A' END AS stem,
-    row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents WHERE doc_id % 3 <> 1),
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
   step AS (SELECT lang, 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::BIGINT AS doc_id, NULL::VARCHAR AS target FROM (SELECT DISTINCT lang FROM o)
     UNION ALL SELECT lang, i, list_append(used, lower(free)), doc_id, free || '.txt' FROM (
-      SELECT s.lang, o.i, s.used, o.doc_id, list_filter(list_prepend(o.stem, [o.stem || '_' || n FOR n IN range(1, 400)]), lambda x: NOT list_contains(s.used, lower(x)))[1] AS free
+      SELECT s.lang, o.i, s.used, o.doc_id, list_filter(list_prepend(o.stem, [o.stem || '_' || n FOR n IN range(1, o.i + 1)]), lambda x: NOT list_contains(s.used, lower(x)))[1] AS free
       FROM step s JOIN o ON o.lang = s.lang AND o.i = s.i + 1))
   SELECT doc_id, lang, target FROM step WHERE doc_id IS NOT NULL""")
 def x02_taken(spark, folder):
     """Wishes for names that other rows are numbered into."""
-    d = table(spark, folder, "documents").filter("doc_id % 3 <> 1")
     stem = F.expr("CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'A_1' WHEN 2 THEN 'a_1_1' WHEN 3 THEN concat('a_', doc_id % 7) ELSE 'A' END")
-    named = labels.unique_names(d.select("doc_id", "lang", stem.alias("stem"), F.lit(".txt").alias("ext")), "lang", "stem", "ext", ["doc_id"])
-    return named.select("doc_id", "lang", "target")
+    wishes = table(spark, folder, "documents").select("doc_id", "lang", stem.alias("stem"), F.lit(".txt").alias("ext"))
+    return labels.unique_names(wishes, "lang", "stem", "ext", ["doc_id"]).select("doc_id", "lang", "target")
 
 
 @query("x09_coco_unsplit", WITH_BOXES + """, ci AS (SELECT row_number() OVER (ORDER BY path) AS id, path FROM im)

@@ -11,6 +11,7 @@ from ..plans.lineage import pinned, settle
 from ..plans.lookup import lookup
 from ..plans.rows import number_within, with_row_id
 from . import split as splits
+from .naming import unique_names
 
 # Characters that a class name must not contain, and the names of the layouts.
 FORBIDDEN_IN_NAMES = r'[\\/:*?"<>|]'
@@ -52,54 +53,6 @@ def dataset_root(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("root", F.lit("/".join(lo[:depth]))).withColumn("rel", rel)
 
 
-def unique_names(
-    df: DataFrame, folder: str, stem: str, ext: str, order_by: Sequence[str], name: str = "target"
-) -> DataFrame:
-    """Add a target file name that is unique in its folder, ignoring case: ``stem``, ``stem_1``, ``stem_2`` ...
-
-    In the given order every row takes its first free name. Rows wanting the same name are numbered first; names
-    that then still meet (a file that is really called ``x_1``) are settled in rounds, the earlier row keeping it. Rows that tie in the order
-    are told apart by a row number. Every round moves each loser up by at least one, and the first row of a clash never moves again.
-    """
-    key = df.columns
-    df = settle(df.withColumn("_row_tie", F.monotonically_increasing_id()))
-    order_by = [*order_by, "_row_tie"]
-    wanted = df.withColumn("_want", F.lower(F.concat(stem, ext)))
-    groups = wanted.groupBy(folder, "_want").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    counted = lookup(wanted, groups.withColumn("_many", F.lit(True)), [folder, "_want"], ["_many"], weight="_n", null_safe=True)
-    counted = settle(counted)
-    single = counted.filter(F.col("_many").isNull()).withColumn("_rank", F.lit(0).cast("long"))
-    several = number_within(counted.filter(F.col("_many")), [folder, "_want"], order_by, "_rank").withColumn("_rank", F.col("_rank") - 1)
-    rows = single.unionByName(several).drop("_many").withColumn("_k", F.col("_rank"))
-
-    def full(df: DataFrame) -> DataFrame:
-        made = F.when(F.col("_k") == 0, F.concat(stem, ext)).otherwise(F.concat(F.col(stem), F.lit("_"), F.col("_k").cast("string"), F.col(ext)))
-        return df.withColumn(name, made)
-
-    if not several.take(1):
-        return full(rows).select(*key, name)
-    while True:
-        rows = settle(full(rows.select(*key, "_row_tie", "_want", "_rank", "_k")))
-        order = F.struct(*order_by)
-        clash = (
-            rows.groupBy(folder, F.lower(name).alias("_low"))
-            .agg(F.min(order).alias("_keeps"), F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1)
-        )
-        clash, _ = pinned(clash)
-        if not clash.take(1):
-            return rows.select(*key, name)
-        hit = lookup(rows.withColumn("_low", F.lower(name)), clash, [folder, "_low"], ["_keeps"], weight="_n", null_safe=True)
-        lost = F.col("_keeps").isNotNull() & (F.col("_keeps") != order)
-        # Positions grow with the rank inside a group of equal wishes, so later rows of the group move up with the first loser.
-        losers = hit.filter(lost).groupBy(folder, "_want").agg(
-            F.min(F.struct(F.col("_rank").alias("r"), F.col("_k").alias("k"))).alias("_l"), F.max("_rank").alias("_w")
-        )
-        moved = lookup(hit, losers, [folder, "_want"], ["_l"], weight="_w", null_safe=True)
-        up = F.when(F.col("_rank") >= F.col("_l.r"), F.col("_l.k") + 1 + F.col("_rank") - F.col("_l.r"))
-        rows = moved.withColumn("_k", F.greatest(F.col("_k"), F.when(lost, F.col("_k") + 1), up))
-
-
 # ------------------------------------------------------------------ classes and labels
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import ISO_DATE, NA_TOKENS, blank_to_null, number_of, text_columns
+from .blocks import csv_records, json_lines
 
 
 def typed(df: DataFrame, dates: bool = False) -> DataFrame:
@@ -44,23 +45,44 @@ def typed(df: DataFrame, dates: bool = False) -> DataFrame:
     return df.select(*[F.col(c).cast({"long": "bigint"}.get(kinds[c], kinds[c])).alias(c) if c in kinds else F.col(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, multi_line: bool = True, dates: bool = False) -> DataFrame:
+def _is_large(spark: SparkSession, path: str) -> bool:
+    """Would Spark split one of the files? Only their lengths are looked at."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    block = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return (largest or 0) > block
+
+
+def read_csv(
+    spark: SparkSession, path: str, na_tokens: list[str] | None = None, multi_line: bool = True, dates: bool = False, split: bool | None = None
+) -> DataFrame:
     """CSV with a header; NA texts and empty cells become null before types are decided.
 
-    A quoted cell may hold line breaks, so a file is read by one task. Where no cell does, ``multi_line=False`` lets Spark split large files.
+    A quoted cell may hold line breaks. ``split`` reads each file in blocks by many tasks (see ``blocks``); by default that is done where a file is larger
+    than ``spark.sql.files.maxPartitionBytes``, and smaller files are read by one task each. Where no cell holds a line break,
+    ``multi_line=False`` saves the scan for record borders.
     """
-    raw = (
-        spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
-        .option("escape", '"').option("encoding", "UTF-8").csv(path)
-    )
-    first = raw.columns[0] if raw.columns else ""
+    options = {"header": "true", "inferSchema": "false", "multiLine": str(multi_line).lower(), "escape": '"', "encoding": "UTF-8"}
+    raw = spark.read.options(**options).csv(path)
+    names = raw.columns
+    if names and multi_line and (_is_large(spark, path) if split is None else split):
+        records = csv_records(spark, path).filter((F.col("block") > 0) | (F.col("seq") > 0))  # without the header of each file
+        # Records of files with CRLF keep their CR; inside quoted cells the pair counts as one line break.
+        text = F.when(F.endswith("text", F.lit("\r")), F.replace(F.regexp_replace("text", "\r$", ""), F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+        fields = F.from_csv(text, ", ".join(f"c{i} string" for i in range(len(names))), {k: options[k] for k in ("escape", "multiLine")})
+        raw = records.filter(text != "").select(fields.alias("_r")).select(*[F.col(f"_r.c{i}").alias(c) for i, c in enumerate(names)])
+    first = names[0] if names else ""
     if first.startswith("﻿"):
         raw = raw.withColumnRenamed(first, first[1:])
     return typed(blank_to_null(raw, na_tokens=NA_TOKENS if na_tokens is None else na_tokens), dates)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects, or one object as one row; keys of all objects are united."""
+def read_json(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    """A JSON array of objects, or one object as one row; keys of all objects are united.
+
+    ``split`` reads each document in blocks by many tasks; by default where one is larger than ``spark.sql.files.maxPartitionBytes``.
+    """
+    if _is_large(spark, path) if split is None else split:
+        return blank_to_null(spark.read.json(json_lines(spark, path)))
     return blank_to_null(spark.read.option("multiLine", True).json(path))
 
 
