@@ -6,11 +6,14 @@ from collections.abc import Sequence
 from itertools import combinations
 from math import ceil, log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import is_number, numeric_columns, two_digits
+from ..plans.lineage import local_rows
 from ..plans.lookup import lookup
+from ..plans.moments import pair_moments
 from ..plans.quantiles import quantiles
 
 # Chart limits.
@@ -19,7 +22,10 @@ BARS = 12
 MAX_GROUPS = 8
 MAX_BOXES = 12
 KDE_POINTS = 200
+KDE_REACH = 9.0  # bandwidths; the kernel beyond is below 3e-18 of its peak
 FENCE = 1.5
+# Up to this many columns every pair has its own aggregates; more are correlated by matrices.
+FEW_COLUMNS = 12
 
 
 def hue_of(column: str | None) -> Column:
@@ -68,8 +74,8 @@ def histogram(df: DataFrame, x: str, hue: str | None = None, bins: int = BINS) -
 def density(df: DataFrame, x: str, hue: str | None = None, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian density on a fixed grid over the range of all values, per group and scaled by the group's share.
 
-    The grid is a constant 200 points, so every distinct value is expanded to the grid and summed at once; the
-    partial sums leave a task as one row per grid point and group.
+    A distinct value meets only the grid points within ``KDE_REACH`` bandwidths, so the expanded rows follow the bandwidth and not the grid; what is
+    dropped is far below rounding. The partial sums leave a task as one row per grid point and group.
     """
     n, low, high = _span(df, x)
     if n == 0:
@@ -79,19 +85,31 @@ def density(df: DataFrame, x: str, hue: str | None = None, points: int = KDE_POI
     width = base.groupBy("hue").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("v").alias("_s"))
     groups = lookup(base.groupBy("hue", "v").agg(F.count(F.lit(1)).alias("w")), width, ["hue"], ["_n", "_s"], weight="_n")
     bandwidth = F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_s")
-    at = F.lit(low) + F.col("point") * F.lit((high - low) / (points - 1))
+    step = (high - low) / (points - 1)
+    at = F.lit(low) + F.col("point") * F.lit(step)
     z = (at - F.col("v")) / F.col("h")
     kernel = F.exp(z * z * -0.5) / (F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
+    wide = groups.withColumn("h", bandwidth).filter(F.col("h") > 0)
+    met = reach(wide, low, step, points).withColumn("_d", F.col("w") * kernel).select("hue", "point", "_d")
+    empty = wide.select("hue").distinct().select("hue", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(0.0).alias("_d"))
     return (
-        groups.withColumn("h", bandwidth)
-        .filter(F.col("h") > 0)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        met.unionByName(empty)
         .groupBy("hue", "point")
-        .agg(F.sum(F.col("w") * kernel).alias("_d"))
+        .agg(F.sum("_d").alias("_d"))
         .select("hue", "point", at.alias("x"), (F.col("_d") / F.lit(float(n))).alias("density"))
     )
 
 
+def reach(values: DataFrame, low: float, step: float, points: int) -> DataFrame:
+    """One row per value ``v`` of bandwidth ``h`` and grid point within its reach, as ``point``."""
+    if step <= 0:
+        return values.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    first = F.ceil((F.col("v") - KDE_REACH * F.col("h") - low) / step)
+    last = F.floor((F.col("v") + KDE_REACH * F.col("h") - low) / step)
+    first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(points - 1)).cast("int")
+    return values.filter(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+
+
 def _number_label(v: Column) -> Column:
     """A number in full: without exponent, trailing zeros or a point at the end."""
     plain = F.regexp_replace(v.cast("decimal(38,15)").cast("string"), r"\.?0+$", "")
@@ -198,10 +216,15 @@ def line_with_gaps(df: DataFrame, x: str, y: str, hue: str | None = None, limit:
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None, undefined: float | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns over the rows where both are present; one scan."""
+    """Pearson correlation of every pair of numeric columns over the rows where both are present; one scan.
+
+    More than ``FEW_COLUMNS`` columns are summed as matrices in Arrow batches, so the plan does not grow with the pairs.
+    """
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         raise ValueError("correlation needs two numeric columns")
+    if len(columns) > FEW_COLUMNS:
+        return _correlation_of_many(df, columns, undefined)
     aggs, cells = [], []
     for i, (a, b) in enumerate(combinations(columns, 2)):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -222,6 +245,15 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None, undefined:
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
+def _correlation_of_many(df: DataFrame, columns: list[str], undefined: float | None) -> DataFrame:
+    found = pair_moments(df, columns)
+    r = np.full((len(columns), len(columns)), np.nan) if found is None else found.correlation()
+    np.fill_diagonal(r, np.where(np.isnan(np.diag(r)) & (undefined is None), np.nan, 1.0))
+    other = None if undefined is None else float(undefined)
+    cells = [(a, b, other if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return local_rows(df.sparkSession, cells, "a string, b string, r double")
+
+
 def split_shares(df: DataFrame, split: str = "split") -> DataFrame:
     """Rows and percent per split."""
     total = df.count()

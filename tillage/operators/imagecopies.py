@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import LEVELS, NEAR_BITS, deeper_keys, distance, first_keys, is_first_key
-from ..plans.lineage import pinned
+from ..plans.groups import components
+from ..plans.lineage import pinned, settle
 from ..plans.lookup import lookup
 
 # A blocking key with more hashes than this is split by more bits.
 FULL_BUCKET = 4_000
+# Rounds before the rest is solved by component, and the pairs of a component that one task remembers at most.
+ROUNDS_FIRST = 4
+WHOLE_COMPONENT = 500_000
 
 
 def content_hash(content: Column, algorithm: str = "sha256") -> Column:
@@ -104,7 +111,8 @@ def similar_groups(hashes: DataFrame, max_bits: int = NEAR_BITS, settled: bool =
 
     In order of ``first``, a hash is an anchor unless an anchor before it is within ``max_bits``; it then belongs to
     the smallest such anchor. Rounds: hashes without an undecided earlier neighbour are anchors, their neighbours
-    are decided, and both leave. Many pairs are written to the shared folder between rounds.
+    are decided, and both leave. What a few rounds leave hangs together in chains: each of its connected components passes a task in order, and only
+    components of more than ``WHOLE_COMPONENT`` pairs go on in rounds. Many pairs are written to the shared folder between rounds.
     """
     pairs = similar_hashes(hashes, ("first",), max_bits, settled=settled)
     a_first = F.col("first_a") < F.col("first_b")
@@ -113,24 +121,57 @@ def similar_groups(hashes: DataFrame, max_bits: int = NEAR_BITS, settled: bool =
         F.when(a_first, F.col("h_b")).otherwise(F.col("h_a")).alias("dst"),
         F.when(a_first, F.col("first_a")).otherwise(F.col("first_b")).alias("src_first"),
     ))
-    left, decided = edges.select("src", "dst"), None
+    left, decided, rounds = edges, edges.select("dst").limit(0), 0
     while left.take(1):
+        if rounds == ROUNDS_FIRST:
+            near, left = _walk_components(left)
+            decided = decided.union(near)
+            rounds += 1
+            continue
         roots = left.select("src").distinct().join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
         near = left.join(roots, "src", "left_semi").select("dst").distinct()
         near, _ = pinned(near)
-        decided = near if decided is None else decided.union(near)
+        decided = decided.union(near)
         left, _ = pinned(
             left.join(roots, "src", "left_anti")
             .join(near, "dst", "left_anti")
             .join(near.select(F.col("dst").alias("src")), "src", "left_anti")
-            .select("src", "dst")
+            .select("src", "dst", "src_first")
         )
-    if decided is None:
-        decided = edges.select("dst").limit(0)
+        rounds += 1
     anchors = edges.join(decided.select(F.col("dst").alias("src")), "src", "left_anti")
     return anchors.groupBy(F.col("dst").alias("h")).agg(F.min("src_first").alias("near_of"), F.count(F.lit(1)).alias("_n"))
 
 
+def _walk_components(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decided hashes, pairs of the components that are too large). A component passes one task in the order of its hashes."""
+    named = left.join(components(left).select(F.col("node").alias("src"), F.col("root").alias("_c")), "src")
+    sizes = named.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    large, _ = pinned(sizes.filter(F.col("_n") > WHOLE_COMPONENT).withColumn("_large", F.lit(True)))
+    marked = lookup(named, large, ["_c"], ["_large"], weight="_n")
+    kind = dict(left.dtypes)["src_first"]
+    small = marked.filter("_large IS NULL").select("_c", "src", "dst", "src_first")
+    walked = small.repartition("_c").sortWithinPartitions("_c", "src_first", "src").mapInArrow(_walk, "dst bigint")
+    near = settle(walked.distinct())
+    rest, _ = pinned(marked.filter("_large").select("src", "dst", F.col("src_first").cast(kind).alias("src_first")))
+    return near, rest
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes that follow an anchor, the pairs of each component coming in the order of their earlier hash. Remembers one component."""
+    component, following = None, set()
+    for batch in batches:
+        out = []
+        for c, src, dst in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if c != component:
+                component, following = c, set()
+            if src not in following:
+                if dst not in following:
+                    out.append(dst)
+                following.add(dst)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["dst"])
+
+
 def mark_similar(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``near_of``: the earlier image that this one looks like. Copies, blank and unreadable images are skipped."""
     counts = F.when(F.col("dup_of").isNull() & (F.col("state") != "Blank") & ~F.col("corrupted"), F.col("dhash"))
