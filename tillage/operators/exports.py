@@ -145,7 +145,7 @@ def coco_lines(images: DataFrame, annotations: DataFrame, classes: DataFrame, in
 
     last = classes.agg(F.max("id")).first()[0]
     kind = F.to_json(F.struct((F.col("id") + 1).alias("id"), "name", F.lit("none").alias("supercategory")))
-    per_split = counts.select("split").crossJoin(F.broadcast(classes.select("id", "name")))  # few splits x the class table
+    per_split = classes.select("id", "name").crossJoin(F.broadcast(counts.select("split")))  # the few splits are sent
     categories = per_split.select(file.alias("file"), _place(5, F.col("id")).alias("line_no"), F.concat(kind, F.when(F.col("id") < F.lit(last), ",").otherwise("")).alias("line"))
     return (
         fixed(0, json.dumps({"info": {"description": info}})[:-1] + ', "images": [')

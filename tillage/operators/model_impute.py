@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,14 +15,15 @@ from pyspark.sql import types as T
 from ..functions.values import numeric_columns, text_columns
 from ..plans.lineage import settle
 from ..plans.lookup import lookup
+from ..plans.rows import number_within
 from . import impute
 from .encode import category_table
 
 # Forest size, rounds, tolerance, seed and number of neighbours.
 TREES, ROUNDS, TOLERANCE, SEED = 10, 10, 1e-3, 42
 NEIGHBOURS = 5
-# Distinct patterns that meet in one task.
-RECEIVER_BLOCK, DONOR_BLOCK = 2_000, 20_000
+# Distinct patterns of a block, and the most donor blocks: their boxes are known to every task that looks for near ones.
+RECEIVER_BLOCK, DONOR_BLOCK, DONOR_BLOCKS = 500, 2_000, 20_000
 
 
 def fill_model(
@@ -93,8 +94,8 @@ def neighbour_fills(df: DataFrame, column: str, columns: Sequence[str] | None =
 
     Rows are collapsed to distinct patterns with counts. The distance of two patterns uses the columns present in
     both: ``sqrt(all / shared * sum of squares)``. The fill is the mean code of the ``k`` nearest rows, half-even
-    rounded; ties are ordered by pattern. Blocks of receivers meet blocks of donors, each block pair keeps the
-    nearest ``k`` rows per receiver, and those are merged: memory per task is bounded and nothing is broadcast.
+    rounded; ties are ordered by pattern. Patterns are put in blocks of near ones, and a block of receivers meets only those blocks of
+    donors that can hold one of its nearest (``near_blocks``); each block pair keeps the nearest ``k`` rows per receiver, and those are merged.
     """
     columns = list(columns or text_columns(df))
     return _nearest_codes(_coded(df, columns)[0], column, columns, k)
@@ -104,14 +105,12 @@ def _nearest_codes(coded: DataFrame, column: str, columns: Sequence[str], k: int
     codes = [f"_c{i}" for i in range(len(columns))]
     target = f"_c{columns.index(column)}"
     patterns = settle(coded.groupBy(*codes).agg(F.count(F.lit(1)).alias("n")))
-    receivers, donors = patterns.filter(F.col(target).isNull()), patterns.filter(F.col(target).isNotNull())
-    counts = patterns.agg(F.count_if(F.col(target).isNull()), F.count_if(F.col(target).isNotNull())).first()
-    r_blocks, d_blocks = -(-counts[0] // RECEIVER_BLOCK) or 1, -(-counts[1] // DONOR_BLOCK) or 1
-    spread = lambda blocks: F.pmod(F.xxhash64(*codes), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = receivers.withColumn("rb", spread(r_blocks)).withColumn("db", every(d_blocks))
-    right = donors.withColumn("db", spread(d_blocks)).withColumn("rb", every(r_blocks))
-    right = right.select(*[F.col(c).alias(f"d{c}") for c in (*codes, "n", "db", "rb")])  # own names: both sides share a source
+    dims = [c for c in codes if c != target]
+    blocks = settle(pattern_blocks(patterns, target, dims))
+    pairs = near_blocks(blocks, dims, len(codes), k)
+    left = blocks.filter(F.col(target).isNull()).drop("db").join(pairs, "rb").select(*codes, "n", "rb", "db")
+    # Own names: both sides share a source.
+    right = blocks.filter(F.col(target).isNotNull()).drop("rb").join(pairs.select("rb", "db"), "db").select(*[F.col(c).alias(f"d{c}") for c in (*codes, "n", "db", "rb")])
     schema = T.StructType(
         [T.StructField(c, T.LongType()) for c in codes] + [T.StructField("n", T.LongType()), T.StructField("distance", T.DoubleType())]
         + [T.StructField("donor", T.ArrayType(T.LongType())), T.StructField("donors", T.LongType()), T.StructField("value", T.LongType())]
@@ -151,6 +150,60 @@ def _nearest_codes(coded: DataFrame, column: str, columns: Sequence[str], k: int
     return taken.groupBy(*codes, "n").agg(F.bround(mean, 0).cast("long").alias("code"))
 
 
+def pattern_blocks(patterns: DataFrame, target: str, dims: Sequence[str]) -> DataFrame:
+    """The patterns with ``missing`` (which of ``dims`` are null) and their block, ``rb`` for those that lack ``target``, else ``db``.
+
+    Patterns that lack the same columns are ordered along a curve that keeps near ones together (the bits of their codes interleaved), and
+    this order is cut into blocks. Blocks of donors grow with their number so that there are at most about ``DONOR_BLOCKS``.
+    """
+    seen = patterns.agg(F.count_if(F.col(target).isNotNull()), *[F.max(c) for c in dims]).first()
+    size = max(DONOR_BLOCK, -(-seen[0] // DONOR_BLOCKS))
+    bits, curve = 10, F.lit(0).cast("long")
+    spread = sorted(range(len(dims)), key=lambda i: -(seen[i + 1] or 0))[:6]  # 60 bits at most
+    steps = {i: F.coalesce(F.floor(F.col(dims[i]) * F.lit((1 << bits) - 1) / F.lit(max(1, seen[i + 1] or 1))).cast("long"), F.lit(0).cast("long")) for i in spread}
+    for bit in range(bits - 1, -1, -1):
+        for i in spread:
+            curve = F.shiftleft(curve, 1) + F.shiftright(steps[i], bit).bitwiseAND(F.lit(1).cast("long"))
+    missing = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(dims)), F.lit(0).cast("long"))
+    rows = patterns.withColumn("missing", missing).withColumn("_lacks", F.col(target).isNull()).withColumn("_curve", curve)
+    placed = number_within(rows, ["_lacks", "missing"], ["_curve", *dims, target], "_place")
+    cut = F.floor((F.col("_place") - 1) / F.when(F.col("_lacks"), F.lit(RECEIVER_BLOCK)).otherwise(F.lit(size)))
+    name = F.concat_ws(":", F.col("missing"), cut)
+    return placed.select(*patterns.columns, "missing", F.when(F.col("_lacks"), name).alias("rb"), F.when(~F.col("_lacks"), name).alias("db"))
+
+
+def near_blocks(blocks: DataFrame, dims: Sequence[str], columns: int, k: int) -> DataFrame:
+    """(rb, db): the donor blocks that can hold one of the ``k`` nearest rows of a receiver of the block.
+
+    A block's box spans its smallest and largest code per column. The farthest corners of two boxes bound the distance of their patterns from above;
+    the boxes that so hold ``k`` rows set a limit, and a donor block whose nearest corner is beyond it is skipped. Which columns two blocks
+    share follows from what they lack, so the distance is the same function within a pair.
+    """
+    box = [f(c).alias(f"{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))]
+    names = [x for c in dims for x in (f"lo_{c}", f"hi_{c}")]
+    donors = blocks.filter(F.col("db").isNotNull()).groupBy("db").agg(F.sum("n").alias("n"), *box).toPandas()  # DONOR_BLOCKS rows, and one per set of missing columns
+    edges = donors[names].to_numpy(float).reshape(len(donors), -1, 2)
+    low, high, held, labels = edges[:, :, 0], edges[:, :, 1], donors["n"].to_numpy(float), donors["db"].to_numpy(object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rb, own in zip(pdf["rb"], pdf[names].to_numpy(float).reshape(len(pdf), -1, 2)):
+                shared = (~np.isnan(low - own[:, 0])).sum(axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scale = columns / shared
+                    apart = np.sqrt(np.nansum(np.maximum(np.maximum(low - own[:, 1], own[:, 0] - high), 0.0) ** 2, axis=1) * scale)
+                    across = np.sqrt(np.nansum(np.maximum(np.abs(high - own[:, 0]), np.abs(own[:, 1] - low)) ** 2, axis=1) * scale)
+                apart[shared == 0] = across[shared == 0] = np.inf
+                order = np.argsort(across, kind="stable")
+                enough = np.searchsorted(np.cumsum(held[order]), k)
+                limit = across[order[enough]] if enough < len(order) else np.inf
+                met = np.flatnonzero((apart <= limit + 1e-9) & (shared > 0))
+                yield pd.DataFrame({"rb": np.full(len(met), rb, object), "db": labels[met]})
+
+    boxes = blocks.filter(F.col("rb").isNotNull()).groupBy("rb").agg(*box)
+    return settle(boxes.mapInPandas(run, "rb string, db string"))
+
+
 def fill_neighbours(df: DataFrame, column: str, columns: Sequence[str] | None = None, k: int = NEIGHBOURS) -> DataFrame:
     """Fill a text column from the nearest rows by their text columns; rows without any neighbour get the mean code."""
     columns = list(columns or text_columns(df))

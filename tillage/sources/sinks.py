@@ -33,11 +33,10 @@ def _filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 def check_target(target: str, sources: Sequence[str]) -> None:
     """Refuse a target that is a source folder or lies below one."""
-    there = _clean(target)
-    for s in sources:
-        here = _clean(s)
-        if there == here or there.startswith(here + "/"):
-            raise ValueError(f"{target} lies in the source {s}: choose a new folder outside it")
+    wanted = posixpath.join(_clean(target), "")
+    held = [s for s in sources if posixpath.commonprefix([wanted, posixpath.join(_clean(s), "")]) == posixpath.join(_clean(s), "")]
+    if held:
+        raise ValueError(f"{target} lies in {held[0]}, which is read: choose a folder of its own")
 
 
 def write_csv(df: DataFrame, target: str, sources: Sequence[str] = (), bom: bool = False) -> None:
