@@ -24,13 +24,6 @@ OFFSETS = 100  # values of u that are tried
 BUCKETS = 4096  # hash buckets of one (source, size) class; a window holds the rows of one bucket
 
 
-def sizes(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents with ``_size`` (words; null text: 0) and ``_source`` (a mark and the source; empty for null, so that it joins)."""
-    words = F.size(words_array(F.coalesce(F.col(text_col), F.lit(""))))
-    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
-    return docs.withColumns({"_size": words.cast("long"), "_source": source})
-
-
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """Target tokens per source (_source, _total): sources by code point, null last, weigh ``weights`` in turn.
 
@@ -90,8 +83,36 @@ def mix(
     A null text has size 0 and a null source is a source of its own. Rows with equal ids are rounded one by one; where source, size, id and text are
     equal, which of the rows gets an extra copy is open, but their number is not. Documents of size 0 get no copy. Reruns agree.
     """
+    out, copies = _decided(docs, weights, most, seed, id_col, source_col, text_col, [])
+    return out.select(
+        F.col("_id").alias(id_col), F.when(F.col("_source") != "", F.substr("_source", F.lit(2))).alias(source_col), F.col("_size").alias("size"), F.col("_total").cast("long").alias("source_size"),
+        F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
+    )
+
+
+def repeat(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 17,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy",
+) -> DataFrame:
+    """The mixed documents themselves: every row with all its columns as often as ``mix`` says, numbered from 1 in ``copy_col``.
+
+    Rows without a copy are gone. A column of ``docs`` that is called like ``copy_col`` is replaced.
+    """
+    whole = [c for c in docs.columns if c != copy_col]
+    out, copies = _decided(docs, weights, most, seed, id_col, source_col, text_col, [F.struct(*[F.col(f"`{c}`") for c in whole]).alias("_doc")])
+    kept = out.select("_doc", copies.alias("_copies")).filter(F.col("_copies") > 0)
+    return kept.select(*[F.col("_doc")[c].alias(c) for c in whole], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias(copy_col))
+
+
+def _decided(
+    docs: DataFrame, weights: tuple[float, ...], most: int, seed: int, id_col: str, source_col: str, text_col: str, carried: list[Column]
+) -> tuple[DataFrame, Column]:
+    """Every row with its source's figures and any ``carried`` columns, and the copies it gets."""
     mark = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    rows = sizes(docs, source_col, text_col).select(F.col(id_col).alias("_id"), "_source", "_size", mark.alias("_mark"))
+    words = F.size(words_array(F.coalesce(F.col(text_col), F.lit(""))))
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
+    named = docs.select(F.col(id_col).alias("_id"), source.alias("_source"), words.cast("long").alias("_size"), mark.alias("_mark"), *carried)
+    rows = named.drop("_doc")
     rows = rows.withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(BUCKETS)).cast("int"))
     cells = rows.groupBy("_source", "_size", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     classes = cells.groupBy("_source", "_size").agg(F.sum("_n").alias("_n"))
@@ -104,7 +125,8 @@ def mix(
     earlier = Window.partitionBy("_source", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     inside = Window.partitionBy("_source", "_size", "_bucket").orderBy("_mark", F.col("_id").cast("string"))
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
+    bucketed = named.withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(BUCKETS)).cast("int"))
+    ranked = bucketed.withColumn("_rank", F.row_number().over(inside))
 
     # Sources meet their rates while there is one row per size; what grows with the documents is dealt by source, size and bucket.
     rated = classes.join(rates, "_source").select("_source", "_size", "_before", "_rate", "_offset", "_total", "_target")
@@ -113,8 +135,4 @@ def mix(
     out = ranked.join(table, ["_source", "_size", "_bucket"])
     k = F.col("_rank") + F.col("_start")
     copies = rounded(k, F.col("_offset")) - rounded(k - 1, F.col("_offset"))
-    copies = F.when(F.col("_size") > 0, F.least(copies, F.lit(most))).otherwise(0).cast("long")
-    return out.select(
-        F.col("_id").alias(id_col), F.when(F.col("_source") != "", F.substr("_source", F.lit(2))).alias(source_col), F.col("_size").alias("size"), F.col("_total").cast("long").alias("source_size"),
-        F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
-    )
+    return out, F.when(F.col("_size") > 0, F.least(copies, F.lit(most))).otherwise(0).cast("long")

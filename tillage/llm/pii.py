@@ -1,7 +1,7 @@
 """Personal data (operator 9), by DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod 97 for account numbers, ranges and digit counts for
-the others), and words shortly before a span raise its score. The patterns are written so that no text can make them slow: a run of characters is
+the others), and words shortly before or behind a span raise its score, which is part of the result. The patterns are written so that no text can make them slow: a run of characters is
 entered at its beginning only and never given back.
 """
 
@@ -49,6 +49,10 @@ class Kind:
     score: float
     context: str
 
+    @property
+    def raised(self) -> float:
+        return round(min(1.0, self.score + 0.2), 2)
+
 
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
@@ -76,6 +80,24 @@ MORE = (
 )
 
 
+# Matches have four characters at least, so this many of them fill the context on either side.
+NEIGHBOURS = CONTEXT // 4
+
+
+def _before(between: Column, found: Column, i: Column) -> Column:
+    """The ``CONTEXT`` characters before match ``i``, earlier matches included: only pieces that can reach into them are joined."""
+    first, n = F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.least(i, F.lit(NEIGHBOURS))
+    pieces = F.zip_with(F.slice(between, first, n), F.slice(found, first, n), lambda gap, m: F.concat(F.right(gap, F.lit(CONTEXT)), m))
+    return F.right(F.concat(F.array_join(pieces, ""), F.right(between[i], F.lit(CONTEXT))), F.lit(CONTEXT))
+
+
+def _behind(between: Column, found: Column, i: Column) -> Column:
+    """The ``CONTEXT`` characters behind match ``i``, later matches included."""
+    gaps, matches = F.slice(between, i + 2, F.lit(NEIGHBOURS)), F.slice(found, i + 2, F.lit(NEIGHBOURS))
+    pieces = F.zip_with(gaps, matches, lambda gap, m: F.concat(F.left(gap, F.lit(CONTEXT)), F.coalesce(m, F.lit(""))))
+    return F.left(F.array_join(pieces, ""), F.lit(CONTEXT))
+
+
 def spans(text: Column, kind: Kind) -> Column:
     """The confirmed spans of a kind in a text: array of (start, end, score), code points, end exclusive."""
     empty = F.array().cast(SPAN)
@@ -96,8 +118,8 @@ def spans(text: Column, kind: Kind) -> Column:
         def place(m: Column, i: Column) -> Column:
             block = F.floor(i / BLOCK).cast("int")
             start = bases[block] + _sum(F.slice(steps, block * BLOCK + 1, i % BLOCK)) + F.length(between[i])
-            near = F.lower(F.right(between[i], F.lit(CONTEXT))).rlike(kind.context)
-            score = F.when(near, F.lit(min(1.0, kind.score + 0.2))).otherwise(F.lit(kind.score))
+            near = _before(between, found, i).rlike(f"(?i){kind.context}") | _behind(between, found, i).rlike(f"(?i){kind.context}")
+            score = F.when(near, F.lit(kind.raised)).otherwise(F.lit(kind.score))
             at = let(start, lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), score.alias("score")))
             return F.when(kind.valid(m), at)
 
@@ -120,20 +142,24 @@ def _named(kind: Kind) -> Column:
 
 
 def digest(found: DataFrame, more: tuple[Kind, ...] = MORE, id_col: str = "doc_id") -> DataFrame:
-    """Counts per base kind, the SHA-256 of the base spans, and all spans as text."""
-    texts = found.select("*", F.concat(*map(_named, BASE)).alias("_base"), F.concat(*map(_named, more)).alias("_more"))
+    """Counts per base kind, the SHA-256 of the base spans, all spans as text, and their scores in the same order."""
+    scores = F.concat(*[F.transform(F.col(k.name), lambda s: s["score"].cast("string")) for k in (*BASE, *more)])
+    texts = found.select("*", F.concat(*map(_named, BASE)).alias("_base"), F.concat(*map(_named, more)).alias("_more"), scores.alias("_scores"))
     return texts.select(
         id_col, *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE], F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"),
-        F.array_join(F.concat("_base", "_more"), ",").alias("spans"),
+        F.array_join(F.concat("_base", "_more"), ",").alias("spans"), F.array_join("_scores", ",").alias("scores"),
     )
 
 
 def _duck_spans(kind: str, pattern: str, valid: str) -> str:
+    of = next(k for k in (*BASE, *MORE) if k.name == kind)
     return f"""{kind}_a AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') m, string_split_regex(t, '{pattern}') b FROM docs),
 {kind}_b AS (SELECT doc_id, m, [length(x) FOR x IN b] bl, [length(x) FOR x IN m] ml FROM {kind}_a),
 {kind}_c AS (SELECT doc_id, unnest(m) w, unnest(bl[:len(ml)]) gap, unnest(ml) n, generate_subscripts(m, 1) i FROM {kind}_b WHERE len(m) > 0),
 {kind}_d AS (SELECT doc_id, w, i, sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) - n AS s, n FROM {kind}_c),
-{kind} AS (SELECT doc_id, count(*) n, string_agg('{kind}:' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s) x FROM {kind}_d WHERE {valid} GROUP BY doc_id)"""
+{kind}_e AS (SELECT doc_id, w, CAST(s AS BIGINT) s, CAST(s + n AS BIGINT) e, t FROM {kind}_d JOIN docs USING (doc_id) WHERE {valid}),
+{kind} AS (SELECT doc_id, count(*) n, string_agg('{kind}:' || s || ':' || e, ',' ORDER BY s) x, string_agg(CASE WHEN regexp_matches(substr(t, greatest(1, s - {CONTEXT - 1}), least({CONTEXT}, s)), '(?i){of.context}')
+  OR regexp_matches(substr(t, e + 1, {CONTEXT}), '(?i){of.context}') THEN '{of.raised}' ELSE '{of.score}' END, ',' ORDER BY s) y FROM {kind}_e GROUP BY doc_id)"""
 
 
 _LUHN = (
@@ -153,5 +179,5 @@ ORACLE = "WITH docs AS (SELECT doc_id, coalesce(text, '') t FROM documents),\n"
     _duck_spans("iban", "[A-Za-z0-9]+", _MOD97),
 ]) + """
 SELECT d.doc_id, coalesce(email.n, 0) n_email, coalesce(ip.n, 0) n_ip, coalesce(card.n, 0) n_card, coalesce(phone.n, 0) n_phone,
-sha256(concat_ws(',', email.x, ip.x, card.x, phone.x)) base_sha256, concat_ws(',', email.x, ip.x, card.x, phone.x, iban.x) spans
+sha256(concat_ws(',', email.x, ip.x, card.x, phone.x)) base_sha256, concat_ws(',', email.x, ip.x, card.x, phone.x, iban.x) spans, concat_ws(',', email.y, ip.y, card.y, phone.y, iban.y) scores
 FROM docs d LEFT JOIN email USING (doc_id) LEFT JOIN ip USING (doc_id) LEFT JOIN card USING (doc_id) LEFT JOIN phone USING (doc_id) LEFT JOIN iban USING (doc_id)"""

@@ -50,9 +50,8 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    prose = secrets.learn_prose(docs)
-    model = secrets.fit(docs, secrets.label_findings(docs, prose=prose), prose=prose)
-    return secrets.scan(docs, model).drop("masked")
+    found = secrets.find(docs)
+    return secrets.scan(found, secrets.learn(docs, found))
 
 
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:

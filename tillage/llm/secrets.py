@@ -1,12 +1,15 @@
 """Secret scans (operator 8): candidates by pattern, false positives removed by a random forest.
 
 Candidates are values given to a credential-like name, keys with a known beginning, and long tokens with digits. The forest looks at the
-length, how likely the characters follow each other in the corpus' own prose, how much of the candidate is made of ordinary words, character
+length, how likely the characters follow each other in the corpus' own prose, how much of the candidate is made of ordinary words, letter
 classes, path-like and address-like surroundings, and the neighbouring words. It is trained on labelled findings.
 
-Where no findings have been labelled by hand, ``label_findings`` labels candidates of the corpus by rules that a reviewer would state: a random
-value assigned to a credential name, or a well-formed issued key, is a secret; an address, number, placeholder, path or
-plain word is not; the rest stays unlabelled. The forest then decides about the rest and about the odd ones.
+Where no findings have been labelled by hand, ``label_findings`` labels candidates by evidence that the forest is not shown: issued formats,
+entropy, placeholder words, shares of digits, file endings, and whether a value turns up in several different surroundings. What this
+evidence leaves open the forest decides, and it may overrule it where the surroundings speak against it.
+
+Texts are searched once; from then on the candidates travel with a little of their surroundings, and the texts do not. Word and letter-pair counts of
+the corpus stay a table: only the words and pairs of candidates are looked up in it, by joins.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillage.plans.lineage import settle
+from tillage.plans.lookup import lookup
 
-from .batches import id_and_text, map_batches, map_rows
+from .batches import map_batches, map_rows
 
 # Names that hold credentials, beginnings of issued keys, placeholder words.
 NAMES = "password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key|auth_key|private_key|client_secret|credential"
@@ -39,94 +42,112 @@ LEAST = 5  # occurrences that make a word or letter pair part of the corpus' pro
 NEAR = 40  # characters looked at on either side
 NAME_NEAR = re.compile(rf"(?i){NAMES}")
 WORD = re.compile(r"[^\W\d_]+")
-HINTS = ("assigned", "key", "long")
+FILE_END = re.compile(r"\.[A-Za-z][A-Za-z0-9]{0,7}(?![A-Za-z0-9])")
+MANY_USES = 4  # a value with so many different surroundings is an example or a name
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every candidate, in order; of overlapping ones the first kind listed wins."""
-    found: list[tuple[str, int, int]] = []
-    taken: set[int] = set()
+    """(kind, start, end) of every candidate, in order and without overlap; the first kind listed decides.
+
+    A later kind's match that reaches into a candidate gives it what it covers behind, so no part of a value is left over. What it covers before
+    is a candidate of its own where it is one by itself.
+    """
+    spans: list[list] = []  # kind, start, end; sorted by start
     for kind, pattern in KINDS:
         if kind == "assigned" and "=" not in text and ":" not in text:
             continue
+        at = 0
         for m in pattern.finditer(text):
             start, end = m.span("value")
-            if start not in taken and (end - 1) not in taken:
-                taken.update((start, end - 1) if end - start > 2 else range(start, end))
-                found.append((kind, start, end))
-    found.sort(key=lambda f: (f[1], -f[2], f[0]))
-    kept: list[tuple[str, int, int]] = []
-    for f in found:
-        if not kept or f[1] >= kept[-1][2]:
-            kept.append(f)
-    return kept
+            while at < len(spans) and spans[at][2] <= start:
+                at += 1
+            while at < len(spans) and spans[at][1] < end:
+                met = spans[at]
+                if start < met[1] and (part := LONG.search(text[start : met[1]])):
+                    spans.insert(at, [kind, start + part.start("value"), start + part.end("value")])
+                    at += 1
+                start = max(start, met[2])
+                if start < end and (at + 1 == len(spans) or spans[at + 1][1] >= end):
+                    met[2] = start = end
+                at += 1
+            if start < end:
+                spans.insert(at, [kind, start, end])
+                at += 1
+            at = max(0, at - 1)
+    return [tuple(s) for s in spans]
 
 
-class Words:
-    """A set of words as sorted 64-bit hashes (``F.xxhash64``), eight bytes each."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+@dataclass(frozen=True)
+class Prose:
+    """What ordinary text looks like: a table (pair, part, n) of letter pairs and words with their counts, and the sum over all pairs."""
 
-    def __contains__(self, word: str) -> bool:
-        h = np.array(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42), dtype=np.uint64).view(np.int64)
-        i = int(np.searchsorted(self.hashes, h))
-        return i < len(self.hashes) and bool(self.hashes[i] == h)
+    counts: DataFrame
+    total: int
 
 
 @dataclass(frozen=True)
-class Prose:
-    """What ordinary text looks like: log probabilities of letter pairs, and the words that are used."""
+class Findings:
+    """Every row of a table with its candidates: ``rows`` has the row number ``_row``, ``_cands``, and what was carried along."""
 
-    pairs: dict[str, float]
-    words: frozenset[str] | Words
+    rows: DataFrame
+    id_col: str
+    text_col: str
+    carried: tuple[str, ...]
 
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "entropy", "hex", "transition", "dictionary", "path", "address", "named", "assigned", "quoted", "issued", "placeholder", "repeats")
+SEEN = ("length", "upper", "lower", "other", "switches", "transition", "dictionary", "path", "address", "named", "quoted", "repeats", "worded")
+EVIDENCE = ("digits", "entropy", "issued", "placeholder", "file")
+UNKNOWN_PAIR = -12.0
 
 
-def describe(text: str, kind: str, start: int, end: int, prose: Prose) -> list[float]:
-    """The features of one candidate."""
+def describe(text: str, start: int, end: int, transition: float, covered: float) -> list[float]:
+    """The features of one candidate that the forest sees. ``transition`` and ``covered`` come from the prose."""
     value = text[start:end]
     n = max(1, len(value))
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     share = Counter(classes)
-    low = value.lower()
-    pairs = [prose.pairs.get(low[i : i + 2], -12.0) for i in range(len(low) - 1)]
-    covered = sum(len(w) for w in WORD.findall(low) if w in prose.words)
     return [
         float(len(value)),
-        share["d"] / n,
         share["u"] / n,
         share["l"] / n,
         share["o"] / n,
         sum(a != b for a, b in zip(classes, classes[1:])) / n,
-        -sum(k / n * math.log2(k / n) for k in Counter(value).values()),
-        float(all(c in "0123456789abcdef" for c in low)),
-        sum(pairs) / max(1, len(pairs)),
+        transition,
         covered / n,
         float(value.count("/") + value.count("\\") + before[-1:].count("/")),
         float("@" in before[-1:] + value + after[:1] or "://" in before[-12:] + value),
         float(bool(NAME_NEAR.search(before))),
-        float(bool(re.search(r"(?:=|:)>?\s*[\"']?$", before))),
         float(before[-1:] in "\"'" and after[:1] in "\"'" and before != ""),
+        1.0 - len(set(value)) / n,
+        float(len(WORD.findall(before)) + len(WORD.findall(after))),
+    ]
+
+
+def evidence(text: str, start: int, end: int) -> list[float]:
+    """What labels rest on and the forest does not see."""
+    value = text[start:end]
+    n = max(1, len(value))
+    low = value.lower()
+    return [
+        sum(c.isdigit() for c in value) / n,
+        -sum(k / n * math.log2(k / n) for k in Counter(value).values()),
         float(bool(KEY.fullmatch(value))),
         float(any(p in low for p in PLACEHOLDERS)),
-        1.0 - len(set(value)) / n,
+        float(bool(FILE_END.match(text, end))),
     ]
 
 
-def rule_label(kind: str, f: list[float]) -> int | None:
-    """1 secret, 0 not, None undecided: the reviewer's rules over the features."""
-    v = dict(zip(FEATURES, f))
-    if v["placeholder"] or v["address"] or v["digits"] >= 0.95 or v["dictionary"] > 0.5 or v["entropy"] < 2.0:
+def rule_label(kind: str, e: list[float], uses: int, length: int, address: bool) -> int | None:
+    """1 secret, 0 not, None undecided: what a reviewer would say from the evidence. ``uses``: different surroundings of the value."""
+    digits, entropy, issued, placeholder, file = e
+    if placeholder or file or address or digits >= 0.95 or entropy < 2.0 or uses >= MANY_USES:
         return 0
-    if v["issued"] and v["entropy"] >= 2.5:
+    if issued and entropy >= 2.5:
         return 1
-    if kind == "assigned" and v["length"] >= 10 and v["digits"] > 0.1 and v["entropy"] >= 2.8:
+    if kind == "assigned" and length >= 10 and digits > 0.1 and entropy >= 2.8:
         return 1
-    if kind == "long" and not v["named"] and not v["hex"] and (v["path"] or v["digits"] < 0.1):
+    if kind == "assigned" and digits == 0 and entropy < 3.0 or kind == "long" and digits < 0.1:
         return 0
     return None
 
@@ -175,11 +196,41 @@ class Forest:
 @dataclass(frozen=True)
 class SecretModel:
     prose: Prose
-    forest: Forest | None  # None: labels of one class only; then the reviewer's rules decide
+    forest: Forest | None  # None: labels of one class only; then the evidence decides
+
+
+_CAND = "struct<kind:string,start:int,end:int,cut:int,context:string>"
 
 
-def learn_prose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> Prose:
-    """Letter pairs and words (three to 40 letters) that occur at least ``least`` times in all documents, candidates left out: they cannot vouch for themselves."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> Findings:
+    """Search every whole text once. ``carry`` names the columns to keep with the rows (by default the id only). The result is written once,
+    so that row numbers stay what they are."""
+    carried = (id_col,) if carry is None else carry
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carried)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    names = [f"k{i}" for i in range(len(carried))]
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cut", pa.int32()), ("context", pa.string())]))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        cands = []
+        for text in batch.column("_text").to_pylist():
+            cands.append([{"kind": k, "start": a, "end": b, "cut": max(0, a - NEAR), "context": text[max(0, a - NEAR) : b + NEAR]} for k, a, b in candidates(text)])
+        return {n: batch.column(n) for n in (*names, "_row")} | {"_cands": pa.array(cands, kind)}
+
+    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carried)), "_row bigint", f"_cands array<{_CAND}>"])
+    return Findings(settle(map_batches(kept, run, schema)), id_col, text_col, carried)
+
+
+def each(found: Findings) -> DataFrame:
+    """One row per candidate: (_row, kind, start, end, cut, context)."""
+    return found.rows.select("_row", F.explode("_cands").alias("c")).select("_row", "c.*")
+
+
+def _value() -> Column:
+    return F.substring(F.col("context"), F.col("start") - F.col("cut") + 1, F.col("end") - F.col("start"))
+
+
+def learn_prose(docs: DataFrame, text_col: str = "text", least: int = LEAST) -> Prose:
+    """Letter pairs and words (three letters and more) that occur at least ``least`` times in all documents, candidates left out: they cannot vouch for themselves."""
 
     def tally(batch: pa.RecordBatch) -> dict:
         words: Counter = Counter()
@@ -193,46 +244,80 @@ def learn_prose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for w, n in words.items():
             for i in range(len(w) - 1):
                 pairs[w[i : i + 2]] += n
-        counts = [(True, p, n) for p, n in pairs.items()] + [(False, w, n) for w, n in words.items() if 2 < len(w) <= 40]
+        counts = [(True, p, n) for p, n in pairs.items()] + [(False, w, n) for w, n in words.items() if len(w) > 2]
         return dict(zip(("pair", "part", "n"), zip(*counts))) if counts else {"pair": [], "part": [], "n": []}
 
-    parts = map_batches(id_and_text(docs, id_col, text_col).select("_text"), tally, "pair boolean, part string, n bigint")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    parts = map_batches(texts, tally, "pair boolean, part string, n bigint")
     often = settle(parts.groupBy("pair", "part").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    pairs = {r["part"]: r["n"] for r in often.filter("pair").orderBy("part").collect()}
-    total = sum(pairs.values()) or 1
-    hashes = often.filter("NOT pair").select(F.xxhash64("part").alias("h")).toArrow().column("h").to_numpy()
-    return Prose({p: math.log(k / total) for p, k in pairs.items()}, Words(np.sort(hashes)))
+    return Prose(often, often.filter("pair").agg(F.sum("n")).first()[0] or 1)
 
 
-def label_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prose: Prose | None = None) -> DataFrame:
-    """Findings of all documents with a label by rule where one is sure: (context, kind, start, end, label). ``context`` is what the features see."""
-    known = learn_prose(docs, id_col, text_col) if prose is None else prose
+def with_prose(rows: DataFrame, prose: Prose) -> DataFrame:
+    """Add ``key`` (of the value in lower case), ``transition`` (mean log probability of its letter pairs) and ``covered`` (letters in words of the prose).
+
+    Every different value is taken apart once; its pairs and words are looked up in the counts by a join.
+    """
+    keyed = rows.withColumn("_low", F.lower(_value())).withColumn("key", F.md5("_low"))
+    values = keyed.groupBy("key").agg(F.first("_low").alias("_low"))
+
+    def take_apart(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {k: [] for k in ("key", "pair", "part", "times")}
+        for key, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pairs = Counter(low[i : i + 2] for i in range(len(low) - 1))
+            words = Counter(w for w in WORD.findall(low) if len(w) > 2)
+            for pair, counts in ((True, pairs), (False, words)):
+                out["key"] += [key] * len(counts)
+                out["pair"] += [pair] * len(counts)
+                out["part"] += counts.keys()
+                out["times"] += counts.values()
+        return out
+
+    parts = map_batches(values.select("key", "_low"), take_apart, "key string, pair boolean, part string, times bigint")
+    met = lookup(parts, prose.counts, ["pair", "part"], ["n"], weight="n")
+    odds = F.coalesce(F.log(F.col("n") / F.lit(float(prose.total))), F.lit(UNKNOWN_PAIR))
+    known = met.groupBy("key").agg(
+        (F.sum(F.when(F.col("pair"), F.col("times") * odds)) / F.sum(F.when(F.col("pair"), F.col("times")))).alias("transition"),
+        F.coalesce(F.sum(F.when(~F.col("pair") & F.col("n").isNotNull(), F.col("times") * F.char_length("part"))), F.lit(0)).cast("double").alias("covered"),
+    )
+    return keyed.drop("_low").join(settle(known), "key", "left").fillna({"transition": 0.0, "covered": 0.0})
+
+
+def label_findings(found: Findings, prose: Prose) -> DataFrame:
+    """The different findings with a label where the evidence is sure: (context, kind, start, end, label, key, transition, covered).
+
+    ``start`` and ``end`` are places in ``context``. Copies of a document share their contexts and count once.
+    """
+    at = [(F.col(c) - F.col("cut")).alias(c) for c in ("start", "end")]
+    rows = with_prose(each(found).select("kind", *at, F.lit(0).alias("cut"), "context").distinct(), prose)
+    uses = rows.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    rows = rows.join(uses, "key").select("context", "kind", "start", "end", "uses", "key", "transition", "covered")
+    place = SEEN.index("address")
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = []
-        for text in batch.column(1).to_pylist():
-            for kind, start, end in candidates(text):
-                label = rule_label(kind, describe(text, kind, start, end, known))
-                if label is not None:
-                    cut = max(0, start - NEAR)
-                    rows.append((text[cut : end + NEAR], kind, start - cut, end - cut, label))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        return dict(zip(("context", "kind", "start", "end", "label"), columns))
-
-    return map_batches(id_and_text(docs, id_col, text_col), run, "context string, kind string, start int, end int, label int")
-
-
-def fit(docs: DataFrame, findings: DataFrame, fit_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", prose: Prose | None = None) -> SecretModel:
-    """Train on labelled findings (context, kind, start, end, label): at most ``fit_rows`` of each label, chosen by hash after repeated ones are dropped."""
-    prose = learn_prose(docs, id_col, text_col) if prose is None else prose
-    unique = findings.dropna().groupBy("context", "kind", "start", "end").agg(F.max("label").alias("label"))
+        labels = []
+        for context, kind, start, end, uses, _, transition, covered in zip(*(c.to_pylist() for c in batch.columns)):
+            address = describe(context, start, end, transition, covered)[place] > 0
+            labels.append(rule_label(kind, evidence(context, start, end), uses, end - start, address))
+        return {n: batch.column(n) for n in ("context", "kind", "start", "end", "key", "transition", "covered")} | {"label": labels}
+
+    schema = "context string, kind string, start int, end int, label int, key string, transition double, covered double"
+    return map_batches(rows, run, schema).filter(F.col("label").isNotNull())
+
+
+def fit(findings: DataFrame, prose: Prose, fit_rows: int = 8_000) -> SecretModel:
+    """Train on labelled findings (context, kind, start, end, label): at most ``fit_rows`` of each label, chosen by hash after repeated ones are dropped.
+
+    Contradicting labels of a finding count as secret; rows with nulls are left out.
+    """
+    unique = findings.select("context", "kind", "start", "end", "label").dropna().groupBy("context", "kind", "start", "end").agg(F.max("label").alias("label"))
     order = (F.xxhash64("context", "start").alias("h"), F.sha2(F.concat_ws(":", "start", "end", "kind", "context"), 256).alias("h2"))
-    chosen = unique.select("context", "kind", "start", "end", "label", *order)
+    chosen = with_prose(unique.withColumn("cut", F.lit(0)), prose).select("context", "start", "end", "transition", "covered", "label", *order)
 
     # Values have any length, so the features travel and the texts do not.
     def features(batch: pa.RecordBatch) -> dict:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("context", "kind", "start", "end")))
-        return {"label": batch.column("label"), "h": batch.column("h"), "h2": batch.column("h2"), "x": [describe(*r, prose) for r in rows]}
+        rows = zip(*(batch.column(c).to_pylist() for c in ("context", "start", "end", "transition", "covered")))
+        return {"label": batch.column("label"), "h": batch.column("h"), "h2": batch.column("h2"), "x": [describe(*r) for r in rows]}
 
     described = settle(map_batches(chosen, features, "label int, h bigint, h2 string, x array<double>"))
     rows = [r for label in (0, 1) for r in described.filter(F.col("label") == label).orderBy("h", "h2").limit(fit_rows).collect()]
@@ -242,65 +327,74 @@ def fit(docs: DataFrame, findings: DataFrame, fit_rows: int = 8_000, id_col: str
     return SecretModel(prose, Forest().fit(np.array([r["x"] for r in rows]), y))
 
 
-def judge(model: SecretModel, text: str, cutoff: float) -> tuple[int, list[tuple[str, int, int, float]]]:
-    """Number of candidates, and the secrets (kind, start, end, score) among them."""
-    found, kept = candidates(text), []
-    for kind, start, end in found:
-        f = describe(text, kind, start, end, model.prose)
-        p = model.forest.score(f) if model.forest else float(rule_label(kind, f) == 1)
-        if p >= cutoff:
-            kept.append((kind, start, end, p))
-    return len(found), kept
+def learn(docs: DataFrame, found: Findings, text_col: str = "text") -> SecretModel:
+    """The model of a corpus without findings labelled by hand."""
+    prose = learn_prose(docs, text_col)
+    return fit(label_findings(found, prose), prose)
+
 
+def judged(found: Findings, model: SecretModel, cutoff: float = 0.5) -> DataFrame:
+    """(_row, _kept): the secrets (start, end, kind, score) of every row that has any. A row's own candidates are gathered, no more."""
+    rows = with_prose(each(found), model.prose).select("_row", "kind", "start", "end", "cut", "context", "transition", "covered")
+    forest = model.forest
+    place = SEEN.index("address")
 
-def _masked(text: str, kept: list[tuple[str, int, int, float]], mask: str) -> str:
+    def run(batch: pa.RecordBatch) -> dict:
+        scores, known = [], {}
+        for kind, start, end, cut, context, transition, covered in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            x = tuple(describe(context, start - cut, end - cut, transition, covered))
+            if x not in known or not forest:
+                e = evidence(context, start - cut, end - cut)
+                known[x] = forest.score(list(x)) if forest else float(rule_label(kind, e, 1, end - start, x[place] > 0) == 1)
+            scores.append(known[x])
+        return {n: batch.column(n) for n in ("_row", "kind", "start", "end")} | {"score": scores}
+
+    scored = map_batches(rows, run, "_row bigint, kind string, start int, end int, score double").filter(F.col("score") >= cutoff)
+    return scored.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "score"))).alias("_kept"))
+
+
+def _masked(text: str, kept: list[dict], mask: str) -> str:
     parts, at = [], 0
-    for _, start, end, _ in kept:
-        parts += [text[at:start], mask]
-        at = end
+    for spot in kept:
+        parts += [text[at : spot["start"]], mask]
+        at = spot["end"]
     return "".join([*parts, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, model: SecretModel, cutoff: float = 0.5, mask: str = "[secret]", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """All rows and columns, every secret in the text replaced; a column ``length_col``, if there is one, follows the new length where a text changed."""
-    place = docs.columns.index(text_col)
-    counted = docs.columns.index(length_col) if length_col in docs.columns else None
+def mask_secrets(found: Findings, model: SecretModel, cutoff: float = 0.5, mask: str = "[secret]", length_col: str = "n_chars") -> DataFrame:
+    """All rows and columns that were carried, every secret in the text replaced; a column ``length_col``, if there is one, follows the new length
+    where a text changed. Only rows with candidates meet the verdicts; the others are passed on as they are."""
+    names = [f"k{i}" for i in range(len(found.carried))]
+    place = found.carried.index(found.text_col)
+    counted = found.carried.index(length_col) if length_col in found.carried else None
+    some = found.rows.filter(F.size("_cands") > 0).join(judged(found, model, cutoff), "_row", "left")
+    hit = some.filter(F.col("_kept").isNotNull()).select(*names, "_kept")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(place).to_pylist()
         columns = list(batch.columns)
-        lengths = columns[counted].to_pylist() if counted is not None else None
-        for i, text in enumerate(texts):
-            if text and (kept := judge(model, text, cutoff)[1]):
-                texts[i] = _masked(text, kept, mask)
-                if lengths is not None:
-                    lengths[i] = len(texts[i])
+        texts = [_masked(t, kept, mask) for t, kept in zip(columns[place].to_pylist(), columns[-1].to_pylist())]
         columns[place] = pa.array(texts, columns[place].type)
         if counted is not None:
-            columns[counted] = pa.array(lengths, columns[counted].type)
+            columns[counted] = pa.array([len(t) for t in texts], columns[counted].type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return map_rows(docs, run)
+    changed = map_rows(hit, run).select(*names)
+    same = found.rows.filter(F.size("_cands") == 0).select(*names).unionByName(some.filter(F.col("_kept").isNull()).select(*names))
+    return same.unionByName(changed).toDF(*found.carried)
 
 
-def scan(docs: DataFrame, model: SecretModel, cutoff: float = 0.5, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Secrets of every whole text: (id, n_candidates, n_secrets, spans, max_score, masked). One pass, no shuffle.
+def scan(found: Findings, model: SecretModel, cutoff: float = 0.5) -> DataFrame:
+    """Secrets of every whole text: (id, n_candidates, n_secrets, spans, max_score).
 
-    ``spans`` is kind:start:end, code points, end exclusive, comma-joined. ``masked`` is the text with every secret replaced, null where nothing
-    was found. A null text counts as empty and has no secrets; rows are independent, so null or repeated ids come back as they are.
+    ``spans`` is kind:start:end, code points, end exclusive, comma-joined. A null text counts as empty and has no secrets; rows are
+    independent, so null or repeated ids come back as they are.
     """
-    kind_ = dict(docs.dtypes)[id_col]
-
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_candidates", "n_secrets", "spans", "max_score", "masked")}
-        for text in batch.column(1).to_pylist():
-            n, kept = judge(model, text, cutoff)
-            out["n_candidates"].append(n)
-            out["n_secrets"].append(len(kept))
-            out["spans"].append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in kept))
-            out["max_score"].append(max((p for *_, p in kept), default=None))
-            out["masked"].append(_masked(text, kept, mask) if kept else None)
-        return {"_id": batch.column(0)} | out
-
-    found = map_batches(id_and_text(docs, id_col, text_col), run, f"_id {kind_}, n_candidates bigint, n_secrets bigint, spans string, max_score double, masked string")
-    return found.withColumnRenamed("_id", id_col)
+    id_ = f"k{found.carried.index(found.id_col)}"
+    rows = found.rows.select("_row", F.col(id_).alias(found.id_col), F.size("_cands").cast("long").alias("n_candidates"))
+    met = rows.filter(F.col("n_candidates") > 0).join(judged(found, model, cutoff), "_row", "left")
+    both = met.unionByName(rows.filter(F.col("n_candidates") == 0), allowMissingColumns=True)
+    named = F.transform("_kept", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return both.select(
+        found.id_col, "n_candidates", F.coalesce(F.size("_kept"), F.lit(0)).cast("long").alias("n_secrets"), F.coalesce(F.array_join(named, ","), F.lit("")).alias("spans"),
+        F.array_max(F.transform("_kept", lambda s: s["score"])).alias("max_score"),
+    )

@@ -173,7 +173,9 @@ def read(index: DataFrame, gap: int = GAP, most: int = RANGE) -> DataFrame:
                 )
 
     schema = f"_id {kind_}, url string, kind string, digest string, length bigint, refers string, payload binary"
-    return ranges(index, gap, most).select("file", "start", "end", "records").repartition("file", "start").mapInArrow(run, schema)
+    # As many tasks as ranges of the usual size; without a number they would be joined by the few bytes of the index rows.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // most))
+    return ranges(index, gap, most).select("file", "start", "end", "records").repartition(tasks, "file", "start").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", smallest: int = SMALLEST) -> DataFrame:
