@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over ``documents``, each reading what the one before has written."""
+"""The corpus pipeline: stages over ``documents``, each reading what the one before has written.
+
+Null texts count as empty and null sources as one source. Rows with null or repeated ids are judged as the stages' operators say: rows that share an id
+are one document to near duplicates and decontamination, and stay or go together; repeated rows are near duplicates of
+each other. Nulls in other columns and columns beyond those of ``documents`` are passed on. Documents without words have no size and get no copy in
+the last stage. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -27,13 +33,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mask; all documents stay."""
-    prose = secrets.learn_prose(docs)
-    return secrets.mask_secrets(docs, secrets.fit(docs, secrets.label_findings(docs, prose=prose), prose=prose))
+    found = secrets.find(docs, carry=tuple(docs.columns))
+    return secrets.mask_secrets(found, secrets.learn(docs, found))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of every document so that the sources meet their target weights."""
-    return mixing.mix(docs)
+    """Every document with all its columns as often as its source's target weight asks for, numbered in ``copy``; documents with no copy go."""
+    return mixing.repeat(docs)
 
 
 STAGES = [
@@ -44,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-# Similarity joins, fitted models and Newton steps are beyond SQL; tests/llm compares every stage with a brute-force version.
+# Similarity joins, fitted models and Newton steps are beyond SQL; tests/llm checks the stages one by one and the whole on odd tables.
 ORACLE_SQL = None
 
 
