@@ -313,6 +313,30 @@ def m07(spark, folder):
     return model_impute.fill_model(df, "o_totalprice")
 
 
+ONE_TREE = """k AS (SELECT o_orderkey AS id, o_orderkey::DOUBLE AS x0, o_custkey::DOUBLE AS x1, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS y FROM orders),
+  e AS (SELECT list_distinct(quantile_cont(x0, P)) AS e0, list_distinct(quantile_cont(x1, P)) AS e1, min(y) AS lo, max(y) AS hi FROM k),
+  r AS (SELECT id, y, len(list_filter(e0, lambda t: t < x0)) AS b0, len(list_filter(e1, lambda t: t < x1)) AS b1, floor((y - lo) / (hi - lo) * 2097152)::BIGINT - 1048576 AS q FROM k, e),
+  n1 AS (SELECT *, 1 AS node FROM r)""".replace("P)", str([i / 32 for i in range(1, 32)]) + ")")
+# One level: the sums of each node, feature and bin, the best cut of each node, and the rows' next nodes.
+for _level in (1, 2):
+    ONE_TREE += f""",
+  u{_level} AS (SELECT node, f, bin, count(*) AS w, sum(q)::BIGINT AS q FROM (SELECT node, 0 AS f, b0 AS bin, q FROM n{_level} WHERE y IS NOT NULL
+     UNION ALL SELECT node, 1, b1, q FROM n{_level} WHERE y IS NOT NULL) GROUP BY ALL),
+  c{_level} AS (SELECT node, f, bin, (sum(w) OVER u)::DOUBLE AS lw, (sum(q) OVER u)::DOUBLE AS lq, (sum(w) OVER a)::DOUBLE AS aw, (sum(q) OVER a)::DOUBLE AS aq FROM u{_level}
+     WINDOW a AS (PARTITION BY node, f), u AS (PARTITION BY node, f ORDER BY bin)),
+  g{_level} AS (SELECT *, lq * lq / lw + (aq - lq) * (aq - lq) / (aw - lw) - aq * aq / aw AS gain FROM c{_level} WHERE lw < aw),
+  s{_level} AS (SELECT node, f, bin FROM g{_level} WHERE gain > aw QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1),
+  n{_level + 1} AS (SELECT id, y, b0, b1, q, CASE WHEN s.f IS NULL THEN n.node ELSE 2 * n.node + (CASE s.f WHEN 0 THEN b0 ELSE b1 END > s.bin)::INT END AS node FROM n{_level} n LEFT JOIN s{_level} s USING (node))"""
+
+
+@query("m07_one_tree", f"""WITH {ONE_TREE}, v AS (SELECT node, avg(y) AS value FROM n3 GROUP BY 1)
+  SELECT id AS o_orderkey, coalesce(y, round_even(value, 2)) AS o_totalprice FROM n3 JOIN v USING (node)""")
+def m07_one_tree(spark, folder):
+    """One tree of depth two over all rows: every split and every filled value against SQL."""
+    df = orders_gaps(spark, folder).select("o_orderkey", "o_custkey", "o_totalprice")
+    return model_impute.fill_model(df, "o_totalprice", trees=1, depth=2).drop("o_custkey")
+
+
 PATTERNS = """t AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS p, CASE WHEN o_orderkey % 5 <> 0 THEN c_mktsegment END AS m
    FROM orders JOIN customer ON c_custkey = o_custkey),
   cs AS (SELECT s AS v, row_number() OVER (ORDER BY s) - 1 AS code FROM (SELECT DISTINCT s FROM t WHERE s IS NOT NULL)),

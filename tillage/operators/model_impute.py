@@ -6,8 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +16,7 @@ from ..plans.lookup import lookup
 from ..plans.rows import number_within
 from . import impute
 from .encode import category_table
+from .trees import bin_edges, grow, predict
 
 # Forest size, rounds, tolerance, seed and number of neighbours.
 TREES, ROUNDS, TOLERANCE, SEED = 10, 10, 1e-3, 42
@@ -28,13 +27,15 @@ RECEIVER_BLOCK, DONOR_BLOCK, DONOR_BLOCKS = 500, 2_000, 20_000
 
 def fill_model(
     df: DataFrame, column: str, features: Sequence[str] | None = None, rounds: int = ROUNDS, trees: int = TREES,
-    depth: int = 10, seed: int = SEED,
+    depth: int = 10, seed: int = SEED, key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fill a numeric column by chained equations over all numeric columns.
 
     Gaps start at the mean; in every round each column with gaps, fewest first, is predicted from the others by a
-    random forest fitted on its present rows. Rounds end when the largest change is small. With one numeric
-    column the median is used. The table is written to the shared folder between rounds.
+    random forest grown on its present rows (``trees.grow``). Rounds end when the largest change is small, and after one where only
+    this column has gaps. With one numeric column the median is used. Trees draw rows by a hash of ``key`` (the numeric columns
+    unless given), so reruns and other partitionings grow the same forest; rows with equal keys are drawn together. The table
+    is written to the shared folder between rounds.
     """
     numbers = list(features or numeric_columns(df))
     if column not in numbers:
@@ -51,24 +52,21 @@ def fill_model(
     gaps = sorted((c for c in usable if stats[f"p_{at[c]}"] < stats["n"]), key=lambda c: stats["n"] - stats[f"p_{at[c]}"])
     if column not in gaps:
         return df
+    edges = {f"_v_{c}": e for c, e in bin_edges(df.select(*[F.col(c).cast("double").alias(c) for c in usable]), usable).items()}
     work = df.select(
         "*",
         *[F.coalesce(F.col(c).cast("double"), F.lit(stats[f"a_{at[c]}"])).alias(f"_v_{c}") for c in usable],
+        F.xxhash64(*(key or numbers)).alias("_hash"),
     )
     limit = TOLERANCE * max(stats[f"m_{at[c]}"] for c in usable)
-    for _ in range(rounds):
+    for _ in range(rounds if len(gaps) > 1 else 1):
         before = {c: f"_b_{c}" for c in gaps}
         work = settle(work.select("*", *[F.col(f"_v_{c}").alias(b) for c, b in before.items()]))
         for c in gaps:
             inputs = [f"_v_{o}" for o in usable if o != c]
-            ready = VectorAssembler(inputCols=inputs, outputCol="_features").transform(work)
-            forest = RandomForestRegressor(
-                featuresCol="_features", labelCol=f"_v_{c}", predictionCol="_predicted", numTrees=trees, maxDepth=depth, seed=seed
-            )
-            model = forest.fit(ready.filter(F.col(c).isNotNull()).select("_features", f"_v_{c}"))
-            value = F.when(F.col(c).isNull(), F.col("_predicted")).otherwise(F.col(f"_v_{c}"))
-            work = model.transform(ready).withColumn(f"_v_{c}", value).drop("_features", "_predicted")
-        work = settle(work)
+            forest = grow(work.filter(F.col(c).isNotNull()), f"_v_{c}", inputs, edges, "_hash", trees, depth, seed)
+            value = F.when(F.col(c).isNull(), predict(forest, inputs)).otherwise(F.col(f"_v_{c}"))
+            work = settle(work.withColumn(f"_v_{c}", value))
         change = work.agg(F.max(F.greatest(*[F.abs(F.col(f"_v_{c}") - F.col(b)) for c, b in before.items()], F.lit(0.0)))).first()[0]
         work = work.drop(*before.values())
         if change < limit:
