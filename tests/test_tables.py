@@ -162,11 +162,19 @@ def test_rename_and_swap_rules(visits):
     assert columns.swap(visits, "floor", "nothing").columns == visits.columns
 
 
-def test_duplicates_point_to_the_first_copy(spark):
+@pytest.mark.parametrize("from_share", [0.0, 2.0, 1e9])
+def test_duplicates_point_to_the_first_copy(spark, monkeypatch, from_share):
+    """Both plans, and the one chosen by the share of repeats."""
+    monkeypatch.setattr(dedup, "FULL_GROUPING", from_share)
     df = spark.createDataFrame([(0, "a", None), (1, "b", 1), (2, "a", None), (3, "a", None), (4, "b", 2)], "_row long, x string, y int")
     marked = by(dedup.mark_duplicates(df), "_row")
     assert [marked[i]["first_row"] for i in range(5)] == [0, 1, 0, 0, 4]
     assert sorted(r._row for r in dedup.drop_duplicates(df, "_row").collect()) == [0, 1, 4]
+    plain = df.drop("_row")
+    assert tuple(dedup.duplicate_count(plain).first()) == (5, 3, 2)
+    assert tuple(profile.issue_summary(plain).first()) == (1, 2)
+    assert tuple(profile.table_health(plain).first())[:4] == (5, 10, 3, 2)
+    assert tuple(profile.table_health(plain.limit(0)).first())[:5] == (0, 0, 0, 0, 100.0)
 
 
 def sizes_of(df):

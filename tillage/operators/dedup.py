@@ -31,10 +31,26 @@ def _comparable(df: DataFrame, column: str) -> Column:
     return F.col(column) + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(column)
 
 
+# From this many rows per different one on, whole rows are grouped at once: tasks then combine most rows before the shuffle.
+FULL_GROUPING = 2.0
+
+
+# Rows that are looked at to choose a plan. Both plans are exact; the choice only decides what they cost.
+PROBE_ROWS = 10_000
+
+
+def mostly_repeated(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Do the first rows repeat so much that grouping whole rows moves little?"""
+    probe = df.select(F.xxhash64(*[_comparable(df, c) for c in columns]).alias("_hash")).limit(PROBE_ROWS)
+    rows, different = probe.agg(F.count(F.lit(1)), F.count_distinct("_hash")).first()
+    return rows >= FULL_GROUPING * different
+
+
 def extra_copies(df: DataFrame) -> int:
     """Number of copies after the first, over the whole table."""
     columns = df.columns
-    groups = repeated_rows(df, columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df if mostly_repeated(df, columns) else repeated_rows(df, columns)
+    groups = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
 
 
@@ -47,10 +63,13 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def mark_duplicates(df: DataFrame, row: str = "_row", columns: Sequence[str] | None = None) -> DataFrame:
     """Add ``first_row`` (row id of the first copy) and ``is_duplicate``.
 
-    Rows whose hash occurs once are their own first copy. The others are compared in full; what comes back to the table is one
-    entry per later copy, by row id.
+    Where most rows are copies, whole rows are grouped and looked up. Otherwise rows whose hash occurs once are their own first copy, the others
+    are compared in full, and what comes back to the table is one entry per later copy, by row id.
     """
     columns = list(columns or [c for c in df.columns if c != row])
+    if mostly_repeated(df, columns):
+        copies = df.groupBy(*columns).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+        return _marked(lookup(df, copies, columns, ["_first"], weight="_copies", null_safe=True), row)
     again = settle(repeated_rows(df, columns).select(row, "_hash", *columns))
     copies = again.groupBy("_hash", *columns).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
     right = copies.select(F.col("_hash").alias("_h"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(columns)], "_first")
@@ -60,8 +79,11 @@ def mark_duplicates(df: DataFrame, row: str = "_row", columns: Sequence[str] | N
     later = again.join(right, same).filter(F.col("_first") < F.col(row)).select(F.col(row).alias("_later"), "_first")
     later = settle(later)
     later = F.broadcast(later) if may_broadcast(later, later.count()) else later
-    marked = df.join(later, F.col(row) == F.col("_later"), "left").drop("_later")
-    return marked.withColumn("first_row", F.coalesce("_first", row)).drop("_first").withColumn("is_duplicate", F.col("first_row") < F.col(row))
+    return _marked(df.join(later, F.col(row) == F.col("_later"), "left").drop("_later"), row)
+
+
+def _marked(found: DataFrame, row: str) -> DataFrame:
+    return found.withColumn("first_row", F.coalesce("_first", row)).drop("_first").withColumn("is_duplicate", F.col("first_row") < F.col(row))
 
 
 def drop_duplicates(df: DataFrame, row: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.values import ISO_DATE, is_date, is_number, number_of, numeric_
 from ..plans.lineage import pinned
 from ..plans.quantiles import quantiles
 from ..plans.rows import with_row_id
-from .dedup import extra_copies
+from .dedup import extra_copies, mostly_repeated
 
 # Weights and bands of the table health score, and the bounds of a stratification column.
 HEALTH_MISSING_WEIGHT = 0.6
@@ -180,15 +180,19 @@ def semantic_types(df: DataFrame) -> DataFrame:
 def _issue_totals(df: DataFrame) -> DataFrame:
     """One row: rows, cells, null cells, columns with gaps, duplicate rows. Only row hashes and possible copies are shuffled."""
     columns = df.columns
-    extra = extra_copies(df)
-    gaps = [F.count_if(F.col(c).isNull()).alias(f"g_{i}") for i, c in enumerate(columns)]
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), *gaps)
+    if mostly_repeated(df, columns):  # one pass: whole rows are grouped, and nulls are counted by group
+        rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+        extra = F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
+    else:
+        rows, extra = df.withColumn("_n", F.lit(1)), F.lit(extra_copies(df))
+    gaps = [F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("_n"))), F.lit(0)).alias(f"g_{i}") for i, c in enumerate(columns)]
+    counts = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), *gaps, extra.cast("long").alias("duplicate_rows"))
     none = F.lit(0).cast("long")
     return counts.select(
         "rows", (F.col("rows") * len(columns)).alias("cells"),
         sum((F.col(f"g_{i}") for i in range(len(columns))), none).alias("missing_cells"),
         sum(((F.col(f"g_{i}") > 0).cast("long") for i in range(len(columns))), none).alias("columns_with_gaps"),
-        F.lit(extra).cast("long").alias("duplicate_rows"),
+        "duplicate_rows",
     )
 
 
