@@ -555,3 +555,39 @@ def test_short_and_changed_passages_are_found(spark):
 def test_queries_are_registered():
     names = [re.match(r"op(\d+)_", n)[1] for n in queries.queries()]
     assert sorted(map(int, names)) == list(range(1, 11))
+
+
+def test_every_toxic_word_of_many_is_learned(spark):
+    """Hundreds of equally telling words: each is learned, whatever their number; words that clean texts hold as well are not."""
+    letters = "bcdfghjklm"
+    word = lambda g: "".join(letters[g // 10**k % 10] for k in (2, 1, 0)) + "qxzv"
+    rows = [(g * 20 + i, f"people talked about {word(g)} near river number", 1) for g in range(150) for i in range(20)]
+    rows += [(4000 + i, f"people talked about market{i % 7} near river number", 0) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert all(word(g) in model.weights or word(g)[:4] + "-" in model.weights for g in range(150))
+    wrong = toxicity.score(docs, model).join(docs, "doc_id").filter("predicted <> toxic")
+    assert wrong.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chosen_voters_equal_their_definition(seed):
+    rng = np.random.default_rng(seed)
+    y = rng.random(60) < 0.4
+    votes = rng.random((60, 25)) < np.where(y[:, None], 0.3, 0.03)
+    gists = rng.integers(0, 20, 60)
+    shown = [np.flatnonzero(v) for v in votes.T]
+    kept, met = [], set()
+    for j, hit in enumerate(shown):
+        new = [d for d in hit if d not in met]
+        right = sum(bool(y[d]) for d in new)
+        if right >= 2 and right >= 0.9 * len(new):
+            kept.append(j)
+            met |= set(hit)
+    assert toxicity.needed(shown, y) == kept
+    pure = []
+    for j, hit in enumerate(shown):
+        right = [d for d in hit if y[d]]
+        if len(right) >= 0.98 * len(hit) and len({gists[d] for d in right}) >= max(3, len(right) / 2):
+            pure.append(j)
+    assert toxicity.spread(shown, y, gists, 3) == pure

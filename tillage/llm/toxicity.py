@@ -75,15 +75,19 @@ def _entries(text: str, lexicon, cache: dict[str, tuple[str, ...]]) -> Counter:
     return hits
 
 
-def needed(votes: np.ndarray, y: np.ndarray, least: int = 2, purity: float = 0.9) -> list[int]:
-    """The voters, best first, that show at least ``least`` toxic documents which no voter before them shows; of what they add, ``purity`` is toxic."""
-    open_ = np.ones(len(votes), dtype=bool)
+def needed(shown: list[np.ndarray], y: np.ndarray, least: int = 2, purity: float = 0.9) -> list[int]:
+    """The voters, best first, that show at least ``least`` toxic documents which no voter before them shows; of what they add, ``purity`` is toxic.
+
+    ``shown`` lists the documents of each voter.
+    """
+    open_ = np.ones(len(y), dtype=bool)
     kept = []
-    for j in range(votes.shape[1]):
-        new = votes[:, j] & open_
-        if (new & y).sum() >= least and (new & y).sum() >= purity * new.sum():
+    for j, hit in enumerate(shown):
+        new = hit[open_[hit]]
+        right = y[new].sum()
+        if right >= least and right >= purity * len(new):
             kept.append(j)
-            open_ &= ~votes[:, j]
+            open_[hit] = False
     return kept
 
 
@@ -93,14 +97,13 @@ def gist(text: str) -> int:
     return min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def spread(votes: np.ndarray, y: np.ndarray, gists: np.ndarray, least: int, purity: float = 0.98) -> list[int]:
+def spread(shown: list[np.ndarray], y: np.ndarray, gists: np.ndarray, least: int, purity: float = 0.98) -> list[int]:
     """The voters that are right in nearly all of their documents, half of which at least are different texts."""
     kept = []
-    for j in range(votes.shape[1]):
-        hit = votes[:, j]
-        right = hit & y
+    for j, hit in enumerate(shown):
+        right = hit[y[hit]]
         different = len(np.unique(gists[right]))
-        if right.sum() >= purity * hit.sum() and different >= max(least, right.sum() / 2):
+        if len(right) >= purity * len(hit) and different >= max(least, len(right) / 2):
             kept.append(j)
     return kept
 
@@ -154,7 +157,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int =
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon_size: int = 400, min_docs: int = 4,
+    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_docs: int = 4,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5,
 ) -> ToxicityModel:
     """Learn from at most ``fit_rows`` labelled documents (the bound of the sample), none with crc32(id as text) mod ``fold`` = 0.
@@ -193,7 +196,7 @@ def fit(
     surprise = n * (hit * F.log(hit / share) + rest)  # minus the log of a bound on the probability of so many
     least = math.log(max(1, summed.count()) / 0.05)
     best = summed.filter((hit > 3 * share) | (hit > (1 + share) / 2)).withColumn("_s", surprise).filter(F.col("_s") > least)
-    lexicon = [r["entry"] for r in best.orderBy(F.desc("_s"), "entry").limit(lexicon_size).collect()]
+    lexicon = [r["entry"] for r in best.orderBy(F.desc("_s"), "entry").collect()]  # entries of the sample that pass the test
     place = {e: i for i, e in enumerate(lexicon)}
 
     def vote(batch: pa.RecordBatch) -> dict:
@@ -201,13 +204,18 @@ def fit(
         found = [_entries(t, place, cache) for t in batch.column(0).to_pylist()]
         return {"hits": [sorted(place[e] for e in f) for f in found], "gist": [gist(t) for t in batch.column(0).to_pylist()], "y": batch.column(1)}
 
-    rows = map_batches(texts, vote, "hits array<int>, gist bigint, y int").toArrow()  # at most fit_rows rows of at most lexicon_size votes
+    rows = map_batches(texts, vote, "hits array<int>, gist bigint, y int").toArrow()  # at most fit_rows rows
     y = np.array(rows["y"]) == 1
-    shown = np.zeros((rows.num_rows, len(lexicon)), dtype=bool)
+    documents = [[] for _ in lexicon]
     for i, hits in enumerate(rows["hits"].to_pylist()):
-        shown[i, hits] = True
-    keep = sorted({*needed(shown, y), *spread(shown, y, np.array(rows["gist"]), min_docs)})
-    lexicon, shown = [lexicon[j] for j in keep], shown[:, keep]
+        for j in hits:
+            documents[j].append(i)
+    documents = [np.array(d, dtype=np.int32) for d in documents]
+    keep = sorted({*needed(documents, y), *spread(documents, y, np.array(rows["gist"]), min_docs)})
+    lexicon = [lexicon[j] for j in keep]
+    shown = np.zeros((rows.num_rows, len(keep)), dtype=bool)
+    for k, j in enumerate(keep):
+        shown[documents[j], k] = True
     votes = np.column_stack([shown, ~shown.any(axis=1), y]).astype(float)
     belief, hit1, hit0 = label_model(votes, 0.9 * y + 0.05)
     x = votes[:, :-2]
