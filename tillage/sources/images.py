@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import ast
+import bz2
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labels import ext_of, name_of
 from ..operators.rasters import apply_raster
+from ..plans.lineage import qualified, settle
 from ..plans.lookup import lookup
 
 # The extensions that count as images, and the length of an error text.
@@ -63,22 +71,115 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return apply_raster(rows, to_rgb_order, skip=F.col("n_channels") == 1, stacked=True).withColumn("changed", F.lit(False))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Images inside ZIP archives: archive, path, name, ext, size, content. Folders and hidden entries are skipped."""
+# Fixed values of the ZIP format: the length of a local header, and where in it the lengths of the name and of the extra field stand.
+_LOCAL_HEADER, _LOCAL_LENGTHS = 30, (26, "<HH")
+RANGE = 64 << 20  # archive bytes of one range; less where that would leave cores idle
+LEAST_RANGE = 1 << 20
+OUT_BYTES = 8 << 20
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_DIRECTORY = "archive string, path string, place long, offset long, packed long, length long, crc long, method int"
+
+
+def _open_archive(uri: str) -> pa.NativeFile:
+    """A file by the path that Spark's listing gives, read at any place."""
+    store, path = fs.FileSystem.from_uri(quote(uri, safe=":/"))
+    return store.open_input_file(path)
+
+
+def _is_listed(info: zipfile.ZipInfo) -> bool:
+    parts = info.filename.split("/")
+    hidden = any(p == "__MACOSX" or p.startswith(".") for p in parts)
+    return not info.is_dir() and not hidden and ("." + parts[-1].rsplit(".", 1)[-1].lower()) in IMAGE_EXTENSIONS
+
+
+def archive_directory(archives: DataFrame) -> DataFrame:
+    """The image members of the archives named in ``archive``, from the directory at the end of each file; nothing is unpacked."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _DIRECTORY.split(", ")]
         for pdf in batches:
-            for archive, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        parts = info.filename.split("/")
-                        if info.is_dir() or any(p == "__MACOSX" or p.startswith(".") for p in parts):
-                            continue
-                        if ("." + parts[-1].rsplit(".", 1)[-1].lower()) in IMAGE_EXTENSIONS:
-                            yield pd.DataFrame({"archive": [archive], "path": [info.filename], "content": [z.read(info)]})
-
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    out = archives.select("path", "content").mapInPandas(members, "archive string, path string, content binary")
+            for archive in pdf["archive"]:
+                with _open_archive(archive) as file, zipfile.ZipFile(file) as z:
+                    rows = (
+                        (archive, m.filename, i, m.header_offset, m.compress_size, m.file_size, m.CRC, -1 if m.flag_bits & 1 else m.compress_type)
+                        for i, m in enumerate(z.infolist()) if _is_listed(m)
+                    )
+                    while part := list(islice(rows, 10_000)):
+                        yield pd.DataFrame(part, columns=names)
+
+    return archives.select("archive").mapInPandas(entries, _DIRECTORY)
+
+
+def _member(file: pa.NativeFile, place: int, offset: int, packed: int, crc: int, method: int) -> bytes:
+    """The content of one member; only its own bytes are read. Rare methods, and encrypted members, are left to ``zipfile``."""
+    unpack = {zipfile.ZIP_STORED: bytes, zipfile.ZIP_DEFLATED: lambda b: zlib.decompress(b, -zlib.MAX_WBITS), zipfile.ZIP_BZIP2: bz2.decompress}.get(method)
+    if unpack is None:
+        file.seek(0)
+        with zipfile.ZipFile(file) as z:
+            return z.read(z.infolist()[place])
+    at, kind = _LOCAL_LENGTHS
+    start = offset + _LOCAL_HEADER + sum(struct.unpack_from(kind, file.read_at(_LOCAL_HEADER, offset), at))
+    content = unpack(file.read_at(packed, start))
+    if zlib.crc32(content) != crc:
+        raise zipfile.BadZipFile("a member does not match its checksum")
+    return content
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members in the order of archive and offset; an archive stays open while its members follow each other."""
+    name, file, out, held = None, None, [], 0
+    try:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["archive"] != name:
+                    if file is not None:
+                        file.close()
+                    name, file = row["archive"], _open_archive(row["archive"])
+                out.append((name, row["path"], _member(file, *(row[k] for k in ("place", "offset", "packed", "crc", "method")))))
+                held += row["length"]
+                if held >= OUT_BYTES:
+                    yield _content_batch(out)
+                    out, held = [], 0
+        if out:
+            yield _content_batch(out)
+    finally:
+        if file is not None:
+            file.close()
+
+
+def _content_batch(rows: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["archive", "path", "content"])
+
+
+def _whole_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for archive, content in zip(pdf["archive"], pdf["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for info in filter(_is_listed, z.infolist()):
+                    yield pd.DataFrame({"archive": [archive], "path": [info.filename], "content": [z.read(info)]})
+
+
+def read_archives(spark: SparkSession, path: str, most: int = RANGE) -> DataFrame:
+    """Images inside ZIP archives: archive, path, name, ext, size, content. Folders and hidden entries are skipped.
+
+    The directory of every archive is read first; its members are then dealt out by ranges of about ``most`` bytes, so that one archive is
+    unpacked by many tasks, may be of any size and is never in memory as a whole. A file system that only Spark can open gives whole archives,
+    one task and at most 2 GB each.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+    archives = files.select(F.col("path").alias("archive"), "content")
+    try:
+        fs.FileSystem.from_uri(quote(qualified(spark, path), safe=":/"))
+    except (pa.ArrowInvalid, OSError):
+        out = archives.mapInPandas(_whole_archives, "archive string, path string, content binary")
+    else:
+        members = settle(archive_directory(archives))
+        total, count = members.agg(F.coalesce(F.sum("packed"), F.lit(0)), F.count(F.lit(1))).first()
+        step = max(1, min(most, max(LEAST_RANGE, total // (2 * spark.sparkContext.defaultParallelism))))
+        tasks = max(1, -(-total // step), min(count, spark.sparkContext.defaultParallelism))
+        dealt = members.repartition(tasks, "archive", F.floor(F.col("offset") / step)).sortWithinPartitions("archive", "offset")
+        out = dealt.mapInArrow(_unpack, "archive string, path string, content binary")
     return out.select(
         "archive", "path", name_of(F.col("path")).alias("name"), ext_of(name_of(F.col("path"))).alias("ext"),
         F.length("content").cast("long").alias("size"), "content",
