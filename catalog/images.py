@@ -269,6 +269,26 @@ def i19_resolutions(spark, folder):
     return imagesets.tally(measured(spark, folder), "resolution", imagesets.TOP_RESOLUTIONS)
 
 
+def cropped(spark: SparkSession, folder: str) -> DataFrame:
+    """The set with pictures of six heights: all but the first 3 to 8 lines are cut off."""
+    height = (F.col("id") % 1_000_000 % 6 + 3).cast("int")
+    rows = F.expr("substring(data, 1, height * width * n_channels)")
+    return pictures(spark, folder).withColumn("height", F.when(~F.col("corrupted"), height)).withColumn("data", rows)
+
+
+@query("i19_most_frequent_sizes", WITH_PICTURES + """, s AS (SELECT '8x' || (vec_id % 6 + 3) AS resolution, count(*) AS n FROM files WHERE NOT corrupted GROUP BY 1)
+  SELECT * FROM s ORDER BY n DESC, resolution LIMIT 5""")
+def i19_sizes(spark, folder):
+    """The five most frequent of six sizes."""
+    return imagesets.tally(imagesets.describe(rasters.measure(cropped(spark, folder))), "resolution", imagesets.TOP_RESOLUTIONS)
+
+
+@query("i18_detail_stats_of_sizes", WITH_PICTURES + """, h AS (SELECT (vec_id % 6 + 3)::DOUBLE AS h FROM files WHERE NOT corrupted)
+  SELECT 'height' AS detail, round(min(h), 2) AS "min", round(max(h), 2) AS "max", round(avg(h), 2) AS mean, round(median(h), 2) AS median FROM h""")
+def i18_sizes(spark, folder):
+    return imagesets.detail_stats(imagesets.describe(rasters.measure(cropped(spark, folder)))).filter(F.col("detail") == "height")
+
+
 @query("i20_blurry_images", WITH_PICTURES + "SELECT path, state FROM m WHERE state IN ('Blurry', 'Very Blurry') AND contains(lower(path), '/3/')")
 def i20(spark, folder):
     return imagesets.search_path(imagesets.with_issue(measured(spark, folder), "blurry"), "/3/").select("path", "state")
