@@ -234,6 +234,41 @@ def test_mixing(spark, odd, nothing):
     assert mixing.repeat(nothing).count() == 0
 
 
+def brute_multiplier(sizes, target, most=3):
+    """The multiplier at which the tilted rates meet the target, by halving."""
+    mass = lambda m: sum(s * min(most, math.exp(min(m * s, 5))) for s in sizes)
+    low, high = -20.0, 20.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mass(middle) < target else (low, middle)
+    return high
+
+
+def test_mixing_equals_brute_force(spark):
+    """Every class of (source, size) has the copies of its tilted rate, but for less than one by rounding and the single copies that make up the sum."""
+    rng = random.Random(16)
+    many = [(i, prose(rng, int(rng.paretovariate(0.9)) % 700), rng.choice(["a", "b", "b", "c", None] + ["d"] * 8)) for i in range(3000)]
+    many += [(i, "one " * 9, "e") for i in range(3000, 3040)]  # a source of one size
+    rows = mixing.mix(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
+    of = defaultdict(list)
+    for r in rows:
+        of[r.source].append(r)
+    for source, docs in of.items():
+        sizes, target = [r.size for r in docs if r.size], docs[0].target
+        m = brute_multiplier(sizes, target)
+        copies, number = Counter(), Counter(sizes)
+        for r in docs:
+            copies[r.size] += r.copies
+            assert 0 <= r.copies <= 3 and (r.size or not r.copies)
+        moved = 0
+        for s, n in number.items():
+            off = copies[s] - n * min(3, math.exp(min(m * s, 5)))
+            moved += abs(off) >= 1 + 1e-4 * n
+            assert max(r.copies for r in docs if r.size == s) - min(r.copies for r in docs if r.size == s) <= 1
+        assert moved <= math.log2(max(sizes)) + 1
+        assert abs(sum(r.taken for r in docs) - target) <= min(sizes)
+
+
 # ------------------------------------------------------------------ 7 similarity join
 
 

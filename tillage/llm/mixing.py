@@ -1,26 +1,36 @@
 """Mixing sources to target weights by entropy balancing (operator 6), by DataFrame functions only.
 
-The rates r of the documents minimise the relative entropy sum(size * (r * ln r - r + 1)), weighted by tokens, under one token constraint per
-source, sum(size * r) = target. The dual of this convex problem has one multiplier per source and the solution is the exponential tilt
-r = exp(multiplier). Newton's method maximises the dual; its gradient and curvature are sums over the documents, taken once by a
-distributed aggregate, because the tilt is the same for all documents of a source.
-
-Rates become whole copies by systematic rounding: the documents of a source, in order of falling size and then of a hash, get
-floor(r * k + u) - floor(r * (k - 1) + u) copies, k being the rank. The error of the token sum is then at most the largest document, whatever the
-number of documents; of a grid of offsets u the one with the smallest error is taken for each source. Ranks come from counts per (source, size) and per hash bucket within; no window ever holds a whole source.
+The rates r of the documents minimise the relative entropy sum(r * ln r - r + 1) against one copy each, under one token constraint per
+source, sum(size * r) = target, and r <= ``MOST_COPIES``. The dual of this convex problem has one multiplier per source, and the solution is the
+exponential tilt r = min(MOST_COPIES, exp(multiplier * size)). Every Newton round takes the mass and its slope of all sources by one distributed
+aggregate over the classes of (source, size); a step that leaves the bracket of a source's multiplier is replaced by its middle.
+
+Rates are whole multiples of 1 / ``UNITS`` and their sums are exact, so neither partitions nor lost tasks change a multiplier.
+
+Rates become whole copies in three steps. Systematic rounding over the classes in order of falling size gives every class its number of copies: each prefix
+misses its sum of rates by less than one copy, so the token sum misses the target by at most the largest document. What is missing or
+too much is then made up by single copies of the largest documents that fit into it, by falling size, down to less than the smallest document. The
+copies of a class are spread evenly over its documents in the order of a hash; their places come from counts per hash bucket, so that no window
+ever holds a whole source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillage.plans.lineage import settle
+
 from .batches import words_array
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
-NEWTON_STEPS = 40
-OFFSETS = 100  # values of u that are tried
+UNIT_BITS = 20
+UNITS = 1 << UNIT_BITS  # rates are counted in these parts of one
+NEAR = 1e-6  # a multiplier is found when the mass is this near to its target, relatively
+NEWTON_ROUNDS = 60  # no source needs that many: see the bracket
 BUCKETS = 4096  # hash buckets of one (source, size) class; a window holds the rows of one bucket
 
 
@@ -45,33 +55,74 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: in
     return rows.select("_source", "_total", F.least(F.col("_w") * F.coalesce(level, F.lit(0.0)), (most * F.col("_total")).cast("double")).alias("_target"))
 
 
-def multipliers(by_source: DataFrame) -> DataFrame:
-    """Newton's method on the dual of each token constraint: adds ``_rate`` = exp(multiplier), 0 where nothing is wanted.
+def rate_units(multiplier: Column, size: Column, most: int) -> Column:
+    """The tilted rate of documents of one size, in whole units."""
+    tilt = F.exp(F.least(multiplier * size, F.lit(math.log(most) + 1)))
+    return F.when(size > 0, F.round(F.least(F.lit(float(most)), tilt) * UNITS)).otherwise(0).cast("long")
 
-    The dual total * (exp(m) - 1) - target * m is convex. Steps are kept to one unit, which makes the iteration converge from 0 to any target.
-    """
-    def step(m: Column, _: Column) -> Column:
-        mass = F.col("_total") * F.exp(m)
-        return m - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (mass - F.col("_target")) / mass))
 
-    wanted = (F.col("_total") > 0) & (F.col("_target") > 0)
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
-    return by_source.withColumn("_rate", F.when(wanted, solved).otherwise(F.lit(0.0)))
+def multipliers(classes: DataFrame, wanted: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """(_source, _multiplier) of every source with words: Newton's method on the dual of each token constraint.
+
+    ``classes`` has _source, _size and the number _n of documents, ``wanted`` the targets. The logarithm of the mass is brought to that of the target: below
+    one copy it is convex in the multiplier, and steps from 0 never overshoot; towards the cap the bracket holds them. The bracket begins at 0 and
+    at the multiplier with which the smallest document alone would do.
+    """
+    sized = classes.filter(F.col("_size") > 0)
+    least = sized.groupBy("_source").agg(F.min("_size").alias("_least"))
+    start = wanted.filter(F.col("_target") > 0).join(least, "_source")
+    far = F.log(F.least(F.lit(float(most)), F.col("_target") / F.col("_total"))) / F.col("_least")
+    full = F.col("_target") >= most * F.col("_total") * (1 - 1e-9)
+    # A little beyond the far end, where rounding to units cannot hide the target.
+    low, high = F.least(far * 1.01, F.lit(0.0)), F.greatest(far * 1.01, F.lit(0.0))
+    state = settle(start.select("_source", "_target", low.alias("_low"), high.alias("_high"), F.when(full, high).otherwise(F.lit(0.0)).alias("_multiplier"), full.alias("_done")))
+    for _ in range(NEWTON_ROUNDS):
+        if state.filter(~F.col("_done")).isEmpty():
+            break
+        state = settle(_newton_round(sized, state, most))
+    return state.select("_source", "_multiplier")
+
+
+def _newton_round(sized: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    units = rate_units(F.col("_multiplier"), F.col("_size"), most)
+    words = (F.col("_n") * F.col("_size")).cast("decimal(19,0)") * units.cast("decimal(10,0)")  # sums of whole numbers do not depend on their order
+    open_ = F.when(units < most * UNITS, words.cast("decimal(29,0)") * F.col("_size").cast("decimal(9,0)")).otherwise(F.lit(0))
+    last = ("_target", "_low", "_high", "_multiplier", "_done")
+    sums = sized.join(state, "_source").groupBy("_source").agg(
+        (F.sum(words).cast("double") / UNITS).alias("_mass"), (F.sum(open_).cast("double") / UNITS).alias("_slope"), *[F.first(c).alias(c) for c in last]
+    )
+    m, mass, target = F.col("_multiplier"), F.col("_mass"), F.col("_target")
+    sums = sums.withColumn("_near", F.col("_done") | (F.abs(mass - target) <= NEAR * target))
+    sums = sums.withColumn("_low", F.when(mass < target, m).otherwise(F.col("_low"))).withColumn("_high", F.when(mass < target, F.col("_high")).otherwise(m))
+    low, high = F.col("_low"), F.col("_high")
+    newton = F.when((mass > 0) & (F.col("_slope") > 0), m + (F.log(target) - F.log(mass)) * mass / F.col("_slope"))
+    middle = F.when(low * high > 0, F.signum(low) * F.sqrt(low * high)).otherwise((low + high) / 2)
+    inside = (newton > low) & (newton < high)
+    closed = high - low <= 1e-12 * F.greatest(F.abs(low), F.abs(high))
+    return sums.select(
+        "_source", "_target", "_low", "_high", F.when(F.col("_near"), m).when(inside, newton).otherwise(middle).alias("_multiplier"), (F.col("_near") | closed).alias("_done")
+    )
 
 
-def rounded(rank: Column, offset: Column) -> Column:
-    """Copies of the first ``rank`` documents of a source."""
-    return F.floor(F.col("_rate") * rank + offset + 1e-9)
+def class_copies(rated: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """Adds ``_copies``, the copies of all documents of a class together, to classes with _source, _size, _n, _units, _before (running units) and _target."""
+    floored = lambda units: F.shiftright(units + UNITS // 2, UNIT_BITS)
+    rated = rated.withColumn("_copies", floored(F.col("_before") + F.col("_n") * F.col("_units")) - floored(F.col("_before")))
+    kind = "struct<missing:bigint,moves:array<struct<_size:bigint,_move:bigint>>>"
 
+    def fill(state: Column, one: Column) -> Column:
+        fits = (state["missing"] / one["_size"]).cast("long")
+        move = F.least(F.greatest(fits, -one["_copies"]), most * one["_n"] - one["_copies"])
+        added = F.concat(state["moves"], F.array(F.struct(one["_size"].alias("_size"), move.alias("_move"))))
+        return F.struct((state["missing"] - move * one["_size"]).alias("missing"), F.when(move == 0, state["moves"]).otherwise(added).alias("moves")).cast(kind)
 
-def offsets(classes: DataFrame, rates: DataFrame) -> DataFrame:
-    """The offset (_source, _offset) of each source whose token sum comes nearest to the target, from the class sizes alone."""
-    grid = F.explode(F.array(*[F.lit((i + 0.5) / OFFSETS) for i in range(OFFSETS)])).alias("_offset")
-    tried = classes.join(rates, "_source").select("*", grid)
-    u = F.col("_offset")
-    tokens = F.sum(F.col("_size") * (rounded(F.col("_before") + F.col("_n"), u) - rounded(F.col("_before"), u)))
-    sums = tried.groupBy("_source", "_offset").agg(F.abs(tokens - F.first("_target")).alias("_error"))
-    return sums.groupBy("_source").agg(F.min_by("_offset", F.struct("_error", "_offset")).alias("_offset"))
+    # One row per source, an entry per distinct size; every move halves what is missing at least, or empties or fills a class.
+    missing = F.round(F.first("_target")).cast("long") - F.sum(F.col("_copies") * F.col("_size"))
+    by_size = F.sort_array(F.collect_list(F.struct("_size", "_n", "_copies")), asc=False)
+    sources = rated.filter(F.col("_size") > 0).groupBy("_source").agg(missing.alias("_missing"), by_size.alias("_classes"))
+    nothing = F.struct(F.col("_missing").alias("missing"), F.array().alias("moves")).cast(kind)
+    moves = sources.select("_source", F.explode(F.aggregate("_classes", nothing, fill)["moves"]).alias("_m")).select("_source", "_m.*")
+    return rated.join(moves, ["_source", "_size"], "left").withColumn("_copies", F.col("_copies") + F.coalesce("_move", F.lit(0))).drop("_move")
 
 
 def mix(
@@ -112,27 +163,25 @@ def _decided(
     words = F.size(words_array(F.coalesce(F.col(text_col), F.lit(""))))
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     named = docs.select(F.col(id_col).alias("_id"), source.alias("_source"), words.cast("long").alias("_size"), mark.alias("_mark"), *carried)
-    rows = named.drop("_doc")
-    rows = rows.withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(BUCKETS)).cast("int"))
+    named = named if carried else settle(named)  # four small columns; texts that are carried are read twice instead
+    rows = named.drop("_doc").withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(BUCKETS)).cast("int"))
     cells = rows.groupBy("_source", "_size", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    classes = cells.groupBy("_source", "_size").agg(F.sum("_n").alias("_n"))
-    by_source = classes.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_size")).alias("_total"))
-    rates = multipliers(targets(by_source, weights, most))
+    cells = settle(cells)
     # One row per distinct size of a source: bounded by the longest document, not by the number of documents.
+    classes = settle(cells.groupBy("_source", "_size").agg(F.sum("_n").alias("_n")))
+    by_source = classes.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_size")).alias("_total"))
+    wanted = settle(targets(by_source, weights, most))
+    tilted = classes.join(wanted, "_source").join(multipliers(classes, wanted, most), "_source", "left")
+    tilted = tilted.withColumn("_units", F.coalesce(rate_units(F.col("_multiplier"), F.col("_size"), most), F.lit(0).cast("long")))
     larger = Window.partitionBy("_source").orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.withColumn("_before", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
-    rates = rates.join(offsets(classes, rates), "_source")
+    rated = settle(tilted.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("_units")).over(larger), F.lit(0).cast("long"))))
+    rated = class_copies(rated, most).select("_source", "_size", F.col("_n").alias("_among"), "_copies", "_total", "_target")
+
+    # Sources meet their rates while there is one row per size; what grows with the documents is dealt by source, size and bucket.
     earlier = Window.partitionBy("_source", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    table = cells.join(rated, ["_source", "_size"]).select("_source", "_size", "_bucket", "_earlier", "_among", "_copies", "_total", "_target")
     inside = Window.partitionBy("_source", "_size", "_bucket").orderBy("_mark", F.col("_id").cast("string"))
-    bucketed = named.withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(BUCKETS)).cast("int"))
-    ranked = bucketed.withColumn("_rank", F.row_number().over(inside))
-
-    # Sources meet their rates while there is one row per size; what grows with the documents is dealt by source, size and bucket.
-    rated = classes.join(rates, "_source").select("_source", "_size", "_before", "_rate", "_offset", "_total", "_target")
-    table = cells.join(rated, ["_source", "_size"])
-    table = table.select("_source", "_size", "_bucket", (F.col("_earlier") + F.col("_before")).alias("_start"), "_rate", "_offset", "_total", "_target")
-    out = ranked.join(table, ["_source", "_size", "_bucket"])
-    k = F.col("_rank") + F.col("_start")
-    copies = rounded(k, F.col("_offset")) - rounded(k - 1, F.col("_offset"))
-    return out, F.when(F.col("_size") > 0, F.least(copies, F.lit(most))).otherwise(0).cast("long")
+    ranked = named.withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(BUCKETS)).cast("int")).withColumn("_rank", F.row_number().over(inside))
+    out = ranked.join(table, ["_source", "_size", "_bucket"]).withColumn("_place", F.col("_earlier") + F.col("_rank"))
+    return out, F.expr("_copies div _among + _place * (_copies % _among) div _among - (_place - 1) * (_copies % _among) div _among")
