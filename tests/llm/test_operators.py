@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -177,6 +178,61 @@ def test_cutoffs_reject_bad_and_spare_good(spark):
     assert sum(not r.kept for r in out if r.doc_id % 5) <= 0.03 * 4800
 
 
+def brute_cutoffs(rows, labels, share=0.03, confidence=0.95):
+    """The cutoffs from their definition: ladder of quantiles on the good half, fixed sequence of exact bounds on the other half."""
+    known = [r for r in rows if r.doc_id in labels and not r.base_failed]
+
+    def rate(r, rule):
+        part, whole = qualityrules.RULES[rule]
+        lines = sum(1 for line in r.text.split("\n") if words(line))
+        return r[part] / ((lines if whole == "n_lines" else r[whole]) or math.inf)
+
+    half = lambda r: zlib.crc32(f"half {r.doc_id}".encode()) % 2
+
+    def quantile(values, q):
+        at = (len(values) - 1) * q
+        low, high = math.floor(at), math.ceil(at)
+        return values[low] if values[low] == values[high] else (high - at) * values[low] + (at - low) * values[high]
+
+    ladders = {}
+    for lang in {r.lang for r in known}:
+        for rule in qualityrules.RULES:
+            values = sorted(rate(r, rule) for r in known if r.lang == lang and not half(r) and labels[r.doc_id])
+            if values:
+                ladders[lang, rule] = sorted({quantile(values, 1 - 0.5 ** (1 + i / 2)) for i in range(qualityrules.LADDER)}, reverse=True)
+    out = {}
+    for (lang, rule), cuts in ladders.items():
+        most = 0
+        for cut in cuts:
+            good = [rate(r, rule) > cut for r in known if r.lang == lang and half(r) and labels[r.doc_id]]
+            if qualityrules.upper_bound(sum(good), len(good), (1 - confidence) / len(ladders)) > share / len(qualityrules.RULES):
+                break
+            gain = sum(rate(r, rule) > cut for r in known if r.lang == lang and not half(r) and not labels[r.doc_id])
+            if gain > most:
+                out[lang, rule], most = cut, gain
+    return {k: out[k] for k in sorted(out)}, rate
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(21)
+    rows, labels = [], {}
+    for i in range(4000):
+        good = rng.random() < 0.7
+        text = prose(rng, rng.randint(60, 90))
+        for _ in range(rng.choice([0, 0, 0, 1]) if good else rng.randint(0, 40)):
+            text += rng.choice([" # ", "\nsame line", " & "])
+        rows.append((i, text, rng.choice(["en", "en", "de"])))
+        labels[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = qualityrules.apply_rules(docs, truth).join(docs, "doc_id").collect()
+    cutoffs, rate = brute_cutoffs(got, labels)
+    assert cutoffs and len(got) == len(rows)
+    for r in got:
+        broken = [rule for rule in qualityrules.RULES if rate(r, rule) > cutoffs.get((r.lang, rule), math.inf)]
+        assert r.failed_rules == ",".join(broken) and r.kept == (not r.base_failed and not broken)
+
+
 def test_exact_bound():
     assert qualityrules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
     assert qualityrules.upper_bound(3, 3, 0.05) == 1.0

@@ -15,11 +15,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.plans.lineage import local_rows, settle
+from tillage.plans.lineage import may_broadcast, settle
+from tillage.plans.lookup import lookup
 
 from .batches import ASCII_SPACE, id_and_text, map_batches
 
@@ -94,7 +96,7 @@ def upper_bound(k: int, n: int, error: float) -> float:
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: float, confidence: float, id_col: str, label_col: str) -> DataFrame:
-    """The certified cutoffs as rows (stratum, rule, cutoff). One row per stratum, rule and ladder step passes the driver.
+    """The certified cutoffs as rows (stratum, rule, cutoff). Every stratum and rule is judged in a task; nothing but their number reaches the driver.
 
     Labels of an id that occur with both values count as bad; null labels and ids are left out.
     """
@@ -107,30 +109,31 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: flo
     long = settle(long.groupBy("_stratum", "good", "_half", "rule", "value").count())  # equal values are counted once
     steps = [1 - 0.5 ** (1 + i / 2) for i in range(LADDER)]
     ladder = long.filter("_half = 0 AND good").groupBy("_stratum", "rule").agg(F.percentile("value", F.array(*map(F.lit, steps)), F.col("count")).alias("cuts"))
-    ladder = ladder.select("_stratum", "rule", F.array_distinct("cuts").alias("cuts"))  # strata x rules rows
-    tests = (
-        long.join(F.broadcast(ladder), ["_stratum", "rule"])
+    ladder = settle(ladder.select("_stratum", "rule", F.array_distinct("cuts").alias("cuts")))  # strata x rules rows
+    ladder = F.broadcast(ladder) if may_broadcast(ladder, ladder.count()) else ladder
+    tests = settle(
+        long.join(ladder, ["_stratum", "rule"])
         .select("_stratum", "rule", "good", "_half", "count", F.explode("cuts").alias("cutoff"), (F.col("value") > F.col("cutoff")).alias("hit"))
         .groupBy("_stratum", "rule", "cutoff").pivot("_half", [0, 1]).agg(
             F.sum(F.when(F.col("good") & F.col("hit"), F.col("count")).otherwise(0)).alias("k"), F.sum(F.when(F.col("good"), F.col("count")).otherwise(0)).alias("n"),
             F.sum(F.when(~F.col("good") & F.col("hit"), F.col("count")).otherwise(0)).alias("bad"),
         )
-        .na.fill(0).collect()
+        .na.fill(0)
     )
-    families: dict[tuple, list] = {}
-    for r in tests:
-        families.setdefault((r["_stratum"], r["rule"]), []).append((r["cutoff"], r["1_k"], r["1_n"], r["0_bad"] - r["0_k"]))
-    chosen = []
-    for (stratum, rule), rows in families.items():
-        best, most = None, 0
-        for cutoff, k, n, gain in sorted(rows, reverse=True):
-            if upper_bound(k, n, (1 - confidence) / len(families)) > max_false_rejection / len(RULES):
+    families = tests.select("_stratum", "rule").distinct().count()
+    most, error = max_false_rejection / len(RULES), (1 - confidence) / max(1, families)
+
+    def certify(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
+        """From the highest cutoff down, as long as each is certified; of those the one that rejects the most bad documents. At most ``LADDER`` rows."""
+        best, gain = None, 0
+        for r in steps.sort_values("cutoff", ascending=False).to_dict("records"):
+            if upper_bound(int(r["1_k"]), int(r["1_n"]), error) > most:
                 break
-            if gain > most:
-                best, most = cutoff, gain
-        if best is not None:
-            chosen.append((stratum, rule, float(best)))
-    return local_rows(measured.sparkSession, chosen, "_stratum string, rule string, cutoff double")
+            if (more := r["0_bad"] - r["0_k"]) > gain:
+                best, gain = r["cutoff"], more
+        return pd.DataFrame({"_stratum": [key[0]], "rule": [key[1]], "cutoff": [best]}).dropna()
+
+    return settle(tests.groupBy("_stratum", "rule").applyInPandas(certify, "_stratum string, rule string, cutoff double"))
 
 
 def _rate(rule: str) -> Column:
@@ -151,9 +154,9 @@ def apply_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     measured = settle(measures(docs, id_col, text_col, stratum).withColumn("base_failed", failed))
     cutoffs = fit_cutoffs(measured, labels, max_false_rejection, confidence, id_col, label_col)
-    # At most (strata x rules) rows; the strata are few by nature and the ladder has already passed the driver.
     wide = cutoffs.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
-    joined = measured.join(F.broadcast(wide), "_stratum", "left")
+    rows = measured.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows"))
+    joined = lookup(measured, wide.join(rows, "_stratum"), ["_stratum"], [f"_cut_{r}" for r in RULES], weight="_rows")
     broken = F.filter(F.array(*[F.when(_rate(r) > F.col(f"_cut_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     return joined.withColumn("_broken", broken).select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
