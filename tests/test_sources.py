@@ -76,3 +76,51 @@ def test_writers(spark, tmp_path, visits):
     assert sorted(p.name for p in (tmp_path / "splits").glob("split=*")) == ["split=test", "split=train", "split=valid"]
     sinks.write_null_report(visits.withColumn("i", F.monotonically_increasing_id()), ["i"], str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report/cells"), header=True).count() == 3
+
+
+def numbered(spark, files):
+    """Rows (file, line_no, line) of {file: lines} in mixed order; None is a file without lines."""
+    rows = [(f, i, x) for f, texts in files.items() for i, x in enumerate([None] if texts is None else texts)]
+    return spark.createDataFrame(rows, "file string, line_no long, line string").repartition(5, F.xxhash64("line_no", "file"))
+
+
+@pytest.fixture
+def eight_tasks(spark):
+    """Shuffles of eight tasks however few the rows."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_lines_of_one_file_go_to_many_tasks(spark, tmp_path, monkeypatch, eight_tasks):
+    """Neither the lines of one file nor those of one number meet in one task."""
+    seen = []
+    monkeypatch.setattr(sinks, "_save", lambda df, *rest: seen.append(df))
+    lines = numbered(spark, {"a.json": [f"line {i}" for i in range(4000)]})
+    sinks.save_lines(lines, str(tmp_path / "one"))
+    sinks.save_lines(lines.withColumn("line_no", F.lit(1)), str(tmp_path / "ties"))
+    for df in seen:
+        assert max(n for _, n in df.groupBy(F.spark_partition_id()).count().collect()) < 1500
+
+
+@pytest.mark.parametrize("anywhere", [True, False])
+def test_files_of_many_tasks_are_whole(spark, tmp_path, monkeypatch, eight_tasks, anywhere):
+    """Large, small and empty files, each byte for byte, put together in ranges of 700 bytes or streamed."""
+    monkeypatch.setattr(sinks, "RANGE_BYTES", 700)
+    monkeypatch.setattr(sinks, "_writes_anywhere", lambda fs: anywhere)
+    files = {"d/large.json": [f'{{"é": "漢 {i}"}}' for i in range(900)], "a first.txt": ["x" * (i % 90) for i in range(400)], "z/last.txt": ["end"] * 200,
+             "d/blank.txt": [None] * 300, "e/none.txt": None, **{f"m/{i}.txt": [str(i)] * (i % 3 + 1) for i in range(40)}}
+    there = tmp_path / "out"
+    assert sinks.save_lines(numbered(spark, files), str(there)) == (len(files), 0)
+    for name, texts in files.items():
+        assert (there / name).read_text() == "".join(f"{x}\n" for x in texts or [] if x is not None)
+    left = {str(p.relative_to(there)) for p in there.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert left == {*files, "_report.json"} and not (there / "_parts").exists()
+    assert (there / "_report.json").read_text() == f'{{"saved": {len(files)}, "failed": 0}}'
+
+
+def test_ranges_cover_the_parts():
+    pieces = [("a", 5), ("b", 0), ("c", 12), ("d", 3)]
+    assert list(sinks._ranges(pieces, 8)) == [(0, [("a", 0, 5), ("c", 0, 3)]), (8, [("c", 3, 8)]), (16, [("c", 11, 1), ("d", 0, 3)])]
+    assert list(sinks._ranges(pieces, 20)) == [(0, [("a", 0, 5), ("c", 0, 12), ("d", 0, 3)])] and list(sinks._ranges([("a", 0)], 4)) == []

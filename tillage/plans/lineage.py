@@ -11,7 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -53,20 +54,26 @@ def qualified(spark: SparkSession, path: str) -> str:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
-# Shuffle files of a finished write are deleted at once: the written table takes their place.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written rows."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write finished in here are deleted at once: what is written takes their place."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.mode("errorifexists").parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads the written rows."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
